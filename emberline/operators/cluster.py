@@ -98,18 +98,22 @@ class Linker:
         self.points = self._points(observations)
         self.cubes = cut_lineage(
             self.points.groupBy(*self.cube_key)
-            .agg(F.min("obs_id").alias("cube"), *_box_aggregates()))
+            .agg(F.min("obs_id").alias("cube"), *_box_aggregates(),
+                 F.sum("lat").alias("lat_sum"), F.sum("lon").alias("lon_sum")))
 
-    def _points(self, observations: DataFrame) -> DataFrame:
-        band = F.floor(F.col("lat") / F.lit(self.side)).cast("long")
+    def _with_cell(self, observations: DataFrame) -> DataFrame:
         width = F.least(F.lit(self.side) / nearest_edge_cosine(F.col("band"), self.side), F.lit(360.0))
+        moment = F.unix_micros(F.col("timestamp").cast("timestamp"))
         return (observations
                 .filter("latitude IS NOT NULL AND longitude IS NOT NULL AND timestamp IS NOT NULL")
-                .select(*self.within, "obs_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
-                        F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"))
-                .withColumn("band", band)
-                .withColumn("column", F.floor(F.col("lon") / width).cast("long"))
-                .withColumn("bucket", _floor_div(F.col("t"), self.bucket_us)))
+                .withColumn("band", F.floor(F.col("latitude") / F.lit(self.side)).cast("long"))
+                .withColumn("column", F.floor(F.col("longitude") / width).cast("long"))
+                .withColumn("bucket", _floor_div(moment, self.bucket_us)))
+
+    def _points(self, observations: DataFrame) -> DataFrame:
+        return self._with_cell(observations).select(
+            *self.cube_key, "obs_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+            F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"))
 
     def _blocks(self) -> tuple[DataFrame, DataFrame]:
         """Cubes at their home block, and cubes copied to every block in reach."""
@@ -123,17 +127,19 @@ class Linker:
         def lat_index(value: Column) -> Column:
             return F.floor(value / F.lit(block_lat)).cast("long")
 
-        home = (self.cubes
+        boxes = self.cubes.select(*self.within, "cube", *BOX)
+        home = (boxes
                 .withColumn("block_lat", lat_index(F.col("lat_lo")))
                 .withColumn("block_lon", F.floor(F.col("lon_lo") / lon_width(F.col("block_lat"))).cast("long"))
-                .withColumn("block_t", _floor_div(F.col("t_lo"), block_us)))
+                .withColumn("block_t", _floor_div(F.col("t_lo"), block_us))
+                .withColumn("zone", F.xxhash64(F.floor(F.col("block_lat") / 8), F.floor(F.col("block_lon") / 8))))
         # A partner's lower corner lies at most one cell plus the reach below this box.
         below = reach + self.side
         steep = F.least(F.greatest(F.abs("lat_lo"), F.abs("lat_hi")) + F.lit(below), F.lit(90.0))
         flattest_cell = F.greatest(F.cos(F.radians(steep)), F.lit(1e-9))
         reach_lon = F.least(F.lit(reach) / flattest_cell, F.lit(360.0))
         cell_lon = F.least(F.lit(self.side) / flattest_cell, F.lit(360.0))
-        halo = (self.cubes
+        halo = (boxes
                 .withColumn("block_lat", F.explode(F.sequence(
                     lat_index(F.col("lat_lo") - F.lit(below)), lat_index(F.col("lat_hi") + F.lit(reach)))))
                 .withColumn("width", lon_width(F.col("block_lat")))
@@ -151,18 +157,18 @@ class Linker:
         block = [*self.within, "block_lat", "block_lon", "block_t"]
         home, halo = self._blocks()
         possible, certain = _judge(self.distance, self.time_us)
-        return (_prefixed(home, "a_", block).join(_prefixed(halo, "b_", block), block)
+        return (_prefixed(home, "a_", [*block, "zone"]).join(_prefixed(halo, "b_", block), block)
                 .filter(F.col("a_cube") < F.col("b_cube")).filter(possible)
                 .withColumn("certain", certain)
                 .drop("block_lat", "block_lon", "block_t"))
 
     def links(self) -> DataFrame:
-        """(a_cube, b_cube) for every linked pair of cubes."""
+        """(a_cube, b_cube, zone) for every linked pair of cubes."""
         pairs = cut_lineage(self.candidate_pairs())
         weight = F.col("a_n").cast("double") * F.col("b_n").cast("double")
         undecided = pairs.filter(~F.col("certain")).withColumn("light", weight <= F.lit(float(self.light_product)))
         load = {row["light"]: row["n"] for row in undecided.groupBy("light").agg(F.count(F.lit(1)).alias("n")).collect()}
-        found = [pairs.filter("certain").select("a_cube", "b_cube")]
+        found = [pairs.filter("certain").select("a_cube", "b_cube", "zone")]
         if load.get(True):
             found.append(self._test_members(undecided.filter("light"), self._members(undecided.filter("light"))))
         if load.get(False):
@@ -170,7 +176,7 @@ class Linker:
         linked = found[0]
         for more in found[1:]:
             linked = linked.unionAll(more)
-        return linked.distinct() if len(found) > 1 else linked
+        return linked
 
     def _members(self, pairs: DataFrame) -> DataFrame:
         """Rows of the cubes named in ``pairs``: (node, cube, lat, lon, t)."""
@@ -182,20 +188,20 @@ class Linker:
 
     def _test_members(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Exact test of the members of light pairs (at most ``light_product`` tests a pair)."""
-        keys = pairs.select("a_cube", "b_cube",
+        keys = pairs.select("a_cube", "b_cube", "zone",
                             *(F.col(c) if c in pairs.columns else F.array(F.lit(0).cast("long")).alias(c)
                               for c in ("a_path", "b_path")))
         side_a, side_b = (_prefixed(members, p) for p in ("a_", "b_"))
         close = (linkage_meters(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= F.lit(self.distance))
         return (keys.join(side_a, ["a_cube", "a_path"]).join(side_b, ["b_cube", "b_path"])
                 .filter((F.abs(F.col("a_t") - F.col("b_t")) <= F.lit(self.time_us)) & close)
-                .select("a_cube", "b_cube").distinct())
+                .select("a_cube", "b_cube", "zone").distinct())
 
     def _split(self, heavy: DataFrame) -> list[DataFrame]:
         """Judge populous undecided pairs on ever smaller boxes."""
         root = F.array(F.lit(0).cast("long"))
         open_pairs = heavy.select(
-            "a_cube", "b_cube", root.alias("a_path"), root.alias("b_path"))
+            "a_cube", "b_cube", "zone", root.alias("a_path"), root.alias("b_path"))
         boxes = (self.cubes.select("cube", root.alias("path"), *BOX))
         members = self._members(heavy)
         found: list[DataFrame] = []
@@ -224,10 +230,10 @@ class Linker:
             judged = cut_lineage(
                 open_pairs.join(side_a, ["a_cube", "a_path"]).join(side_b, ["b_cube", "b_path"])
                 .filter(possible).withColumn("certain", certain)
-                .select("a_cube", "b_cube", F.col("a_child").alias("a_path"), F.col("b_child").alias("b_path"),
+                .select("a_cube", "b_cube", "zone", F.col("a_child").alias("a_path"), F.col("b_child").alias("b_path"),
                         (F.col("a_n").cast("double") * F.col("b_n").cast("double")
                          <= F.lit(float(self.light_product))).alias("light"), "certain"))
-            settled = judged.filter("certain").select("a_cube", "b_cube").distinct()
+            settled = judged.filter("certain").select("a_cube", "b_cube", "zone").distinct()
             rest = judged.filter("NOT certain").join(settled, ["a_cube", "b_cube"], "left_anti")
             found.append(settled)
             members = members.drop("parent")
@@ -236,18 +242,34 @@ class Linker:
                 tested = cut_lineage(self._test_members(light, members))
                 found.append(tested)
                 rest = rest.join(tested, ["a_cube", "b_cube"], "left_anti")
-            open_pairs = cut_lineage(rest.filter("NOT light").select("a_cube", "b_cube", "a_path", "b_path"))
+            open_pairs = cut_lineage(rest.filter("NOT light").select("a_cube", "b_cube", "zone", "a_path", "b_path"))
             boxes = boxes.drop("parent")
             if open_pairs.isEmpty():
                 return found
 
+    def labels(self) -> DataFrame:
+        """Cubes with their event_id, the smallest obs_id of the event."""
+        parts = connected_components(self.links(), "a_cube", "b_cube", near=["zone"])
+        return (self.cubes.join(parts.withColumnRenamed("node", "cube"), "cube", "left")
+                .withColumn("event_id", F.coalesce("component", "cube")).drop("component"))
+
     def assignments(self) -> DataFrame:
-        """(obs_id, event_id); event_id is the smallest obs_id of the event."""
-        labels = connected_components(self.links(), "a_cube", "b_cube")
-        events = (self.cubes.select(*self.cube_key, "cube")
-                  .join(labels.withColumnRenamed("node", "cube"), "cube", "left")
-                  .select(*self.cube_key, F.coalesce("component", "cube").alias("event_id")))
-        return self.points.join(events, self.cube_key).select(*self.within, "obs_id", "event_id")
+        """(obs_id, event_id) for every locatable row."""
+        return self.points.join(self.labels().select(*self.cube_key, "event_id"), self.cube_key).select(
+            *self.within, "obs_id", "event_id")
+
+    def attach(self, observations: DataFrame) -> DataFrame:
+        """Locatable rows with their event_id: one equi-join on the cell, no join on row ids."""
+        rows = self._with_cell(observations.drop("event_id"))
+        return rows.join(self.labels().select(*self.cube_key, "event_id"), self.cube_key).drop(
+            "band", "column", "bucket")
+
+    def events(self) -> DataFrame:
+        """Event summaries straight from the cubes; the rows are not read again."""
+        return self.labels().groupBy(*self.within, "event_id").agg(
+            (F.sum("lat_sum") / F.sum("n")).alias("latitude"), (F.sum("lon_sum") / F.sum("n")).alias("longitude"),
+            F.timestamp_micros(F.min("t_lo")).alias("start_time"), F.timestamp_micros(F.max("t_hi")).alias("end_time"),
+            F.sum("n").alias("observation_count"))
 
 
 def cluster_assignments(observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
@@ -257,10 +279,15 @@ def cluster_assignments(observations: DataFrame, distance_meters: float = config
     return Linker(observations, distance_meters, time_hours, within, light_product).assignments()
 
 
+def attach_events(observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
+                  time_hours: float = config.CLUSTER_TIME_HOURS) -> DataFrame:
+    return Linker(observations, distance_meters, time_hours).attach(observations)
+
+
 def linkage_graph(observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                   time_hours: float = config.CLUSTER_TIME_HOURS) -> DataFrame:
     """Sparse links between cubes; its closure is the closure of all close pairs."""
-    return Linker(observations, distance_meters, time_hours).links()
+    return Linker(observations, distance_meters, time_hours).links().select("a_cube", "b_cube")
 
 
 def assign_event_ids(observations: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -278,13 +305,12 @@ def summarize_events(linked: DataFrame) -> DataFrame:
 
 def cluster_events(observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                    time_hours: float = config.CLUSTER_TIME_HOURS) -> DataFrame:
-    assignments = cluster_assignments(observations, distance_meters, time_hours)
-    return summarize_events(observations.drop("event_id").join(assignments, "obs_id"))
+    return Linker(observations, distance_meters, time_hours).events()
 
 
 def single_cluster_groups(rows: DataFrame, group: str, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                           time_hours: float = config.CLUSTER_TIME_HOURS) -> DataFrame:
     """Groups whose own rows form exactly one cluster when linked on their own."""
-    parts = cluster_assignments(rows, distance_meters, time_hours, within=[group])
+    parts = Linker(rows, distance_meters, time_hours, within=[group]).labels()
     return (parts.groupBy(group).agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
             .filter("low = high").select(group))
