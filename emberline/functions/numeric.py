@@ -26,9 +26,8 @@ def display_round(value: Column, digits: int) -> Column:
 
 def finite_number(text: Column) -> Column:
     """Text to finite double or null; refuses suffixed forms such as ``1d``."""
-    trimmed = F.trim(text)
-    number = F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
-    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
+    number = F.regexp_extract(F.trim(text), NUMBER_PATTERN, 0).try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def clean_double(value: Column) -> Column:
