@@ -17,11 +17,11 @@ def grid_round(value: Column, digits: int) -> Column:
 def display_round(value: Column, digits: int) -> Column:
     """Half-up rounding for aggregates.
 
-    The nudge of a millionth of the last digit sends every decimal tie upwards,
+    The nudge of a hundred-thousandth of the last digit sends every decimal tie upwards,
     so a mean does not depend on the order in which partial sums were merged.
     """
     scale = F.lit(float(10**digits))
-    return F.floor(value * scale + F.lit(0.500001)) / scale
+    return F.floor(value * scale + F.lit(0.50001)) / scale
 
 
 def finite_number(text: Column) -> Column:

@@ -311,6 +311,7 @@ def cluster_events(observations: DataFrame, distance_meters: float = config.CLUS
 def single_cluster_groups(rows: DataFrame, group: str, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                           time_hours: float = config.CLUSTER_TIME_HOURS) -> DataFrame:
     """Groups whose own rows form exactly one cluster when linked on their own."""
-    parts = Linker(rows, distance_meters, time_hours, within=[group]).labels()
-    return (parts.groupBy(group).agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
-            .filter("low = high").select(group))
+    grouped = rows.select(F.col(group).alias("group_key"), "obs_id", "latitude", "longitude", "timestamp")
+    parts = Linker(grouped, distance_meters, time_hours, within=["group_key"]).labels()
+    return (parts.groupBy("group_key").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+            .filter("low = high").select(F.col("group_key").alias(group)))

@@ -1,4 +1,4 @@
 """Registered queries by topic."""
 
-from emberline.queries import ingest  # noqa: F401
+from emberline.queries import ingest, per_event, places, scoring, stored  # noqa: F401
 from emberline.queries.registry import ORACLES, QUERIES  # noqa: F401

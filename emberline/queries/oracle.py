@@ -12,7 +12,7 @@ from emberline import fixtures
 def half_up(expression: str, digits: int) -> str:
     """Text of the display rounding used for aggregates."""
     scale = f"CAST({10**digits} AS DOUBLE)"
-    return f"(floor(({expression})*{scale}+CAST(0.500001 AS DOUBLE))/{scale})"
+    return f"(floor(({expression})*{scale}+CAST(0.50001 AS DOUBLE))/{scale})"
 
 
 def key_round(expression: str, digits: int) -> str:

@@ -11,7 +11,7 @@ from emberline import fixtures
 from emberline.operators.cluster import Linker, summarize_events
 from emberline.operators.events import event_table, persistence_metrics
 from emberline.operators.scoring import assess_risk
-from emberline.session import materialize
+from emberline.session import materialize, scratch_path
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -52,3 +52,16 @@ def risk(spark: SparkSession, folder: str) -> DataFrame:
 def as_of(spark: SparkSession, folder: str) -> DataFrame:
     """One row: the newest timestamp of the data."""
     return linked(spark, folder).agg(F.max("timestamp").alias("as_of"))
+
+
+_FOLDERS: dict[tuple[str, str, str], str] = {}
+
+
+def folder_for(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder in the shared space, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _FOLDERS:
+        path = scratch_path(spark, name)
+        write(path)
+        _FOLDERS[key] = path
+    return _FOLDERS[key]
