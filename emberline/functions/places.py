@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline import config
+from emberline.functions.numeric import display_round
 
 # Reference places (name, state, latitude, longitude).
 HUBS = (
@@ -114,7 +115,7 @@ def nearest_hub(lat: Column, lon: Column, catalog: Sequence[tuple[str, str, floa
 
 
 def coordinate_label(lat: Column, lon: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f° N, %.{digits}f° E", lat, lon)
+    return F.format_string(f"%.{digits}f° N, %.{digits}f° E", display_round(lat, digits), display_round(lon, digits))
 
 
 def location_name(lat: Column, lon: Column, hub: Column) -> Column:

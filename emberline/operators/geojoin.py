@@ -87,11 +87,15 @@ def local_activity(events: DataFrame, rows: DataFrame, side: float = 0.1) -> Dat
     Detections are counted per cell first, so the join carries at most nine counts
     per event, however many detections a cell holds.
     """
+    def centred(name: str) -> Column:
+        """Cells are centred on multiples of the side."""
+        return F.floor(F.col(name) / F.lit(side) + F.lit(0.5)).cast("long")
+
     counts = (rows.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-              .groupBy(_cell(F.col("latitude"), side).alias("cell_lat"), _cell(F.col("longitude"), side).alias("cell_lon"))
+              .groupBy(centred("latitude").alias("cell_lat"), centred("longitude").alias("cell_lon"))
               .agg(F.count(F.lit(1)).alias("n")))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    blocks = (events.select("event_id", _cell(F.col("latitude"), side).alias("a"), _cell(F.col("longitude"), side).alias("b"))
+    blocks = (events.select("event_id", centred("latitude").alias("a"), centred("longitude").alias("b"))
               .withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
               .select("event_id", (F.col("a") + F.col("i")).alias("cell_lat"), (F.col("b") + F.col("j")).alias("cell_lon")))
     return (blocks.join(counts, ["cell_lat", "cell_lon"]).groupBy("event_id")

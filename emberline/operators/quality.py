@@ -16,7 +16,8 @@ CONFIDENCE_BUCKETS = ("0-20", "20-40", "40-60", "60-80", "80-100")
 
 def confidence_histogram(rows: DataFrame) -> DataFrame:
     """Five zero-filled buckets; null confidences are left out."""
-    slot = F.least(F.greatest(F.floor(F.col("confidence") / 20), F.lit(0)), F.lit(4))
+    c = F.col("confidence")
+    slot = F.when(c < 20, 0).when(c < 40, 1).when(c < 60, 2).when(c < 80, 3).when(c.isNotNull(), 4)
     counts = rows.agg(*(F.count_if(slot == i).alias(name) for i, name in enumerate(CONFIDENCE_BUCKETS)))
     pairs = F.array(*(F.struct(F.lit(n).alias("bucket"), F.col(f"`{n}`").alias("n")) for n in CONFIDENCE_BUCKETS))
     return counts.select(F.inline(pairs))

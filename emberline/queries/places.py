@@ -69,8 +69,8 @@ def facilities_nearby(spark, folder):
 
 
 @query("context_features", pl(f"""SELECT s.event_id, historical_activity, facility_distance_km FROM summary s LEFT JOIN
- (SELECT b.event_id, CAST(sum(n) AS DOUBLE) AS historical_activity FROM (SELECT event_id, floor(latitude/0.1::DOUBLE)+i AS a, floor(longitude/0.1::DOUBLE)+j AS b FROM summary, (VALUES (-1),(0),(1)) x(i), (VALUES (-1),(0),(1)) y(j)) b
-  JOIN (SELECT floor(latitude/0.1::DOUBLE) AS a, floor(longitude/0.1::DOUBLE) AS b, count(*) AS n FROM linked GROUP BY 1,2) c ON b.a=c.a AND b.b=c.b GROUP BY 1) USING (event_id)
+ (SELECT b.event_id, CAST(sum(n) AS DOUBLE) AS historical_activity FROM (SELECT event_id, floor(latitude/0.1::DOUBLE+0.5::DOUBLE)+i AS a, floor(longitude/0.1::DOUBLE+0.5::DOUBLE)+j AS b FROM summary, (VALUES (-1),(0),(1)) x(i), (VALUES (-1),(0),(1)) y(j)) b
+  JOIN (SELECT floor(latitude/0.1::DOUBLE+0.5::DOUBLE) AS a, floor(longitude/0.1::DOUBLE+0.5::DOUBLE) AS b, count(*) AS n FROM linked GROUP BY 1,2) c ON b.a=c.a AND b.b=c.b GROUP BY 1) USING (event_id)
  LEFT JOIN (SELECT event_id, {half_up('min(km)', 6)} AS facility_distance_km FROM near_fac GROUP BY 1) USING (event_id)""", "summary", "linked", "near_fac"))
 def context_features(spark, folder):
     context = geojoin.context_features(ws.events(spark, folder), ws.linked(spark, folder), fixtures.facilities(spark, folder))
@@ -132,16 +132,16 @@ def bbox_and_centroid(spark, folder):
         display_round(F.avg("longitude"), 6).alias("centroid_lon"))
 
 
-_JSON = """SELECT obs_id, CASE WHEN obs_id%2=0 THEN '{"frp": "'||coalesce(CAST(CAST(frp AS DECIMAL(12,4)) AS VARCHAR),'nan')||'", "daynight": "'||coalesce(daynight,'')||'"}'
- ELSE '{"metadata": {"frp": '||coalesce(CAST(CAST(frp AS DECIMAL(12,4)) AS VARCHAR),'null')||', "daynight": "'||coalesce(daynight,'')||'"}}' END AS metadata FROM """
+_JSON = """CASE WHEN obs_id%2=0 THEN '{"frp": "'||coalesce(CAST(CAST(frp AS DECIMAL(12,4)) AS VARCHAR(20)),'nan')||'", "daynight": "'||coalesce(daynight,'')||'"}'
+ ELSE '{"metadata": {"frp": '||coalesce(CAST(CAST(frp AS DECIMAL(12,4)) AS VARCHAR(20)),'null')||', "daynight": "'||coalesce(daynight,'')||'"}}' END AS metadata"""
 
 
 @query("metadata_json_get", sql("""SELECT obs_id, TRY_CAST(CASE WHEN f<>'nan' THEN f END AS DOUBLE) AS frp, d AS daynight FROM (SELECT obs_id,
  coalesce(json_extract_string(metadata,'$.frp'), json_extract_string(metadata,'$.metadata.frp')) AS f,
- coalesce(json_extract_string(metadata,'$.daynight'), json_extract_string(metadata,'$.metadata.daynight')) AS d FROM js)""", "js", js=(("obs",), _JSON + "obs")))
+ coalesce(json_extract_string(metadata,'$.daynight'), json_extract_string(metadata,'$.metadata.daynight')) AS d FROM js)""", "js", js=(("obs",), f"SELECT obs_id, {_JSON} FROM obs")))
 def metadata_json_get(spark, folder):
     """Metadata text in the flat and in the nested layout, a number or a text inside."""
-    js = spark.sql(_JSON.replace("VARCHAR", "STRING") + "{obs}", obs=fixtures.observations(spark, folder))
+    js = fixtures.observations(spark, folder).selectExpr("obs_id", _JSON.replace("VARCHAR(20)", "STRING"))
     m = F.col("metadata")
     return js.select("obs_id", metadata_number(m, "frp").alias("frp"), metadata_text(m, "daynight").alias("daynight"))
 
