@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.numeric import utc_day
+from emberline.functions.numeric import display_round, utc_day
 from emberline.operators.cluster import single_cluster_groups
 from emberline.operators.events import first_day_rows
 from emberline.operators.features import FIRST_DAY_FEATURES, extract_features
@@ -36,7 +36,7 @@ def recurrence_dataset(linked: DataFrame, wait_days: int = WAIT_DAYS) -> DataFra
                           F.when(F.col("last_day") > F.col("first_day"), POSITIVE).otherwise(NEGATIVE).alias("label")))
     first = first_day_rows(linked).join(old_enough.select("event_id"), "event_id", "left_semi")
     groups = first.groupBy("event_id").agg(F.concat_ws(
-        ":", F.floor(F.avg("latitude")).cast("string"), F.floor(F.avg("longitude")).cast("string")).alias("spatial_group"))
+        ":", *(F.floor(display_round(F.avg(c), 9)).cast("string") for c in ("latitude", "longitude"))).alias("spatial_group"))
     features = extract_features(first).select("event_id", *FIRST_DAY_FEATURES)
     return (old_enough.join(single_cluster_groups(first, "event_id"), "event_id", "left_semi")
             .join(groups, "event_id").join(features, "event_id"))
