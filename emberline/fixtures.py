@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import prepare_session
+
 OBSERVATIONS = """
 SELECT event_id AS obs_id, ts AS timestamp, loc,
  CAST(7 AS DOUBLE)+CAST(loc%270 AS DOUBLE)/CAST(10 AS DOUBLE)+CAST(event_id%5-2 AS DOUBLE)*CAST(0.003 AS DOUBLE) AS latitude,
@@ -57,7 +59,7 @@ SELECT n_nationkey AS point_id, n_name AS name, CAST(7 AS DOUBLE)+CAST(n_nationk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare_session(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

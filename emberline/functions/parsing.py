@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.numeric import finite_number
+from emberline.functions.numeric import finite_number, plain_number
 
 # Texts that stand for a missing measurement.
 MISSING_TOKENS = ("", "-", "na", "n/a", "null")
@@ -37,16 +37,27 @@ def first_present(columns: Sequence[Column]) -> Column:
     return F.coalesce(*(blank_to_null(c) for c in columns))
 
 
+def _digits_only(text: Column) -> Column:
+    return F.translate(text, "0123456789", "") == F.lit("")
+
+
+def _joined(text: Column, mark: str, *cuts: tuple[int, int]) -> Column:
+    parts = [text.substr(start, length) for start, length in cuts]
+    return F.concat_ws(mark, *parts)
+
+
 def _clock(text: Column) -> Column:
     """Up to four digits as left-padded ``HHMM`` (none: midnight), six as ``HHMMSS``."""
-    return (F.when(text.rlike(r"^\d{0,4}$"), F.regexp_replace(F.lpad(text, 4, "0"), r"^(\d\d)(\d\d)$", "$1:$2:00"))
-            .when(text.rlike(r"^\d{6}$"), F.regexp_replace(text, r"^(\d\d)(\d\d)(\d\d)$", "$1:$2:$3")))
+    padded = F.rpad(F.when(F.length(text) <= 4, F.lpad(text, 4, "0")).when(F.length(text) == 6, text), 6, "0")
+    return F.when(_digits_only(text), _joined(padded, ":", (1, 2), (3, 2), (5, 2)))
 
 
 def _date(text: Column) -> Column:
-    """``YYYY-MM-DD`` or ``YYYYMMDD``; anything else becomes text that no cast accepts."""
-    return F.regexp_replace(F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-                            r"^(?!\d{4}-\d{2}-\d{2}$).*$", "x")
+    """``YYYY-MM-DD`` or ``YYYYMMDD``, else null."""
+    dashed = (F.length(text) == 10) & (F.translate(text, "0123456789", "") == F.lit("--")) & (
+        text.substr(5, 1) == F.lit("-")) & (text.substr(8, 1) == F.lit("-"))
+    return (F.when(dashed, text)
+            .when((F.length(text) == 8) & _digits_only(text), _joined(text, "-", (1, 4), (5, 2), (7, 2))))
 
 
 def acquisition_time(date: Column, time: Column) -> Column:
@@ -92,30 +103,36 @@ def present_measurement(columns: Sequence[Column]) -> Column:
     return F.coalesce(*(F.when(~F.lower(F.trim(c)).isin(*MISSING_TOKENS), F.trim(c)) for c in columns))
 
 
-def _judged(text: Column, number: Column, low: float, high: float) -> Column:
-    inside = number.between(F.lit(low), F.lit(high))
-    error = (F.when(text.isNull() | F.coalesce(inside, F.lit(False)), F.lit(None).cast("string"))
-             .when(number.isNotNull() | F.lower(text).rlike(NOT_FINITE), F.lit("OUT_OF_RANGE"))
-             .otherwise(F.lit("MALFORMED")))
-    return F.struct(F.when(inside, number).alias("value"), error.alias("error"))
+def _value(number: Column, low: float, high: float) -> Column:
+    return F.when(number.between(F.lit(low), F.lit(high)), number)
+
+
+def _error(text: Column, number: Column, value: Column) -> Column:
+    return (F.when(text.isNull() | value.isNotNull(), F.lit(None).cast("string"))
+            .when(number.isNotNull() | F.lower(text).rlike(NOT_FINITE), F.lit("OUT_OF_RANGE"))
+            .otherwise(F.lit("MALFORMED")))
 
 
 def measurement(columns: Sequence[Column], low: float, high: float) -> Column:
     """struct(value, error): error is MALFORMED, OUT_OF_RANGE or null; both null when missing."""
     text = present_measurement(columns)
-    return _judged(text, finite_number(text), low, high)
+    number = finite_number(text)
+    value = _value(number, low, high)
+    return F.struct(value.alias("value"), _error(text, number, value).alias("error"))
 
 
 def with_measurements(df: DataFrame, fields: dict[str, tuple[Sequence[Column], float, float]]) -> DataFrame:
-    """Add one ``measurement`` struct per field.
+    """Add ``<name>_value`` and ``<name>_error`` per field.
 
-    Texts, numbers and verdicts are separate projections: each text is parsed
-    once, and the generated code stays small however many fields there are.
+    Texts, numbers, values and errors are separate projections of flat columns:
+    the optimizer then repeats no parsing expression, and the generated code
+    grows only linearly with the number of fields.
     """
     texts = df.select("*", *(present_measurement(columns).alias(f"_t_{name}") for name, (columns, _, _) in fields.items()))
-    numbers = texts.select("*", *(finite_number(F.col(f"_t_{name}")).alias(f"_n_{name}") for name in fields))
-    return numbers.select(*df.columns, *(
-        _judged(F.col(f"_t_{name}"), F.col(f"_n_{name}"), low, high).alias(name) for name, (_, low, high) in fields.items()))
+    numbers = texts.select("*", *(plain_number(F.col(f"_t_{name}")).alias(f"_n_{name}") for name in fields))
+    values = numbers.select("*", *(_value(F.col(f"_n_{name}"), low, high).alias(f"{name}_value") for name, (_, low, high) in fields.items()))
+    return values.select(*df.columns, *(f"{name}_value" for name in fields), *(
+        _error(F.col(f"_t_{name}"), F.col(f"_n_{name}"), F.col(f"{name}_value")).alias(f"{name}_error") for name in fields))
 
 
 def metadata_number(metadata: Column, key: str) -> Column:

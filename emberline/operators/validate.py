@@ -40,10 +40,10 @@ def check_rows(raw: DataFrame) -> DataFrame:
         "p_lat": (_columns(raw, ["latitude"]), -90.0, 90.0),
         "p_lon": (_columns(raw, ["longitude"]), -180.0, 180.0),
         "p_brightness": (_columns(raw, BRIGHTNESS_FIELDS), 200.0, 500.0),
-        "p_frp_m": (_columns(raw, ["frp"]), 0.0, 15000.0),
-        "p_scan_m": (_columns(raw, ["scan"]), 0.0, 20.0),
-        "p_track_m": (_columns(raw, ["track"]), 0.0, 20.0),
-        "p_confidence_m": (_columns(raw, ["confidence"]), 0.0, 100.0),
+        "p_frp": (_columns(raw, ["frp"]), 0.0, 15000.0),
+        "p_scan": (_columns(raw, ["scan"]), 0.0, 20.0),
+        "p_track": (_columns(raw, ["track"]), 0.0, 20.0),
+        "p_confidence": (_columns(raw, ["confidence"]), 0.0, 100.0),
     }
     conf = F.lower(F.trim(F.coalesce(_columns(raw, ["confidence"])[0], F.lit(""))))
     malformed = F.col("_malformed") if "_malformed" in raw.columns else F.lit(False)
@@ -52,10 +52,10 @@ def check_rows(raw: DataFrame) -> DataFrame:
                              conf.alias("p_conf"), malformed.alias("p_malformed"))
 
     def bad(name: str) -> Column:
-        return F.col(f"p_{name}.error").isNotNull()
+        return F.col(f"p_{name}_error").isNotNull()
 
     def value(name: str) -> Column:
-        return F.col(f"p_{name}.value")
+        return F.col(f"p_{name}_value")
 
     def absent(name: str) -> Column:
         return value(name).isNull() & ~bad(name)
@@ -69,13 +69,14 @@ def check_rows(raw: DataFrame) -> DataFrame:
         "*",
         (bad("lat") | bad("lon") | origin).alias("bad_coordinates"),
         F.col("p_time").isNull().alias("bad_timestamp"),
-        bad("brightness").alias("bad_brightness"), bad("frp_m").alias("bad_frp"),
-        not_positive("scan_m").alias("bad_scan"), not_positive("track_m").alias("bad_track"),
-        (~missing_conf & ~F.col("p_conf").isin("h", "n", "l") & bad("confidence_m")).alias("bad_confidence"),
-        absent("brightness").alias("missing_brightness"), absent("frp_m").alias("missing_frp"),
-        absent("scan_m").alias("missing_scan"), absent("track_m").alias("missing_track"),
+        bad("brightness").alias("bad_brightness"), bad("frp").alias("bad_frp"),
+        not_positive("scan").alias("bad_scan"), not_positive("track").alias("bad_track"),
+        (~missing_conf & ~F.col("p_conf").isin("h", "n", "l") & bad("confidence")).alias("bad_confidence"),
+        absent("brightness").alias("missing_brightness"), absent("frp").alias("missing_frp"),
+        absent("scan").alias("missing_scan"), absent("track").alias("missing_track"),
         missing_conf.alias("missing_confidence"),
-    ).withColumn("missing_coordinates", ~F.col("bad_coordinates") & (value("lat").isNull() | value("lon").isNull()))
+    )
+    flagged = flagged.withColumn("missing_coordinates", ~F.col("bad_coordinates") & (value("lat").isNull() | value("lon").isNull()))
     reason = (F.when(F.col("bad_coordinates"), F.lit("INVALID_COORDINATES"))
               .when(F.col("missing_coordinates"), F.lit("MISSING_COORDINATES"))
               .when(F.col("p_malformed"), F.lit("MALFORMED_RECORD"))
@@ -102,7 +103,7 @@ def mark_duplicates(checked: DataFrame, order: str = "line_no") -> DataFrame:
     """
     # A condition inside the aggregate, not a filter: a filter on ``reason`` would be
     # pushed to the scan and drag a second copy of every parsing expression along.
-    firsts = (checked.groupBy(*duplicate_key("p_lat.value", "p_lon.value", "p_time"), "source")
+    firsts = (checked.groupBy(*duplicate_key("p_lat_value", "p_lon_value", "p_time"), "source")
               .agg(F.min(F.when(F.col("reason").isNull(), F.col(order))).alias(order))
               .filter(F.col(order).isNotNull()).select(order, F.lit(True).alias("is_first")))
     repeated = F.col("reason").isNull() & F.col("is_first").isNull()
@@ -127,13 +128,13 @@ def accepted_observations(validated: DataFrame) -> DataFrame:
         F.create_map(*(part for name in kept for part in (F.lit(name), text(name)))), lambda _, v: v.isNotNull())
     order = [name for name in ("line_no",) if name in names]
     return validated.filter("reason IS NULL").select(
-        *order, F.col("p_time").alias("timestamp"), F.col("p_lat.value").alias("latitude"),
-        F.col("p_lon.value").alias("longitude"), F.col("p_brightness.value").alias("intensity"),
+        *order, F.col("p_time").alias("timestamp"), F.col("p_lat_value").alias("latitude"),
+        F.col("p_lon_value").alias("longitude"), F.col("p_brightness_value").alias("intensity"),
         confidence_percent(F.col("p_conf")).alias("confidence"),
         confidence_category(F.col("p_conf")).alias("confidence_category"),
         "source", F.coalesce(text("sensor"), text("satellite")).alias("sensor"),
-        F.col("p_frp_m.value").alias("frp"), F.col("p_scan_m.value").alias("scan"),
-        F.col("p_track_m.value").alias("track"), text("daynight").alias("daynight"), extras.alias("metadata"))
+        F.col("p_frp_value").alias("frp"), F.col("p_scan_value").alias("scan"),
+        F.col("p_track_value").alias("track"), text("daynight").alias("daynight"), extras.alias("metadata"))
 
 
 def quarantined_rows(validated: DataFrame) -> DataFrame:

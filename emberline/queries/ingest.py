@@ -134,8 +134,8 @@ def normalize_flag_invalid(spark, folder):
                               "fr_v AS frp FROM reasoned", "reasoned"))
 def validate_rows(spark, folder):
     return validate.check_rows(fixtures.raw_detections(spark, folder)).select(
-        "line_no", "reason", F.col("p_lat.value").alias("latitude"), F.col("p_lon.value").alias("longitude"),
-        F.col("p_time").alias("timestamp"), F.col("p_brightness.value").alias("brightness"), F.col("p_frp_m.value").alias("frp"))
+        "line_no", "reason", F.col("p_lat_value").alias("latitude"), F.col("p_lon_value").alias("longitude"),
+        F.col("p_time").alias("timestamp"), F.col("p_brightness_value").alias("brightness"), F.col("p_frp_value").alias("frp"))
 
 
 @query("dedup_observations", check("SELECT line_no, lat_v AS latitude, lon_v AS longitude, ts AS timestamp, source FROM validated WHERE reason IS NULL",

@@ -11,7 +11,7 @@ from emberline import fixtures
 from emberline.operators.cluster import Linker, summarize_events
 from emberline.operators.events import event_table, persistence_metrics
 from emberline.operators.scoring import assess_risk
-from emberline.session import materialize, scratch_path
+from emberline.session import materialize, prepare_session, scratch_path
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -19,7 +19,7 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _TABLES:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        prepare_session(spark)
         _TABLES[key] = materialize(build(), name)
     return _TABLES[key]
 

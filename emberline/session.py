@@ -9,12 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# HotSpot does not compile methods above this size; a generated method that is
+# larger runs slower than the same plan without whole-stage code.
+SESSION_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on; safe to repeat on any session."""
+    for key, value in SESSION_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app_name: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **SESSION_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
