@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import packing, token_lengths
+from emberline.llm import cascade, packing, token_lengths, warc
 from emberline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+WARC_SQL = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM rows WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM rows LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+@query("op6_warc_revisits", WARC_SQL)
+def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.write_and_read(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_lengths.context_totals(token_lengths.length_histogram(table(spark, folder, "documents")))
@@ -31,3 +49,39 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+CASCADE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+basic AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered FROM words),
+each_word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+top AS (SELECT doc_id, max(n) AS top_word FROM (SELECT doc_id, word, count(*) AS n FROM each_word GROUP BY ALL) GROUP BY 1),
+windows AS (SELECT * FROM (
+  SELECT doc_id, place, word || ' ' || lead(word) OVER d || ' ' || lead(word, 2) OVER d AS three
+  FROM each_word WINDOW d AS (PARTITION BY doc_id ORDER BY place)) WHERE three IS NOT NULL),
+twice AS (SELECT * FROM (SELECT doc_id, place, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT place + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS t(k) GROUP BY 1),
+whole AS (
+  SELECT b.*, coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(t.top_word, 0) AS top_word
+  FROM basic b LEFT JOIN covered c USING (doc_id) LEFT JOIN top t USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM whole)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_words > 1000000 OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_lettered < 7 * n_words OR 10 * top_word > 3 * n_words) AS kept
+FROM judged
+"""
+
+
+@query("op10_quality_cascade", CASCADE_SQL)
+def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = cascade.filter_quality(table(spark, folder, "documents"), measures=base)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
