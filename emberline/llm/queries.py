@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import cascade, packing, token_lengths, warc
+from emberline.llm import cascade, langmix, packing, token_lengths, warc
 from emberline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_language_mixture")
+def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langmix.fit(docs.filter(~langmix.held_out()))
+    found = langmix.identify(docs, model)
+    return found.select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 WARC_SQL = """
 WITH rows AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
