@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import as_bytes, slices
 from emberline.llm.tokens import VOCABULARY, chunk_ids
 
-RANGE = 4096
+RANGE = 256
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
