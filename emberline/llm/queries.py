@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import cascade, decontaminate, jaccard_join, langmix, packing, token_lengths, warc
+from emberline.llm import (
+    cascade, decontaminate, html_template, jaccard_join, langmix, packing, token_lengths, warc,
+)
 from emberline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,11 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op3_template_extraction")
+def op3_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract(table(spark, folder, "pages"))
+
+
 @query("op4_language_mixture")
 def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
