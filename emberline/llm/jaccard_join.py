@@ -16,8 +16,8 @@ A text's set is its distinct word shingles, as hashes. Texts with equal sets for
 
 To find the groups without all pairs of a large group, prefix buckets are first joined
 with one pivot each; what that links counts as one component. While buckets still hold
-more cross-component pairs than a multiple of their rows, other pivots follow; then the
-remaining cross-component pairs are joined in full. No link between two components is
+more cross-component pairs than a multiple of their rows, and each turn halves these,
+other pivots follow; then the remaining cross-component pairs are joined in full. No link between two components is
 lost; pairs within a known component need no test.
 
 Hashes are compared by 48 bits, whose chance of confusing a pair of 600-shingle texts is
@@ -168,10 +168,14 @@ def _shared(packed: DataFrame, cells: int) -> DataFrame:
 
 
 def _ordered(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, n, items): shared hashes, rarest first, of every class whose prefix holds one."""
+    """(node, n, mass, items): shared hashes, rarest first, of every class whose prefix holds one.
+
+    mass is the mean logarithm of how many classes hold a hash; it is high for the text
+    that many near copies were made from.
+    """
 
     def listed(key: tuple, chunks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "n": [], "items": []})
+        empty = pd.DataFrame({"node": [], "n": [], "mass": [], "items": []})
         if len(chunks) == 0 or len(known) == 0:
             return empty
         row_of = {tag: k for k, tag in enumerate(known["tag"])}
@@ -183,17 +187,17 @@ def _ordered(shared: DataFrame, classes: DataFrame) -> DataFrame:
             uses.append(np.frombuffer(row.counts, dtype="<u4"))
         owner, hashes, uses = np.concatenate(owner), np.concatenate(hashes), np.concatenate(uses)
         order = np.lexsort((hashes, uses, owner))
-        owner, hashes = owner[order], hashes[order].astype(np.int64)
+        owner, hashes, uses = owner[order], hashes[order].astype(np.int64), uses[order]
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         rows = []
         for low, high in zip(cuts, [*cuts[1:], len(owner)], strict=True):
             k = owner[low]
             n = int(known["n"].iat[k])
             if n - (high - low) < _prefix(n):
-                rows.append((int(known["node"].iat[k]), n, hashes[low:high]))
-        return pd.DataFrame(rows, columns=["node", "n", "items"]) if rows else empty
+                rows.append((int(known["node"].iat[k]), n, float(np.log(uses[low:high]).sum() / n), hashes[low:high]))
+        return pd.DataFrame(rows, columns=["node", "n", "mass", "items"]) if rows else empty
 
-    return shared.groupBy("cell").cogroup(classes.groupBy("cell")).applyInPandas(listed, "node long, n long, items array<long>")
+    return shared.groupBy("cell").cogroup(classes.groupBy("cell")).applyInPandas(listed, "node long, n long, mass double, items array<long>")
 
 
 def _prefix(n: int) -> int:
@@ -202,12 +206,12 @@ def _prefix(n: int) -> int:
 
 
 def _postings(lists: DataFrame) -> DataFrame:
-    """(h, node, n, pos, s0..): the prefix hashes with their rank and the cells of what follows."""
+    """(h, node, n, pos, s0.., mass): the prefix hashes with their rank and the cells of what follows."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(4 + SUFFIX_CELLS)]
-            for node, n, items in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("items"), strict=True):
+            columns: list[list[np.ndarray]] = [[] for _ in range(5 + SUFFIX_CELLS)]
+            for node, n, mass, items in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "mass")), batch.column("items"), strict=True):
                 items = items.values.to_numpy()
                 alone = n - len(items)
                 head = min(_prefix(n) - alone, len(items))
@@ -215,15 +219,15 @@ def _postings(lists: DataFrame) -> DataFrame:
                 after = np.bincount(items[head:] & (SUFFIX_CELLS - 1), minlength=SUFFIX_CELLS)
                 hot = (items[:head, None] & (SUFFIX_CELLS - 1)) == np.arange(SUFFIX_CELLS)
                 cells[:] = after + hot[::-1].cumsum(axis=0)[::-1] - hot
-                for column, values in zip(columns, (items[:head], np.full(head, node), np.full(head, n), np.arange(alone, alone + head), *cells.T), strict=True):
+                for column, values in zip(columns, (items[:head], np.full(head, node), np.full(head, n), np.arange(alone, alone + head), *cells.T, np.full(head, mass)), strict=True):
                     column.append(values)
             if columns[0]:
                 joined = [np.concatenate(column) for column in columns]
-                yield pa.record_batch([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), *(pa.array(x.astype(np.int32), pa.int32()) for x in joined[2:])],
-                                      names=["h", "node", "n", "pos", *(f"s{k}" for k in range(SUFFIX_CELLS))])
+                yield pa.record_batch([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), *(pa.array(x.astype(np.int32), pa.int32()) for x in joined[2:-1]), pa.array(joined[-1])],
+                                      names=["h", "node", "n", "pos", *(f"s{k}" for k in range(SUFFIX_CELLS)), "mass"])
 
     kinds = ", ".join(f"s{k} int" for k in range(SUFFIX_CELLS))
-    return lists.mapInArrow(posted, f"h long, node long, n int, pos int, {kinds}")
+    return lists.mapInArrow(posted, f"h long, node long, n int, pos int, {kinds}, mass double")
 
 
 def _may_reach(a: str, b: str) -> Column:
@@ -257,57 +261,51 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links, "a", "b"), "jaccard-labels")
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with the component of their class."""
-    if labels is None:
-        return postings.withColumn("component", F.col("node"))
-    return postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def linked_classes(lists: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(links (a, b) of classes found, labels (node, component)); None without any link.
 
     The links connect every component of the similarity graph; pairs inside an already
-    known component are not tested.
+    known component are not tested. The first pivots are the classes of the highest mass,
+    later ones differ from bucket to bucket.
     """
-    postings = materialize(_postings(lists), "jaccard-postings")
-    total = postings.count()
-    links, labels, done = [], None, []
+    spark = lists.sparkSession
+    live = materialize(_postings(lists).withColumn("component", F.col("node")), "jaccard-postings")
+    merged, labels, before = None, None, 0
     carried = [f"s{k}" for k in range(SUFFIX_CELLS)]
     for turn in range(MOST_STAR_ROUNDS + 1):
-        live = _labelled(postings, labels)
         by_component = live.groupBy("h", "component").agg(F.count("*").alias("m"))
-        mixed = by_component.groupBy("h").agg((F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))).alias("cross")).filter("cross > 0")
-        mixed = materialize(mixed, "jaccard-mixed")
-        done.append(mixed)
-        cross = mixed.agg(F.sum("cross")).first()[0] or 0
-        if cross == 0:
+        counts = by_component.groupBy("h").agg(F.sum("m").alias("m"), (F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))).alias("cross"))
+        mixed = materialize(counts.filter("cross > 0"), "jaccard-mixed")
+        cross, total = mixed.agg(F.sum("cross"), F.sum("m")).first()
+        if not cross:
+            drop_scratch(spark, mixed)
             break
-        live = live.join(mixed.select("h"), "h", "left_semi")
-        full = cross <= PAIRS_PER_POSTING * total or turn == MOST_STAR_ROUNDS
+        open_rows = live.join(mixed.select("h"), "h", "left_semi")
+        full = cross <= PAIRS_PER_POSTING * total or turn > 0 and 2 * cross > before or turn == MOST_STAR_ROUNDS
+        before = cross
         if full:
-            pairs = live.alias("x").join(live.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node"))
-                                         & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
+            pairs = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node"))
+                                              & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
-            rank = F.xxhash64("node", F.lit(turn)).alias("rank")
-            pivots = live.groupBy("h").agg(F.min(F.struct(rank, "node", "n", "pos", "component", *carried)).alias("p")).select("h", "p.*")
-            pairs = live.alias("x").join(pivots.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
+            rank = (-F.col("mass") if turn == 0 else F.xxhash64("node", "h", F.lit(turn)).cast("double")).alias("rank")
+            pivots = open_rows.groupBy("h").agg(F.min(F.struct(rank, "node", "n", "pos", "component", *carried)).alias("p")).select("h", "p.*")
+            pairs = open_rows.alias("x").join(pivots.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
             pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
         found = materialize(_verified(pairs, lists), "jaccard-links")
-        links.append(found)
-        if labels is not None:
-            done.append(labels)
-        merged = links[0]
-        for more in links[1:]:
-            merged = merged.unionAll(more)
-        labels = None if merged.isEmpty() else _labels(merged)
+        merged = found if merged is None else merged.unionAll(found)
+        if not found.isEmpty():
+            older, labels = labels, _labels(merged)
+            drop_scratch(spark, *([older] if older is not None else []))
         if full:
+            drop_scratch(spark, mixed)
             break
-    drop_scratch(lists.sparkSession, postings, *done)
-    if labels is None:
-        return None, None
-    return merged, labels
+        if labels is not None:
+            open_rows = open_rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        older, live = live, materialize(open_rows.select(live.columns), "jaccard-postings")
+        drop_scratch(spark, older, mixed)
+    drop_scratch(spark, live)
+    return (None, None) if labels is None else (merged, labels)
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
