@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import (
-    cascade, decontaminate, html_template, jaccard_join, langmix, packing, token_lengths, warc,
+    cascade, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
+    warc,
 )
 from emberline.llm.common import table
 
@@ -31,6 +32,41 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+#: For plain turns only; calls written as JSON in the texts are tested against a brute-force version.
+CALLS_SQL = """
+WITH keyed AS (
+  SELECT conv_id, turn, role, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS r
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE r = 1),
+users AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM keyed WHERE role = 'user'),
+answers AS (SELECT conv_id, turn, text FROM keyed WHERE role = 'assistant'),
+joined AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1) AS asked, u.turn AS turn, a.turn AS result_turn, u.text AS question, a.text AS answer, u.position
+  FROM users u FULL JOIN answers a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1),
+quoted AS (
+  SELECT *, coalesce('"' || replace(replace(replace(replace(replace(question, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"', 'null') AS q,
+         coalesce('"' || replace(replace(replace(replace(replace(answer, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"', 'null') AS r
+  FROM joined)
+SELECT conv_id, 'turn-' || asked AS id, turn, result_turn,
+       CASE WHEN turn IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       position::BIGINT AS position,
+       CASE WHEN turn IS NULL THEN NULL WHEN question IS NULL THEN 'text:missing' ELSE '' END AS errors,
+       CASE WHEN turn IS NOT NULL THEN '{"arguments":{"text":' || q || ',"turn":"' || turn || '"},"id":"turn-' || turn || '","name":"respond","result":' || r || '}' END AS call_json
+FROM quoted
+"""
+
+
+@query("op2_tool_call_linking", CALLS_SQL)
+def op2_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    messages = table(spark, folder, "conversations")
+    calls, results = tool_calls.turn_calls(messages)
+    calls = calls.unionByName(tool_calls.read_calls(messages))
+    results = results.unionByName(tool_calls.read_results(messages))
+    schema = spark.sql("SELECT * FROM VALUES ('respond', 'text', 'string', true), ('respond', 'turn', 'integer', true) AS t(tool, field, kind, required)")
+    linked = tool_calls.link_calls(calls, results, schema)
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
 @query("op3_template_extraction")
 def op3_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract(table(spark, folder, "pages"))
@@ -44,6 +80,13 @@ def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents"))
+    counts = [F.coalesce(F.regexp_count("base", F.lit(f"(^|,){kind}:")), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 WARC_SQL = """
 WITH rows AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
