@@ -3,9 +3,8 @@
 1. Texts become word numbers of the benchmark's vocabulary (0 for any other word), written
    once; overlapping passages are 32 words with a stride of 16.
 2. Document frequencies over all passages give TF-IDF weights. A randomised SVD of the
-   passage matrix A follows: tasks sum A'(A R) for a random R, the orthonormal basis Q of
-   that sum is taken, tasks sum (A Q)'(A Q), and its eigenvectors give the right singular
-   vectors. Tasks send vocabulary x rank and rank x rank numbers only.
+   passage matrix A follows: tasks sum A'(A R) for a random R, from which the right
+   singular vectors are taken. Tasks send vocabulary x rank numbers only.
 3. Every passage is projected (singular values divided out) and compared with every passage
    of the benchmark, the stated query set, in blocks. Candidates are all pairs whose cosine
    and whose projection on the benchmark passage are at or above ``least_cosine``.
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import as_bytes, drop_scratch, materialize, slices
 
 STRIDE = 16
-RANK, OVERSAMPLING = 112, 16
+RANK, OVERSAMPLING = 96, 32
 SEED = 7
 _SPLIT = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -106,10 +105,16 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_sums(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The sum of the words' rows of ``weights`` for each block (row 0 is zero)."""
-    out = np.zeros((len(blocks), weights.shape[1]), dtype=np.float32)
+    """The sum of the words' rows of ``weights`` for each block; word 0 adds nothing."""
+    known = (blocks > 0).sum(axis=1)
+    order = np.argsort(-known, kind="stable")
+    packed = np.sort(blocks, axis=1)[:, ::-1][order]
+    total = np.zeros((len(blocks), weights.shape[1]), dtype=np.float32)
     for column in range(STRIDE):
-        out += weights[blocks[:, column]]
+        count = int((known > column).sum())  # blocks with more known words stand first
+        total[:count] += weights[packed[:count, column]]
+    out = np.empty_like(total)
+    out[order] = total
     return out
 
 
@@ -173,14 +178,15 @@ def fit_space(texts: DataFrame, size: int, rank: int = RANK, oversampling: int =
     idf = np.log1p(passages[0] / np.maximum(passages, 1))
     idf[0] = 0
     wide = min(rank + oversampling, size)
-    start = np.random.default_rng(SEED).standard_normal((size, wide)) * idf[:, None]
-    first = spark.sparkContext.broadcast(start.astype(np.float32))
+    random = np.random.default_rng(SEED).standard_normal((size, wide))
+    random[0] = 0
+    first = spark.sparkContext.broadcast((random * idf[:, None]).astype(np.float32))
 
     def ranged(values: list[bytes]) -> np.ndarray:
         blocks, _ = _laid_out(values)
         made = _windows(blocks, first.value)
         made[1:] += made[:-1].copy()  # a block stands in the passage that starts there and in the one before
-        flat = blocks.reshape(-1)
+        flat = blocks.reshape(-1).astype(np.uint16 if size < 1 << 16 else np.uint32)
         order = np.argsort(flat, kind="stable")
         order = order[np.searchsorted(flat[order], 1):]
         out = np.zeros((size, wide))
@@ -191,18 +197,18 @@ def fit_space(texts: DataFrame, size: int, rank: int = RANK, oversampling: int =
             out[terms[cuts]] += np.add.reduceat(made[part // STRIDE], cuts, axis=0)
         return out
 
-    basis, _ = np.linalg.qr(_summed(texts, ranged, (size, wide)) * idf[:, None])
-    second = spark.sparkContext.broadcast((basis * idf[:, None]).astype(np.float32))
-
-    def squared(values: list[bytes]) -> np.ndarray:
-        made = _windows(_laid_out(values)[0], second.value)
-        return made.T @ made
-
-    values, turned = np.linalg.eigh(_summed(texts, squared, (wide, wide)))
-    best = np.argsort(-values)[:rank]
-    best = best[values[best] > 1e-9 * max(values.max(), 1e-300)]
-    singular = np.sqrt(values[best])
-    weights = (idf[:, None] * (basis @ turned[:, best]) / singular).astype(np.float32)
+    reached = _summed(texts, ranged, (size, wide)) * idf[:, None]
+    # eigenvectors of A'A from this one product with the random matrix (Nystroem), kept stable by a small shift
+    shift = np.sqrt(size) * np.finfo(np.float32).eps * max(np.linalg.norm(reached), 1e-30)
+    reached += shift * random
+    core = random.T @ reached
+    values, turned = np.linalg.eigh((core + core.T) / 2)
+    sound = values > 1e-10 * max(values.max(), 1e-300)
+    left, root, _ = np.linalg.svd(reached @ (turned[:, sound] / np.sqrt(values[sound])), full_matrices=False)
+    squares = np.maximum(root ** 2 - shift, 0)
+    best = np.flatnonzero(squares > 1e-9 * max(squares.max(initial=0), 1e-300))[:rank]
+    singular = np.sqrt(squares[best])
+    weights = (idf[:, None] * left[:, best] / singular).astype(np.float32)
     weights[0] = 0
     return LatentSpace(weights, singular)
 
