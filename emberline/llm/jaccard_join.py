@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import as_bytes, drop_scratch, materialize, shingle_hashes, slices, word_hashes
 from emberline.operators.components import connected_components
+from emberline.session import broadcast_if_small
 
 WIDTH = 5
 PERCENT = 75
@@ -335,7 +336,16 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: that of the smallest key (of repeated rows with it, one)."""
+    """One row of each component stays: that of the smallest key (of repeated rows with it, one).
+
+    Rows without a key stay. Texts are shuffled only where the keys to drop are too many to
+    be sent to every task, and rows of repeated keys.
+    """
     joined = join_documents(docs, key, text)
     gone = joined.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").dropDuplicates([key])
+    kept = docs.join(broadcast_if_small(gone), key, "left_anti")
+    repeated = joined.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    repeated = broadcast_if_small(repeated)
+    return kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key])).select(docs.columns)

@@ -126,6 +126,25 @@ def proportions(counts: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, n
     return chosen, likely
 
 
+def answers(texts: list[bytes], model: LanguageModel) -> list[tuple[str, float, list[str], list[float]]]:
+    """(language, score, chosen languages, their shares) of each text."""
+    names = model.languages
+    out: list[tuple[str, float, list[str], list[float]]] = []
+    for start in range(0, len(texts), 256):
+        held = texts[start:start + 256]
+        if names:
+            part, likely = proportions(np.stack([grams(t) for t in held]), model)
+        for i, text in enumerate(held):
+            if not names or not _LETTER.search(text.decode("utf-8", "replace")):
+                out.append((UNKNOWN, 0.0, [], []))
+                continue
+            chosen = [int(j) for j in np.argsort(-part[i], kind="stable") if part[i, j] > 0]
+            first = chosen[0]
+            score = float(part[i, first]) if len(chosen) > 1 else float(likely[i, first])
+            out.append((names[first], min(1.0, score), [names[j] for j in chosen], [float(part[i, j]) for j in chosen]))
+    return out
+
+
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, languages, shares): shares of the chosen languages, largest first.
 
@@ -133,34 +152,36 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     only one is chosen; 0 for ``und``.
     """
     kind = docs.select(key).schema.simpleString()[7:-1].replace(":", " ", 1)
-    names = model.languages
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x GRAMS numbers
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for whole in slices(batches, text):
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                texts = as_bytes(batch, text)
-                lettered = [bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
-                if names:
-                    part, likely = proportions(np.stack([grams(t) for t in texts]), held)
-                rows = []
-                for i, there in enumerate(lettered):
-                    if not there or not names:
-                        rows.append((UNKNOWN, 0.0, [], []))
-                        continue
-                    set_of = [int(j) for j in np.argsort(-part[i], kind="stable") if part[i, j] > 0]
-                    first = set_of[0]
-                    score = float(part[i, first]) if len(set_of) > 1 else float(likely[i, first])
-                    rows.append((names[first], min(1.0, score), [names[j] for j in set_of], [float(part[i, j]) for j in set_of]))
-                pred, score, listed, shares = zip(*rows, strict=True)
-                yield pa.record_batch([batch.column(key), pa.array(pred), pa.array(score, pa.float64()), pa.array(listed, pa.list_(pa.string())),
-                                       pa.array(shares, pa.list_(pa.float64()))], names=[key, "lang_pred", "score", "languages", "shares"])
+        for batch in slices(batches, text):
+            pred, score, listed, shares = zip(*answers(as_bytes(batch, text), shared.value), strict=True)
+            yield pa.record_batch([batch.column(key), pa.array(pred), pa.array(score, pa.float64()), pa.array(listed, pa.list_(pa.string())),
+                                   pa.array(shares, pa.list_(pa.float64()))], names=[key, "lang_pred", "score", "languages", "shares"])
 
     return docs.select(key, text).mapInArrow(answered, f"{kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
+def relabel(docs: DataFrame, model: LanguageModel, least_share: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents with a known main language of at least ``least_share`` of the text, which becomes ``lang``.
+
+    All other columns pass as they are. Nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = answers(as_bytes(batch, text), shared.value)
+            stays = [name != UNKNOWN and (shares[0] if shares else 0.0) >= least_share for name, _, _, shares in found]
+            told = pa.array([name for name, *_ in found], pa.string())
+            columns = [told if name == lang else batch.column(name) for name in names]
+            yield pa.record_batch(columns, schema=batch.schema).filter(pa.array(stays))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """The rows kept from training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
