@@ -159,8 +159,8 @@ def _shared(packed: DataFrame, cells: int) -> DataFrame:
         order = np.argsort(at, kind="stable")
         hashes, owner, uses, at = hashes[order], owner[order], uses[order], at[order]
         rows = []
-        cuts = np.flatnonzero(np.diff(at, prepend=-1)) if len(at) else []
-        for low, high in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        for low, high in zip(cuts, [*cuts[1:], len(at)][:len(cuts)], strict=True):
             mine, index = np.unique(owner[low:high], return_inverse=True)
             rows.append((int(at[low]), classes[mine].tobytes(), index.astype("<u4").tobytes(), _planes(hashes[low:high]), uses[low:high].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["cell", "tags", "owner", "hashes", "counts"])
@@ -176,7 +176,7 @@ def _ordered(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """
 
     def listed(key: tuple, chunks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "n": [], "mass": [], "items": []})
+        empty = pd.DataFrame([], columns=["node", "n", "mass", "items"], dtype=object)
         if len(chunks) == 0 or len(known) == 0:
             return empty
         row_of = {tag: k for k, tag in enumerate(known["tag"])}
