@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberline.session import materialize, scratch_path, shared_dir  # noqa: F401  used by the operators
 
-#: Entries a worker's word table holds before it is emptied; only memory and time depend on it.
+#: Entries a worker's tables of encoded chunks and of word hashes hold before they are emptied; only memory and time depend on it.
 CACHE_ENTRIES = 600_000
+HASH_ENTRIES = 250_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,7 +56,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; the same on every worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= HASH_ENTRIES:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value

@@ -45,7 +45,7 @@ WIDTH = 5
 PERCENT = 75
 #: Hashes to a range and rows to a cell of classes: the size of a task, not a limit.
 RANGE_HASHES = 2_000_000
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 12 << 20
 SUFFIX_CELLS = 8
 #: Cross-component pairs to a posting up to which the rest is joined in full at once.
 PAIRS_PER_POSTING = 20
@@ -107,8 +107,10 @@ def _packed(texts: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
                     continue
                 owner = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
                 hashes = np.concatenate(found)
+                del found
                 order = np.argsort(hashes, kind="stable")
                 hashes, owner = hashes[order], owner[order]
+                del order
                 cuts = np.searchsorted(hashes, edges[:-1])
                 rows = []
                 for cell, low, high in zip(range(ranges), cuts, [*cuts[1:], len(hashes)], strict=True):
