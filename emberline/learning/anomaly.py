@@ -10,8 +10,9 @@ from emberline.functions.numeric import display_round
 # Limits used where the capture has no statistics of its own.
 DEFAULT_P90 = {"max_frp": 6.0, "observation_count": 3.0, "max_intensity": 340.0, "duration_hours": 12.0}
 DEFAULT_FRP_MEDIAN = 2.1
-USUAL = "Thermal intensity and detection footprint fall within normal variation of this capture"
-UNUSUAL = "Multi-feature thermal and spatial combination deviates from the typical 92% envelope of this capture"
+# Output texts.
+USUAL = "Thermal intensity and detection footprint fall within normal variation of this FIRMS capture"
+UNUSUAL = "Multi-feature thermal and spatial combination deviates from the typical 92% envelope of this FIRMS capture"
 CAVEAT = "Unsupervised anomaly score indicates relative statistical deviation; it does not determine fire cause or causality"
 
 

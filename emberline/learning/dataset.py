@@ -11,7 +11,7 @@ from emberline.operators.events import first_day_rows
 from emberline.operators.features import FIRST_DAY_FEATURES, extract_features
 from emberline.operators.ledger import tree_digest
 from emberline.operators.quantiles import exact_quantiles
-from emberline.operators.ranking import rank_within
+from emberline.operators.ranking import RANGES_ALWAYS, rank_within
 
 # Labels, seed and limits of the recurrence task.
 POSITIVE = "multi_day_recurrence"
@@ -104,6 +104,6 @@ def impute(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
 def fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Order-independent SHA-256 over canonical row texts: a tree over rows in key order."""
     hashed = rows.select(F.lit(1).alias("all"), key, F.sha2(text, 256).alias("digest"))
-    # One group holds every row, so the ranking goes by ranges once the table is large.
-    ranked = rank_within(hashed, ["all"], [key])
+    # One group holds every row, so the ranking goes by ranges.
+    ranked = rank_within(hashed, ["all"], [key], largest=RANGES_ALWAYS)
     return tree_digest(ranked, "all").select(F.col("leaves").alias("n"), F.col("root").alias("fingerprint"))

@@ -32,6 +32,9 @@ BLOCK_BANDS = 8
 BLOCK_BUCKETS = 4
 SPLIT = 8
 LIGHT_PRODUCT = 4096
+# Rows of one cube above which the join back to its rows is spread over tasks.
+HOT_CUBE_ROWS = 200_000
+HOT_SALTS = 16
 BOX = ("n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "t_lo", "t_hi")
 
 
@@ -255,13 +258,15 @@ class Linker:
 
     def assignments(self) -> DataFrame:
         """(obs_id, event_id) for every locatable row."""
-        return self.points.join(self.labels().select(*self.cube_key, "event_id"), self.cube_key).select(
+        labels = self.labels()
+        return _join_cubes(self.points, labels.select(*self.cube_key, "event_id"), self.cube_key, hot_cubes(labels, self.cube_key)).select(
             *self.within, "obs_id", "event_id")
 
     def attach(self, observations: DataFrame) -> DataFrame:
         """Locatable rows with their event_id: one equi-join on the cell, no join on row ids."""
         rows = self._with_cell(observations.drop("event_id"))
-        return rows.join(self.labels().select(*self.cube_key, "event_id"), self.cube_key).drop(
+        labels = self.labels()
+        return _join_cubes(rows, labels.select(*self.cube_key, "event_id"), self.cube_key, hot_cubes(labels, self.cube_key)).drop(
             "band", "column", "bucket")
 
     def events(self) -> DataFrame:
@@ -272,6 +277,24 @@ class Linker:
             F.sum("n").alias("observation_count"))
 
 
+def hot_cubes(cubes: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """Keys of the cubes of more than HOT_CUBE_ROWS rows; None without any. At most rows / HOT_CUBE_ROWS of them."""
+    hot = cubes.filter(F.col("n") > HOT_CUBE_ROWS).select(*key)
+    return None if hot.isEmpty() else hot
+
+
+def _join_cubes(rows: DataFrame, labels: DataFrame, key: Sequence[str], hot: DataFrame | None) -> DataFrame:
+    """Rows with their cube's columns. Rows of hot cubes are spread over HOT_SALTS tasks, each with a copy of the cube."""
+    if hot is None:
+        return rows.join(labels, list(key))
+    marked = hot.withColumn("_hot", F.lit(True))
+    spread = (labels.join(broadcast_if_small(marked), list(key), "left")
+              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot"))
+    salted = (rows.join(broadcast_if_small(marked), list(key), "left")
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("obs_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot"))
+    return salted.join(spread, [*key, "_salt"]).drop("_salt")
+
+
 def cluster_assignments(observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                         time_hours: float = config.CLUSTER_TIME_HOURS, within: Sequence[str] = (),
                         light_product: int = LIGHT_PRODUCT) -> DataFrame:

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from emberline.operators.ranking import rank_within
 
-# Evidence id prefix, genesis link.
-EVIDENCE_PREFIX = "TW-"
+# Fixed value: genesis link.
+EVIDENCE_PREFIX = "EV-"
 GENESIS = "0" * 64
 SCHEMA_VERSION = "evidence-v2"
 FAN_OUT = 4096
-LEVELS = 3
 BLOCK = 256
 
 
@@ -43,20 +42,29 @@ def member_digest() -> Column:
                               _decimal(F.col("frp")), F.coalesce("daynight", F.lit("null"))), 256)
 
 
-def tree_digest(ranked: DataFrame, key: str, digest: str = "digest", fan_out: int = FAN_OUT, levels: int = LEVELS) -> DataFrame:
+def tree_digest(ranked: DataFrame, key: str, digest: str = "digest", fan_out: int = FAN_OUT) -> DataFrame:
     """(key, root, leaves) of the ordered digests of each key; needs ``rank`` from 1.
 
-    Each level joins ``fan_out`` neighbours; the number of levels is fixed, so the
-    root does not depend on how the work was split.
+    Each level joins ``fan_out`` neighbours until every key has one node left; a key that
+    is down to one is not hashed again, so its root depends on nothing but its own leaves.
+    The root binds the number of leaves.
     """
+    if fan_out < 2:
+        raise ValueError("fan_out must be at least 2")
     level = ranked.select(key, (F.col("rank") - 1).alias("place"), F.col(digest).alias("hash"), F.lit(1).cast("long").alias("leaves"))
-    for _ in range(levels):
+    widest = ranked.agg(F.max("rank")).first()[0] or 0
+    first = True
+    while first or widest > 1:
         block = F.floor(F.col("place") / F.lit(fan_out)).cast("long")
-        ordered = F.array_sort(F.collect_list(F.struct("place", "hash")))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"])
+        joined = F.sha2(F.array_join(ordered, ""), 256)
+        alone = (F.size(ordered) == 1) & (F.col("block") == 0)
         level = (level.groupBy(key, block.alias("block"))
-                 .agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("hash"), F.sum("leaves").alias("leaves"))
+                 .agg((joined if first else F.when(alone, F.element_at(ordered, 1)).otherwise(joined)).alias("hash"), F.sum("leaves").alias("leaves"))
                  .withColumnRenamed("block", "place"))
-    return level.filter("place = 0").select(key, F.col("hash").alias("root"), "leaves")
+        widest = -(-widest // fan_out)
+        first = False
+    return level.select(key, F.sha2(F.concat_ws("|", F.col("leaves").cast("string"), "hash"), 256).alias("root"), "leaves")
 
 
 def members_root(linked: DataFrame) -> DataFrame:
@@ -104,34 +112,57 @@ def receipt_hash() -> Column:
     return _receipt_hash(*(F.col(c) for c in ("sequence", "event_id", "evidence_id", "evidence_sha256", "previous_sha256", "anchored_at")))
 
 
-def block_start(key: Column, block: Column) -> Column:
-    """Link of the first receipt of a block; the very first one is the genesis link."""
-    return F.when(block == 0, F.lit(GENESIS)).otherwise(F.sha2(F.concat_ws("|", key.cast("string"), F.lit("block"), block.cast("string")), 256))
+def block_start(key: Column, block: Column, before: Column) -> Column:
+    """Link of the first receipt of a block: bound to the content of the block before; genesis for the first."""
+    return F.when(block == 0, F.lit(GENESIS)).otherwise(F.sha2(F.concat_ws("|", key.cast("string"), F.lit("block"), block.cast("string"), before), 256))
+
+
+def _block_of(sequence: Column) -> Column:
+    return F.floor((sequence - 1) / F.lit(BLOCK)).cast("long")
+
+
+def _content(x: Column) -> Column:
+    return F.sha2(F.concat_ws("|", x["sequence"].cast("string"), x["event_id"].cast("string"), x["evidence_id"], x["evidence_sha256"], _iso(x["anchored_at"])), 256)
+
+
+def block_roots(receipts: DataFrame, key: str = "ledger_key") -> DataFrame:
+    """(key, block, root): digest of the content of a block's receipts, in order (at most BLOCK of them)."""
+    item = F.struct("sequence", "event_id", "evidence_id", "evidence_sha256", "anchored_at")
+    return (receipts.withColumn("block", _block_of(F.col("sequence"))).groupBy(key, "block")
+            .agg(F.array_sort(F.collect_list(item)).alias("items"))
+            .select(key, "block", F.sha2(F.array_join(F.transform("items", _content), ""), 256).alias("root")))
 
 
 def ledger_append(packages: DataFrame, receipts: DataFrame | None = None, key: str = "ledger_key") -> DataFrame:
     """Receipts for packages not yet in the ledger, chained behind the known ones.
 
     ``packages`` has key, event_id, evidence_id, sha256, anchored_at. Appending the
-    same package again gives nothing.
+    same package again gives nothing. Blocks are hashed side by side; the first link of a
+    block is bound to the content of the block before, so no block can be replaced alone.
     """
     once = packages.groupBy(key, "evidence_id").agg(
         F.min_by(F.struct("event_id", "sha256", "anchored_at"), F.struct("anchored_at", "event_id")).alias("p")).select(
         key, "evidence_id", "p.event_id", F.col("p.sha256").alias("evidence_sha256"), "p.anchored_at")
+    content = [key, "sequence", "event_id", "evidence_id", "evidence_sha256", "anchored_at"]
     if receipts is None:
         ranked = rank_within(once, [key], ["anchored_at", "evidence_id"])
         numbered = ranked.select("*", F.col("rank").alias("sequence"), F.lit(0).cast("long").alias("known"), F.lit(None).cast("string").alias("tail"))
+        roots = block_roots(numbered.select(*content), key)
     else:
         fresh = once.join(receipts.select(key, "evidence_id"), [key, "evidence_id"], "left_anti")
         tails = receipts.groupBy(key).agg(F.max("sequence").alias("known"), F.max_by("chain_sha256", "sequence").alias("tail"))
         ranked = rank_within(fresh, [key], ["anchored_at", "evidence_id"]).join(tails, key, "left")
         numbered = ranked.withColumn("known", F.coalesce("known", F.lit(0))).withColumn("sequence", F.col("known") + F.col("rank"))
+        last = receipts.join(tails.select(key, "known"), key).filter(_block_of(F.col("sequence")) == _block_of(F.col("known")))
+        roots = block_roots(last.select(*content).unionByName(numbered.select(*content)), key)
+    before = roots.select(key, (F.col("block") + 1).alias("block"), F.col("root").alias("before"))
     item = F.struct("sequence", "event_id", "evidence_id", "evidence_sha256", "anchored_at")
-    blocks = (numbered.withColumn("block", F.floor((F.col("sequence") - 1) / F.lit(BLOCK)).cast("long"))
+    blocks = (numbered.withColumn("block", _block_of(F.col("sequence")))
               .groupBy(key, "block").agg(F.array_sort(F.collect_list(item)).alias("items"),  # at most BLOCK items
-                                         F.first("known").alias("known"), F.first("tail").alias("tail")))
+                                         F.first("known").alias("known"), F.first("tail").alias("tail"))
+              .join(before, [key, "block"], "left"))
     continues = (F.col("known") % BLOCK != 0) & (F.floor(F.col("known") / F.lit(BLOCK)) == F.col("block"))
-    start = F.when(continues, F.col("tail")).otherwise(block_start(F.col(key), F.col("block")))
+    start = F.when(continues, F.col("tail")).otherwise(block_start(F.col(key), F.col("block"), F.col("before")))
     blocks = blocks.withColumn("start", start)
 
     def step(acc: Column, x: Column) -> Column:
@@ -146,6 +177,14 @@ def ledger_append(packages: DataFrame, receipts: DataFrame | None = None, key: s
         F.col("r.previous").alias("previous_sha256"), "r.item.anchored_at").withColumn("chain_sha256", receipt_hash())
 
 
+def require_appendable(packages: DataFrame, receipts: DataFrame, heads: DataFrame, key: str = "ledger_key") -> None:
+    """Refuse to append packages whose content does not match their digest, or to a ledger that does not verify."""
+    if not packages.filter(~F.coalesce(F.sha2(payload_text(), 256) == F.col("sha256"), F.lit(False))).isEmpty():
+        raise ValueError("a package does not match its digest")
+    if not ledger_verify(receipts, heads, key).filter("NOT valid").isEmpty():
+        raise ValueError("the ledger does not verify")
+
+
 def ledger_heads(receipts: DataFrame, key: str = "ledger_key") -> DataFrame:
     """Checkpoint per ledger: number of receipts and the root over its block tails."""
     tails = receipts.groupBy(key, F.floor((F.col("sequence") - 1) / F.lit(BLOCK)).cast("long").alias("block")).agg(
@@ -161,10 +200,10 @@ def ledger_verify(receipts: DataFrame, heads: DataFrame, key: str = "ledger_key"
     length is verified in parallel.
     """
     before = receipts.select(key, (F.col("sequence") + 1).alias("sequence"), F.col("chain_sha256").alias("expected")).distinct()
-    block = F.floor((F.col("sequence") - 1) / F.lit(BLOCK)).cast("long")
     at_start = (F.col("sequence") - 1) % BLOCK == 0
-    joined = receipts.join(before, [key, "sequence"], "left")
-    link = F.when(at_start, block_start(F.col(key), block)).otherwise(F.col("expected"))
+    roots = block_roots(receipts, key).select(key, (F.col("block") + 1).alias("block"), F.col("root").alias("before"))
+    joined = receipts.join(before, [key, "sequence"], "left").withColumn("block", _block_of(F.col("sequence"))).join(roots, [key, "block"], "left")
+    link = F.when(at_start, block_start(F.col(key), F.col("block"), F.col("before"))).otherwise(F.col("expected"))
     good = (F.col("chain_sha256") == receipt_hash()) & F.coalesce(F.col("previous_sha256") == link, F.lit(False))
     rows = joined.groupBy(key).agg(
         F.count(F.lit(1)).alias("receipt_count"), F.min("sequence").alias("low"), F.max("sequence").alias("high"),

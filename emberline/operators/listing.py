@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.ranking import RANGES_ALWAYS, rank_within
 from emberline import config
 from emberline.functions.geo import in_region
 from emberline.functions.labels import class_label
@@ -33,6 +34,13 @@ def rank_events(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.col("risk_score").desc(), F.col("end_time").desc(), F.col("event_id"))
 
 
+def ranked_events(scored: DataFrame) -> DataFrame:
+    """Every event with its exact position in that ranking, numbered by ranges rather than in one task."""
+    keyed = scored.select("*", F.lit(1).alias("_all"), (-F.col("risk_score")).alias("_risk"), (-F.unix_micros("end_time")).alias("_end"))
+    ranked = rank_within(keyed, ["_all"], ["_risk", "_end", "event_id"], rank="position", size="_size", largest=RANGES_ALWAYS)
+    return ranked.drop("_all", "_risk", "_end", "_size")
+
+
 def paginate(events: DataFrame, page: int = 1, page_size: int = config.PAGE_SIZE, key: str = "event_id") -> DataFrame:
     if page < 1 or not 1 <= page_size <= config.MAX_PAGE_SIZE:
         raise ValueError("page starts at 1, page_size is 1 to 100")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.ranking import join_null_safe
 from emberline.session import broadcast_if_small
 
 # Identity of a stored detection; replays also compare the sensor.
@@ -82,10 +83,10 @@ def merge_capture_into_events(members: DataFrame, stored: DataFrame, key: Sequen
     """Per new cluster: the stored event its known members belong to.
 
     ``outcome`` is created, adopted or conflict (members of several stored
-    events). Two extremes tell one stored event from several; no set is collected.
+    events). Null key parts, such as an unknown sensor, equal each other. Two extremes tell one stored event from several; no set is collected.
     """
     known = stored.filter("event_id IS NOT NULL").select(*key, F.col("event_id").alias("stored_id"))
-    adopted = members.join(known, list(key), "left").groupBy("event_id").agg(
+    adopted = join_null_safe(members, known, key, "left").groupBy("event_id").agg(
         F.min("stored_id").alias("low"), F.max("stored_id").alias("high"), F.count(F.lit(1)).alias("members"),
         F.count("stored_id").alias("known_members"))
     return adopted.select(

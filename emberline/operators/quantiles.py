@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.ranking import join_null_safe
 from emberline.session import cut_lineage
 
 PERCENTILE_LIMIT = 1_000_000
@@ -33,7 +34,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
         F.coalesce(F.sum("_piece").over(spans.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).alias("_before"), F.sum("_piece").over(spans).alias("_all"))
     inside = Window.partitionBy("_part", *keys).orderBy("_v")
-    running = (placed.join(F.broadcast(pieces), ["_part", *keys])
+    running = (join_null_safe(placed, pieces, ["_part", *keys])
                .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)))
 
     def at(position: Column) -> Column:
@@ -43,7 +44,9 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     for name, q in quantiles.items():
         place = (F.col("_all") - 1) * F.lit(q)
         wanted += [at(F.floor(place)).alias(name + "_lo"), at(F.ceil(place)).alias(name + "_hi"),
-                   F.max(place - F.floor(place)).alias(name + "_share")]
+                   F.max(place - F.floor(place)).alias(name + "_share"), F.max(F.ceil(place) - place).alias(name + "_rest")]
     found = running.groupBy(*keys).agg(*wanted)
+    # the same arithmetic as the built-in percentile, so that both ways give the same bits
     return found.select(*keys, *(
-        (F.col(n + "_lo") + (F.col(n + "_hi") - F.col(n + "_lo")) * F.col(n + "_share")).alias(n) for n in quantiles))
+        F.when(F.col(n + "_lo") == F.col(n + "_hi"), F.col(n + "_lo").cast("double"))
+        .otherwise(F.col(n + "_rest") * F.col(n + "_lo") + F.col(n + "_share") * F.col(n + "_hi")).alias(n) for n in quantiles))

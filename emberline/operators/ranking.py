@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from emberline.session import cut_lineage
 
 WINDOW_LIMIT = 2_000_000
+# Pass as ``largest`` where one group holds the whole table.
+RANGES_ALWAYS = WINDOW_LIMIT + 1
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet null keys; the left keys stay."""
+    named = right.select(*(F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(named, same, how).drop(*(f"_right_{key}" for key in keys))
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -38,5 +49,5 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank:
     before = F.sum("_n").over(spans.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     pieces = (pieces.withColumn("_shift", F.coalesce(before, F.lit(0)) - F.col("_first") + 1)
               .withColumn(size, F.sum("_n").over(spans)).drop("_n", "_first"))
-    return (placed.join(pieces, ["_part", *keys])
+    return (join_null_safe(placed, pieces, ["_part", *keys])
             .withColumn(rank, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift"))

@@ -28,9 +28,9 @@ MISSING_FIELDS = ("coordinates", "brightness", "frp", "scan", "track", "confiden
 
 
 def _columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    """The named columns that the feed has; header names keep their case."""
-    present = set(df.columns)
-    found = [F.col(name) for name in names if name in present]
+    """The named columns that the feed has, whatever the case of its header."""
+    present = {name.lower(): name for name in df.columns}
+    found = [F.col(f"`{present[name.lower()]}`") for name in names if name.lower() in present]
     return found or [F.lit(None).cast("string")]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import config
@@ -13,7 +13,8 @@ from emberline.operators import listing, merge, scoring, validate
 from emberline.operators.cluster import Linker, summarize_events
 from emberline.operators.events import event_table, persistence_metrics, persistent_sources, stable_event_ids
 from emberline.operators.history import recent
-from emberline.session import materialize
+from emberline.operators.merge import OBSERVATION_KEY
+from emberline.session import broadcast_if_small, materialize
 
 
 @dataclass
@@ -26,30 +27,65 @@ class IngestionRun:
     summary: DataFrame
 
 
+def stable_observation_id() -> Column:
+    """The same 64-bit id for a detection in every run, from its identity; runs number their lines anew."""
+    return F.xxhash64(*OBSERVATION_KEY)
+
+
+def require_unique_ids(rows: DataFrame) -> DataFrame:
+    """Refuse a table in which two detections share an id."""
+    if not rows.groupBy("obs_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("two detections share an obs_id")
+    return rows
+
+
 def run_ingestion(raw: DataFrame, stored: DataFrame | None = None, stored_events: DataFrame | None = None,
-                  window_hours: float | None = 48, order: str = "line_no") -> IngestionRun:
-    """Validate, keep the region, upsert, cluster the recent window, match, assess.
+                  window_hours: float | None = 48, order: str = "line_no", stored_risk: DataFrame | None = None) -> IngestionRun:
+    """Validate, keep the region, upsert, cluster the recent window, match, relink, recount, assess.
 
-    ``window_hours`` None clusters everything stored.
+    ``window_hours`` None clusters everything stored. A cluster that matches a stored event
+    takes its id; its rows are linked to that id in the stored table, counts come from the
+    links, and the touched events' risk replaces the stored one. Stored events that no row
+    of the window belongs to any more stay with their other rows, or go if they have none.
     """
     validated = materialize(validate.validate_rows(raw, order), "validated")
-    accepted = validate.accepted_observations(validated).drop("metadata").withColumnRenamed("line_no", "obs_id")
-    inside = accepted.filter(in_region(F.col("latitude"), F.col("longitude")))
+    accepted = validate.accepted_observations(validated).drop("metadata")
+    inside = accepted.filter(in_region(F.col("latitude"), F.col("longitude"))).withColumn("obs_id", stable_observation_id())
     if stored is None:
-        merged = inside.withColumn("outcome", F.lit("inserted"))
+        # a key comes once: later rows with it were rejected as duplicates
+        merged = merge.latest_per_key(inside, merge.OBSERVATION_KEY, order).withColumn("outcome", F.lit("inserted"))
     else:
-        merged = merge.upsert_observations(stored, inside, order="obs_id")
-    merged = materialize(merged, "stored_observations")
+        merged = merge.upsert_observations(stored, inside, order=order)
+    merged = require_unique_ids(materialize(merged.drop(order), "stored_observations"))
     rows = merged if window_hours is None else recent(merged, window_hours)
-    linked = materialize(Linker(rows).attach(rows), "linked_observations")
+    clustered = materialize(Linker(rows).attach(rows), "clustered_observations")
+    clusters = summarize_events(clustered)
+    if stored_events is None:
+        matched = clusters.select("event_id", F.lit(None).cast("long").alias("stored_id"), F.lit("created").alias("outcome"))
+    else:
+        matched = merge.match_existing_events(clusters, stored_events).select("event_id", "stored_id", "outcome")
+        # one stored event is taken by one cluster, that with the smallest id
+        first = F.min("event_id").over(Window.partitionBy("stored_id"))
+        taken = F.col("stored_id").isNotNull() & (F.col("event_id") == F.col("first"))
+        matched = matched.withColumn("first", first).select("event_id", F.when(taken, F.col("stored_id")).alias("stored_id"),
+                                                            F.when(taken, "updated").otherwise("created").alias("outcome"))
+    matched = materialize(matched, "matched_events")
+    linked = materialize(clustered.join(broadcast_if_small(matched.select("event_id", "stored_id")), "event_id")
+                         .withColumn("event_id", F.coalesce("stored_id", "event_id")).drop("stored_id"), "linked_observations")
     metrics = materialize(persistence_metrics(linked), "event_metrics")
     events = materialize(event_table(metrics, summarize_events(linked)), "event_table")
     risk = scoring.assess_risk(metrics)
-    if stored_events is None:
-        matched = events.withColumn("outcome", F.lit("created"))
+    if stored_events is not None:
+        fresh = linked.select("obs_id", F.col("event_id").alias("fresh_id"))
+        before = F.col("event_id") if "event_id" in merged.columns else F.lit(None).cast("long")
+        merged = materialize(merged.withColumn("event_id", before).join(fresh, "obs_id", "left")
+                             .withColumn("event_id", F.coalesce("fresh_id", "event_id")).drop("fresh_id"), "relinked_observations")
+        events = merge.recount_events(merge.replace_rows(stored_events, events), merged).filter("observation_count > 0")
+        if stored_risk is not None:
+            risk = merge.replace_rows(stored_risk, risk)
     else:
-        matched = merge.match_existing_events(events, stored_events)
-    lasting = persistent_sources(events.select("event_id", "observation_count"), config.PERSISTENCE_MIN_DETECTIONS)
+        merged = merged.join(linked.select("obs_id", "event_id"), "obs_id", "left")
+    lasting = persistent_sources(summarize_events(linked).select("event_id", "observation_count"), config.PERSISTENCE_MIN_DETECTIONS)
     report = validate.validation_report(validated)
     parts = [
         merge.upsert_counts(merged),

@@ -28,14 +28,16 @@ _PRINT = (f"sha256('{{\"latitude\":'||{_num('latitude')}||',\"longitude\":'||{_n
 LEDGER = {
     **RISK,
     "members": (("linked",), f"SELECT event_id, timestamp, latitude, longitude, sha256(concat_ws('|', {_PRINT}, {_num('intensity')}, {_num('confidence')}, {_num('frp')}, coalesce(daynight,'null'))) AS digest FROM linked"),
-    "roots": (("members",), "SELECT event_id, sha256(sha256(sha256(string_agg(digest,'' ORDER BY timestamp, latitude, longitude, digest)))) AS root, count(*) AS leaves FROM members GROUP BY 1"),
-    "packs": (("bucketed", "roots"), f"""SELECT event_id, start_time, end_time, latitude, longitude, leaves, root, sha256, 'TW-'||upper(substr(sha256,1,16)) AS evidence_id FROM (SELECT *, sha256(concat_ws('|','evidence-v2', event_id, {_num('latitude')}, {_num('longitude')}, {_iso('start_time')}, {_iso('end_time')},
+    "roots": (("members",), "SELECT event_id, sha256(count(*)||'|'||sha256(string_agg(digest,'' ORDER BY timestamp, latitude, longitude, digest))) AS root, count(*) AS leaves FROM members GROUP BY 1"),
+    "packs": (("bucketed", "roots"), f"""SELECT event_id, start_time, end_time, latitude, longitude, leaves, root, sha256, 'EV-'||upper(substr(sha256,1,16)) AS evidence_id FROM (SELECT *, sha256(concat_ws('|','evidence-v2', event_id, {_num('latitude')}, {_num('longitude')}, {_iso('start_time')}, {_iso('end_time')},
  leaves, active_days, {_num('persistence_score', 2)}, trend, {_num('risk_score', 1)}, severity, classification, root)) AS sha256 FROM bucketed JOIN roots USING (event_id))"""),
     "ordered": (("packs",), "SELECT CAST(floor(latitude/2) AS BIGINT) AS ledger_key, event_id, evidence_id, sha256 AS evidence_sha256, end_time AS anchored_at, "
                             "row_number() OVER (PARTITION BY floor(latitude/2) ORDER BY end_time, evidence_id) AS sequence FROM packs"),
-    "chain": (("ordered",), f"""SELECT *, CASE WHEN sequence=1 THEN repeat('0',64) ELSE sha256(ledger_key||'|block|'||(sequence-1)//256) END AS previous_sha256,
- sha256(concat_ws('|', sequence, event_id, evidence_id, evidence_sha256, CASE WHEN sequence=1 THEN repeat('0',64) ELSE sha256(ledger_key||'|block|'||(sequence-1)//256) END, {_iso('anchored_at')})) AS chain_sha256
- FROM ordered WHERE (sequence-1)%256=0
+    "block_roots": (("ordered",), f"""SELECT ledger_key, (sequence-1)//256 AS block, sha256(string_agg(sha256(concat_ws('|', sequence, event_id, evidence_id, evidence_sha256, {_iso('anchored_at')})), '' ORDER BY sequence)) AS block_root
+ FROM ordered GROUP BY ALL"""),
+    "starts": (("ordered", "block_roots"), """SELECT o.*, CASE WHEN sequence=1 THEN repeat('0',64) ELSE sha256(o.ledger_key||'|block|'||(sequence-1)//256||'|'||b.block_root) END AS previous_sha256
+ FROM ordered o LEFT JOIN block_roots b ON b.ledger_key=o.ledger_key AND b.block=(o.sequence-1)//256-1 WHERE (o.sequence-1)%256=0"""),
+    "chain": (("ordered", "starts"), f"""SELECT *, sha256(concat_ws('|', sequence, event_id, evidence_id, evidence_sha256, previous_sha256, {_iso('anchored_at')})) AS chain_sha256 FROM starts
  UNION ALL SELECT o.*, c.chain_sha256, sha256(concat_ws('|', o.sequence, o.event_id, o.evidence_id, o.evidence_sha256, c.chain_sha256, {_iso('o.anchored_at')}))
  FROM chain c JOIN ordered o ON o.ledger_key=c.ledger_key AND o.sequence=c.sequence+1 WHERE (o.sequence-1)%256<>0"""),
 }
@@ -119,10 +121,9 @@ def anchor_registry(spark, folder):
     return ledger.anchor_registry(first.unionByName(second).unionByName(empty))
 
 
-@query("dataset_fingerprint", le("""SELECT count(*) AS n, sha256(sha256(sha256(string_agg(h,'' ORDER BY event_id)))) AS fingerprint FROM
- (SELECT event_id, sha256(concat_ws('|', event_id, total_detections, active_days, printf('%.2f',persistence_score), trend)) AS h FROM metrics)""", "metrics").replace(
-    "sha256(sha256(sha256(string_agg(h,'' ORDER BY event_id))))", "(SELECT sha256(sha256(string_agg(leaf,'' ORDER BY b))) FROM (SELECT (r-1)//4096 AS b, sha256(string_agg(h,'' ORDER BY r)) AS leaf FROM "
-    "(SELECT h, row_number() OVER (ORDER BY event_id) AS r FROM (SELECT event_id, sha256(concat_ws('|', event_id, total_detections, active_days, printf('%.2f',persistence_score), trend)) AS h FROM metrics)) GROUP BY 1))"))
+@query("dataset_fingerprint", le("""SELECT count(*) AS n, (SELECT sha256(sum(leaves)||'|'||CASE WHEN count(*)=1 THEN min(leaf) ELSE sha256(string_agg(leaf,'' ORDER BY b)) END) FROM
+ (SELECT (r-1)//4096 AS b, count(*) AS leaves, sha256(string_agg(h,'' ORDER BY r)) AS leaf FROM (SELECT h, row_number() OVER (ORDER BY event_id) AS r FROM
+ (SELECT event_id, sha256(concat_ws('|', event_id, total_detections, active_days, printf('%.2f',persistence_score), trend)) AS h FROM metrics)) GROUP BY 1)) AS fingerprint FROM metrics""", "metrics"))
 def dataset_fingerprint(spark, folder):
     from emberline.learning.dataset import fingerprint
     m = ws.metrics(spark, folder)

@@ -187,12 +187,12 @@ def anomaly_reasons(spark, folder):
 
 
 def _labeled(spark, folder):
-    """Labelled lines from the tables: an event's first and last row, label by its class."""
+    """Labelled lines from the tables: all rows of an event, label by its class (a fixture, not a review)."""
     def write(path):
-        order = F.struct("timestamp", "obs_id")
         row = F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), "latitude", "longitude", "intensity", "confidence", "source",
                        F.create_map(F.lit("frp"), F.col("frp").cast("string"), F.lit("daynight"), F.col("daynight")).alias("metadata"))
-        ends = ws.linked(spark, folder).groupBy("event_id").agg(F.array(F.min_by(row, order), F.max_by(row, order)).alias("observations"))
+        # one line is one event, as the format has it
+        ends = ws.linked(spark, folder).groupBy("event_id").agg(F.collect_list(row).alias("observations"))
         label = F.when(F.col("total_detections") >= 3, "persistent_thermal_source").when(
             F.col("average_intensity") > 320, "industrial_fire").otherwise("temporary_thermal_event")
         ends.join(ws.metrics(spark, folder), "event_id").select(label.alias("label"), "observations").write.json(path)
@@ -204,13 +204,13 @@ def _labeled_model(spark, folder):
     def build():
         rows = ws.stored(spark, folder, "labeled_rows", lambda: _labeled(spark, folder))
         features = feat.extract_features(rows, persistence_metrics(rows))
-        return labeled.train_labeled_classifier(features.join(rows.select("event_id", "label").distinct(), "event_id"), "field review of table rows")
+        return labeled.train_labeled_classifier(features.join(rows.select("event_id", "label").distinct(), "event_id"), labeled.Origin("fixture", "rule-made labels of table rows"), fixtures_allowed=True)
 
     return _once(spark, folder, "labeled", build)
 
 
-@query("read_labeled_events", sql("""SELECT label, count(*) AS events, 2*count(*) AS rows FROM (SELECT CASE WHEN total_detections>=3 THEN 'persistent_thermal_source'
- WHEN average_intensity>320 THEN 'industrial_fire' ELSE 'temporary_thermal_event' END AS label FROM metrics) GROUP BY 1""", "metrics"))
+@query("read_labeled_events", sql("""SELECT label, count(*) AS events, CAST(sum(total_detections) AS BIGINT) AS rows FROM (SELECT CASE WHEN total_detections>=3 THEN 'persistent_thermal_source'
+ WHEN average_intensity>320 THEN 'industrial_fire' ELSE 'temporary_thermal_event' END AS label, total_detections FROM metrics) GROUP BY 1""", "metrics"))
 def read_labeled(spark, folder):
     return _labeled(spark, folder).groupBy("label").agg(F.count_distinct("event_id").alias("events"), F.count(F.lit(1)).alias("rows"))
 

@@ -207,14 +207,11 @@ def map_hotspot_summary(spark, folder):
     return listing.hotspot_summary(listing.hotspot_markers(ws.events(spark, folder), ws.risk(spark, folder)))
 
 
-@query("rank_events", rk("SELECT event_id, risk_score, end_time, row_number() OVER (ORDER BY risk_score DESC, end_time DESC, event_id) AS position FROM bucketed QUALIFY position<=500", "bucketed"))
+@query("rank_events", rk("SELECT event_id, risk_score, end_time, row_number() OVER (ORDER BY risk_score DESC, end_time DESC, event_id) AS position FROM bucketed", "bucketed"))
 def rank_events(spark, folder):
-    """Top 500 of the ranking with their positions."""
+    """Every event with its position."""
     scored = ws.events(spark, folder).join(ws.risk(spark, folder).select("event_id", "risk_score"), "event_id")
-    top = listing.rank_events(scored.select("event_id", "risk_score", "end_time")).limit(500)
-    from pyspark.sql import Window
-    order = Window.orderBy(F.col("risk_score").desc(), F.col("end_time").desc(), F.col("event_id"))
-    return top.withColumn("position", F.row_number().over(order).cast("long"))
+    return listing.ranked_events(scored.select("event_id", "risk_score", "end_time"))
 
 
 @query("paginate", sql("SELECT event_id, status, (SELECT count(*) FROM ev) AS total FROM ev ORDER BY event_id LIMIT 50 OFFSET 50", "ev"))

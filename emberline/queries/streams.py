@@ -65,11 +65,32 @@ def stream_location_sessions(spark, folder):
     return jobs.run_available(jobs.stream_location_sessions(_arriving(spark, folder)), "sessions")
 
 
-@query("stream_lifecycle", sql(f"""SELECT * FROM (SELECT cell_lat, cell_lon, CASE WHEN d>=2 AND n>=3 THEN 'PERSISTENT' ELSE 'ACTIVE' END AS status, n AS detections, d AS active_days FROM cells
- UNION ALL SELECT cell_lat, cell_lon, 'RESOLVED', n, d FROM cells WHERE date_trunc('millisecond', last)+INTERVAL 72 HOUR<=date_trunc('millisecond', {_MARK}))""", "obs", "cells",
-    cells=(("obs",), f"SELECT cell_lat, cell_lon, count(*) AS n, count(DISTINCT CAST(timestamp AS DATE)) AS d, max(timestamp) AS last FROM (SELECT *, {_CELL} FROM obs) GROUP BY 1,2")))
+_LIMIT = 259200000
+LIFECYCLE = {
+    "gaps": (("obs",), f"""SELECT *, epoch_ms(timestamp) AS ms, CASE WHEN epoch_ms(timestamp)-lag(epoch_ms(timestamp)) OVER (PARTITION BY cell_lat, cell_lon ORDER BY timestamp, obs_id)>{_LIMIT} THEN 1 ELSE 0 END AS fresh FROM (SELECT *, {_CELL} FROM obs)"""),
+    "episodes": (("gaps",), "SELECT *, sum(fresh) OVER (PARTITION BY cell_lat, cell_lon ORDER BY timestamp, obs_id) AS episode FROM gaps"),
+    "steps": (("episodes",), """SELECT *, row_number() OVER (PARTITION BY cell_lat, cell_lon, episode ORDER BY timestamp, obs_id) AS n, dense_rank() OVER (PARTITION BY cell_lat, cell_lon, episode ORDER BY CAST(timestamp AS DATE)) AS d,
+ max(episode) OVER (PARTITION BY cell_lat, cell_lon) AS newest FROM episodes"""),
+}
+
+
+@query("stream_lifecycle", sql(f"""SELECT cell_lat, cell_lon, 'ACTIVE' AS status, n AS detections, d AS active_days FROM steps WHERE n=1
+ UNION ALL SELECT cell_lat, cell_lon, 'PERSISTENT', min(n), arg_min(d, n) FROM steps WHERE n>=3 AND d>=2 GROUP BY cell_lat, cell_lon, episode
+ UNION ALL SELECT cell_lat, cell_lon, 'RESOLVED', max(n), max(d) FROM steps GROUP BY cell_lat, cell_lon, episode, newest HAVING episode<newest OR max(ms)+{_LIMIT}<=epoch_ms({_MARK})""", "obs", "steps", **LIFECYCLE))
 def stream_lifecycle_query(spark, folder):
-    return jobs.run_available(stream_lifecycle(_arriving(spark, folder)), "lifecycle").select(
+    """Three micro-batches in order of time."""
+    def deal(path):
+        events = fixtures.table(spark, folder, "events")
+        stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+        low, high = events.agg(F.min(stamp), F.max(stamp)).first()
+        for k in range(3):  # written one after the other, so that they arrive in this order
+            part = F.least(F.floor((stamp - low) * 3 / F.lit(high - low + 1)), F.lit(2))
+            events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+
+    dealt = ws.folder_for(spark, folder, "events-in-three", deal)
+    schema = fixtures.table(spark, folder, "events").schema
+    rows = fixtures.derive_observations(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(dealt))
+    return jobs.run_available(stream_lifecycle(rows), "lifecycle").select(
         "cell_lat", "cell_lon", "status", "detections", "active_days")
 
 

@@ -7,6 +7,7 @@ what one micro-batch holds).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -36,11 +37,36 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def known_rejected(checked: DataFrame, accepted_path: str, batch_id: int) -> DataFrame:
+    """Valid rows that an earlier batch accepted become duplicates; a repeated batch does not meet its own output.
+
+    Only the accepted rows of the batch's span of time are read.
+    """
+    try:
+        stored = checked.sparkSession.read.parquet(accepted_path)
+    except AnalysisException:  # nothing accepted yet
+        return checked
+    low, high = checked.filter("reason IS NULL").agg(F.min("p_time"), F.max("p_time")).first()
+    if low is None:
+        return checked
+    key = duplicate_key("latitude", "longitude", "timestamp")
+    earlier = (stored.filter((F.col("batch_id") < batch_id) & F.col("timestamp").between(F.lit(low) - F.expr("INTERVAL 1 HOUR"), F.lit(high) + F.expr("INTERVAL 1 HOUR")))
+               .select(*key, "source").distinct().withColumn("_known", F.lit(True)))
+    keyed = checked.select("*", *duplicate_key("p_lat_value", "p_lon_value", "p_time"))
+    joined = keyed.join(earlier, ["key_lat", "key_lon", "key_time", "source"], "left")
+    again = F.col("reason").isNull() & F.col("_known")
+    return joined.withColumn("reason", F.when(again, "DUPLICATE_OBSERVATION").otherwise(F.col("reason"))).select(*checked.columns)
+
+
 def stream_ingest(raw: DataFrame, accepted_path: str, rejected_path: str, order: str = "line_no") -> DataStreamWriter:
-    """Validate each micro-batch; accepted rows and quarantine go to their own tables."""
+    """Validate each micro-batch; accepted rows and quarantine go to their own tables.
+
+    A detection that an earlier batch accepted is a duplicate, so the result does not
+    depend on how the rows were dealt to batches.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if order in batch.columns else batch.withColumn(order, F.monotonically_increasing_id())
-        checked = validate_rows(numbered, order).persist()
+        checked = known_rejected(validate_rows(numbered, order), accepted_path, batch_id).persist()
         try:
             _write_batch(accepted_observations(checked), accepted_path, batch_id)
             _write_batch(quarantined_rows(checked), rejected_path, batch_id)

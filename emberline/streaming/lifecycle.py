@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,10 +18,13 @@ HOUR_MS = 3_600_000
 
 
 class LifecycleProcessor(StatefulProcessor):
-    """Keeps detections, active days and the last time per cell.
+    """Keeps the open episode of a cell: detections, active days, first and last time.
 
-    The set of active days is one small map entry per day. A timer at the last
-    detection plus the silence limit resolves the cell and clears its state.
+    Rows are taken in event time. A gap above the silence limit closes the episode, as
+    does a timer when no row comes; either gives RESOLVED and clears the state. Only
+    changes are emitted: ACTIVE at an episode's first detection, PERSISTENT when it has
+    enough days and detections. A late row joins the open episode unless it lies more
+    than the limit before its start: then it belongs to a closed one and is left out.
     """
 
     def __init__(self, resolved_hours: float, min_days: int, min_detections: int):
@@ -30,37 +34,54 @@ class LifecycleProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "detections LONG, days LONG, last_ms LONG")
+        self.episode = handle.getValueState("episode", "detections LONG, days LONG, first_ms LONG, last_ms LONG, lasting BOOLEAN")
         self.days = handle.getMapState("days", "day LONG", "seen BOOLEAN")
 
-    def _row(self, key, status: str, detections: int, days: int, last_ms: int) -> pd.DataFrame:
-        return pd.DataFrame({"cell_lat": [key[0]], "cell_lon": [key[1]], "status": [status], "detections": [detections],
-                             "active_days": [days], "last_detection": [pd.Timestamp(last_ms, unit="ms")]})
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        detections, days, last_ms = self.total.get() if self.total.exists() else (0, 0, 0)
-        before = last_ms
-        for part in rows:
-            stamps = part["timestamp"].astype("datetime64[ms]").astype("int64")
-            detections += len(part)
-            last_ms = max(last_ms, int(stamps.max()))
-            for day in (stamps // (24 * HOUR_MS)).unique():
-                if not self.days.containsKey((int(day),)):
-                    self.days.updateValue((int(day),), (True,))
-                    days += 1
-        self.total.update((detections, days, last_ms))
-        if last_ms > before:
-            if before:
-                self.handle.deleteTimer(before + self.silence_ms)
-            self.handle.registerTimer(last_ms + self.silence_ms)
-        lasting = days >= self.min_days and detections >= self.min_detections
-        yield self._row(key, "PERSISTENT" if lasting else "ACTIVE", detections, days, last_ms)
+        stamps = np.sort(np.concatenate([part["timestamp"].astype("datetime64[ms]").astype("int64").to_numpy() for part in rows]))
+        count, days, first, last, lasting = self.episode.get() if self.episode.exists() else (0, 0, 0, 0, False)
+        before = last if count else None
+        changes: list[tuple[str, int, int, int]] = []
+        for stamp in stamps.tolist():
+            if count and stamp < first - self.silence_ms:
+                continue
+            if count and stamp - last > self.silence_ms:
+                changes.append(("RESOLVED", count, days, last))
+                self.days.clear()
+                count, days, lasting = 0, 0, False
+            if count == 0:
+                first = last = stamp
+            count, first, last = count + 1, min(first, stamp), max(last, stamp)
+            day = stamp // (24 * HOUR_MS)
+            if not self.days.containsKey((day,)):
+                self.days.updateValue((day,), (True,))
+                days += 1
+            if count == 1:
+                changes.append(("ACTIVE", count, days, last))
+            if not lasting and days >= self.min_days and count >= self.min_detections:
+                lasting = True
+                changes.append(("PERSISTENT", count, days, last))
+        if count:
+            self.episode.update((count, days, first, last, lasting))
+            if last != before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.silence_ms)
+                self.handle.registerTimer(last + self.silence_ms)
+        yield self._rows(key, changes)
+
+    def _rows(self, key, changes: list[tuple[str, int, int, int]]) -> pd.DataFrame:
+        status, detections, days, last = zip(*changes, strict=True) if changes else ((), (), (), ())
+        return pd.DataFrame({"cell_lat": pd.Series([key[0]] * len(changes), dtype="int64"), "cell_lon": pd.Series([key[1]] * len(changes), dtype="int64"),
+                             "status": pd.Series(status, dtype="object"), "detections": pd.Series(detections, dtype="int64"),
+                             "active_days": pd.Series(days, dtype="int64"), "last_detection": pd.to_datetime(pd.Series(last, dtype="int64"), unit="ms")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        detections, days, last_ms = self.total.get()
-        self.total.clear()
+        if not self.episode.exists():
+            return
+        count, days, _, last, _ = self.episode.get()
+        self.episode.clear()
         self.days.clear()
-        yield self._row(key, "RESOLVED", detections, days, last_ms)
+        yield self._rows(key, [("RESOLVED", count, days, last)])
 
     def close(self) -> None:
         pass
