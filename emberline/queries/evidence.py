@@ -14,6 +14,7 @@ from emberline.queries.oracle import half_up, sql
 from emberline.queries.registry import query
 from emberline.queries.scoring import RISK
 from emberline.sources import captures, detections
+from emberline.sources.tables import overwrite_by_key
 
 
 def _iso(column: str) -> str:
@@ -167,6 +168,50 @@ def ingestion_summary(spark, folder):
     return run_ingestion(fixtures.raw_detections(spark, folder), window_hours=None).summary
 
 
+def _second_run(spark, folder):
+    """The raw rows in two runs, split by day; the second one meets what the first stored."""
+    def build():
+        raw = fixtures.raw_detections(spark, folder)
+        early = F.coalesce(F.col("acq_date") < F.lit("2024-01-16"), F.lit(False))
+        first = run_ingestion(raw.filter(early), window_hours=None)
+        return run_ingestion(raw.filter(~early), first.stored.drop("outcome"), first.events, None, stored_risk=first.risk)
+
+    return ws.once(spark, folder, "second_run", build)
+
+
+@query("ingestion_second_run", sql("SELECT start_time, end_time, observation_count, count(*) AS events FROM summary GROUP BY ALL", "summary", **ACCEPTED))
+def ingestion_second_run(spark, folder):
+    return _second_run(spark, folder).events.groupBy("start_time", "end_time", "observation_count").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("ingested_event_links", sql("SELECT l.timestamp, l.latitude, l.longitude, l.source, s.observation_count FROM linked l JOIN summary s USING (event_id)", "linked", "summary", **ACCEPTED))
+def ingested_event_links(spark, folder):
+    run = _second_run(spark, folder)
+    sizes = run.stored.groupBy("event_id").agg(F.count(F.lit(1)).alias("observation_count"))
+    return run.stored.join(sizes, "event_id").select("timestamp", "latitude", "longitude", "source", "observation_count")
+
+
+def _replaced(spark, folder, name, table, fresh):
+    """A keyed overwrite as a new version of a written table, read back."""
+    first = ws.folder_for(spark, folder, f"{name}-first", lambda path: overwrite_by_key(spark, table, None, path))
+    return spark.read.parquet(ws.folder_for(spark, folder, f"{name}-second", lambda path: overwrite_by_key(spark, fresh, first, path)))
+
+
+@query("profile_replace", sql("SELECT event_id, CASE WHEN event_id%3=0 THEN observation_count+100 ELSE observation_count END AS total_detections, active_days FROM ev", "ev"))
+def profile_replace(spark, folder):
+    """Every third event's row is replaced, the others stay."""
+    rows = ws.events(spark, folder).select("event_id", F.col("observation_count").alias("total_detections"), "active_days")
+    fresh = rows.filter("event_id % 3 = 0").withColumn("total_detections", F.col("total_detections") + 100)
+    return _replaced(spark, folder, "profile", rows, fresh)
+
+
+@query("risk_replace", le("SELECT event_id, CASE WHEN event_id%5=0 THEN 0.0 ELSE risk_score END::DOUBLE AS risk_score FROM bucketed", "bucketed"))
+def risk_replace(spark, folder):
+    """Every fifth event's assessment is replaced, the others stay."""
+    rows = ws.risk(spark, folder).select("event_id", "risk_score")
+    return _replaced(spark, folder, "risk", rows, rows.filter("event_id % 5 = 0").withColumn("risk_score", F.lit(0.0)))
+
+
 @query("capture_replay", sql("""SELECT event_id, status, observation_count, active_days, risk_score, severity, classification FROM bucketed""", "bucketed", **ACCEPTED))
 def capture_replay(spark, folder):
     return replay_capture(fixtures.raw_detections(spark, folder)).select(

@@ -204,7 +204,7 @@ def _labeled_model(spark, folder):
     def build():
         rows = ws.stored(spark, folder, "labeled_rows", lambda: _labeled(spark, folder))
         features = feat.extract_features(rows, persistence_metrics(rows))
-        return labeled.train_labeled_classifier(features.join(rows.select("event_id", "label").distinct(), "event_id"), labeled.Origin("fixture", "rule-made labels of table rows"), fixtures_allowed=True)
+        return labeled.train_labeled_classifier(features.join(rows.select("event_id", "label").distinct(), "event_id"), labeled.Origin("fixture", "table rows labelled for a test"), fixtures_allowed=True)
 
     return _once(spark, folder, "labeled", build)
 

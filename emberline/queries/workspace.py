@@ -54,6 +54,18 @@ def as_of(spark: SparkSession, folder: str) -> DataFrame:
     return linked(spark, folder).agg(F.max("timestamp").alias("as_of"))
 
 
+_RESULTS: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
+    """Anything built once per session and data folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _RESULTS:
+        prepare_session(spark)
+        _RESULTS[key] = build()
+    return _RESULTS[key]
+
+
 _FOLDERS: dict[tuple[str, str, str], str] = {}
 
 

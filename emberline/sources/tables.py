@@ -9,7 +9,7 @@ OBSERVATION_COLUMNS = ("obs_id", "timestamp", "latitude", "longitude", "intensit
                        "source", "sensor", "frp", "scan", "track", "bright_ti5", "bright_t31", "daynight")
 
 
-def write_observations(rows: DataFrame, path: str, mode: str = "errorifexists", salts: int = 1) -> None:
+def write_observations(rows: DataFrame, path: str, mode: str = "errorifexists", salts: int = 8) -> None:
     """Partitioned by day and source.
 
     ``salts`` spreads a (day, source) that holds a large share of the rows over
