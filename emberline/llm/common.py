@@ -45,6 +45,8 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int = 8 <<
         for start, stop in zip(edges[:-1], edges[1:], strict=True):
             if stop > start:
                 yield batch.slice(start, stop - start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def ascii_words(text: bytes) -> list[bytes]:

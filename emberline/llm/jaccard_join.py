@@ -44,8 +44,8 @@ from emberline.session import broadcast_if_small
 WIDTH = 5
 PERCENT = 75
 #: Hashes to a range and rows to a cell of classes: the size of a task, not a limit.
-RANGE_HASHES = 2_000_000
-SLICE_BYTES = 12 << 20
+RANGE_HASHES = 1_000_000
+SLICE_BYTES = 10 << 20
 SUFFIX_CELLS = 8
 #: Cross-component pairs to a posting up to which the rest is joined in full at once.
 PAIRS_PER_POSTING = 20
@@ -142,18 +142,21 @@ def _shared(packed: DataFrame, cells: int) -> DataFrame:
             owner.append(np.frombuffer(row.owner, dtype="<u2").astype(np.int64) + base)
             tags.append(own)
             base += len(own)
+        del group
         names = np.concatenate(tags)
         # one number for each distinct class
         wide = np.frombuffer(names.tobytes(), dtype=np.uint8).reshape(-1, TAG_BYTES)
         classes, number = np.unique(wide, axis=0, return_inverse=True)
         hashes, owner = np.concatenate(hashes), number.reshape(-1)[np.concatenate(owner)]
         order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order]
+        hashes, owner = hashes[order], owner[order].astype(np.int32)
+        del order
         new = np.ones(len(hashes), dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
         hashes, owner = hashes[new], owner[new]
-        _, place, uses = np.unique(hashes, return_inverse=True, return_counts=True)
-        uses = uses[place]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        runs = np.diff(np.concatenate([starts, [len(hashes)]]))
+        uses = np.repeat(runs.astype(np.int32), runs)
         kept = uses > 1
         hashes, owner, uses = hashes[kept], owner[kept], uses[kept]
         cell = (classes[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) % cells
