@@ -230,3 +230,67 @@ def classify_with_fallback(spark, folder):
     rows = _features(spark, folder).join(big.select("event_id"), "event_id", "left_semi")
     return labeled.classify_with_fallback(rows, big, _labeled_model(spark, folder)).unionByName(
         labeled.classify_with_fallback(rows, small, None))
+
+
+_INVARIANTS = ("anomaly_score", "every event once"), ("anomaly_score", "share of anomalies is the contamination"), ("classify_with_fallback", "every event once"), \
+    ("feature_importance", "every feature, none negative, sum is one"), ("group_holdout_split", "a quarter of the groups"), ("group_holdout_split", "no group on both sides"), \
+    ("group_kfold_select", "each fold has both labels"), ("group_kfold_select", "no group in two folds"), ("group_kfold_select", "the selected model has the highest mean F1"), \
+    ("isolation_forest_fit", "every inner node has two children"), ("score_recurrence", "every event once"), ("score_recurrence", "roles follow the split"), \
+    ("top_contributions", "at most five an event, strongest first"), ("train_labeled_classifier", "rule-made labels are refused")
+
+
+@query("learning_invariants", "SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{i}', true)" for o, i in _INVARIANTS) + ") t(operator, invariant, holds)")
+def learning_invariants(spark, folder):
+    """What must hold of the fitted models' results, whatever the models learned."""
+    model, forest = _recurrence(spark, folder), _forest(spark, folder)
+    found = []
+
+    def held(operator: str, invariant: str, rows) -> None:
+        """``rows``: one row, one boolean."""
+        found.append(rows.toDF("holds").select(F.lit(operator).alias("operator"), F.lit(invariant).alias("invariant"), "holds"))
+
+    split = model.split
+    groups = split.groupBy("spatial_group").agg(F.count_distinct("is_holdout").alias("sides"), F.max("is_holdout").alias("out"))
+    held("group_holdout_split", "no group on both sides", groups.agg(F.max("sides") == 1))
+    held("group_holdout_split", "a quarter of the groups", groups.agg(F.count_if("out") == F.ceil(F.count("*") * dataset.HOLDOUT_SHARE)))
+    train = recurrence.with_folds(recurrence.with_target(split.filter("NOT is_holdout")))
+    held("group_kfold_select", "no group in two folds", train.groupBy("spatial_group").agg(F.count_distinct("fold").alias("n")).agg(F.max("n") == 1))
+    held("group_kfold_select", "each fold has both labels", train.groupBy("fold").agg(F.count_distinct("label").alias("n")).agg(F.min("n") == 2))
+    compared = spark.createDataFrame([(n, v) for n, v in model.comparison.items()], "name STRING, f1 DOUBLE")  # a row for each candidate
+    held("group_kfold_select", "the selected model has the highest mean F1", compared.agg(F.max("f1") == F.max(F.when(F.col("name") == model.name, F.col("f1")))))
+    importance = recurrence.feature_importance(model)
+    held("feature_importance", "every feature, none negative, sum is one", importance.agg(
+        (F.count("*") == len(model.names)) & (F.min("importance") >= 0) & (F.abs(F.sum("importance") - 1) < 1e-6)))
+    events = ws.metrics(spark, folder).select("event_id")
+
+    def once(rows):
+        counted = rows.groupBy("event_id").agg(F.count("*").alias("n")).join(events.withColumn("there", F.lit(True)), "event_id", "full")
+        return counted.agg(F.coalesce((F.min(F.coalesce("n", F.lit(0))) == 1) & (F.max("n") == 1) & (F.count("*") == F.count("there")), F.lit(False)))
+
+    scored = model.score(_first_features(spark, folder)).select("event_id", "prediction_label", "p_positive")
+    held("score_recurrence", "every event once", once(scored))
+    roles = recurrence.evaluation_role(model, scored).join(split.select("event_id", "is_holdout"), "event_id", "left")
+    expected = F.when(F.col("is_holdout"), "held_out").when(~F.col("is_holdout"), "training").otherwise("outside_training_cohort")
+    held("score_recurrence", "roles follow the split", roles.agg(F.count_if(F.col("role") != expected) == 0))
+    top = recurrence.top_contributions(recurrence.score_contributions(model, _first_features(spark, folder)))
+    later = top.select("event_id", (F.col("rank") - 1).alias("rank"), F.abs("score_change").alias("next"))
+    ordered = top.join(later, ["event_id", "rank"], "left").agg((F.max("rank") <= 5) & (F.count_if(F.abs("score_change") < F.col("next")) == 0))
+    held("top_contributions", "at most five an event, strongest first", ordered)
+    nodes = spark.createDataFrame(forest.nodes)  # trees x nodes, bounded by the sample of a tree
+    held("isolation_forest_fit", "every inner node has two children", nodes.groupBy("tree").agg(
+        (F.count("*") == 2 * F.count_if(F.col("feature") >= 0) + 1).alias("full")).agg(F.min("full")))
+    anomalies = isolation.anomaly_scores(_features(spark, folder), forest)
+    held("anomaly_score", "every event once", once(anomalies))
+    held("anomaly_score", "share of anomalies is the contamination", anomalies.agg(
+        F.abs(F.avg((F.col("classification") == "anomalous_thermal_pattern").cast("double")) - isolation.CONTAMINATION) < 0.01))
+    held("classify_with_fallback", "every event once", once(classify_with_fallback(spark, folder)))
+    try:
+        labeled.train_labeled_classifier(events, labeled.Origin("rules", "limits on counts"))
+        refused = False
+    except ValueError:
+        refused = True
+    held("train_labeled_classifier", "rule-made labels are refused", spark.range(1).select(F.lit(refused)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
