@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import decontaminate, jaccard_join, langmix, packing, pii
-from emberline.llm.common import drop_scratch, materialize, table
+from emberline.llm.common import drop_scratch, lean_batches, materialize, table
 
 #: Least share of the predicted language in a document's text.
 LEAST_SHARE = 0.5
@@ -31,23 +31,28 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are answered in place, so that no text is shuffled; columns stay as they are but for ``lang``."""
+    lean_batches(spark)
     model = langmix.fit(docs.filter(~langmix.held_out()))
     return langmix.relabel(docs, model, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return pii.mask_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return packing.pack(docs)
 
 

@@ -13,13 +13,18 @@ from emberline.session import materialize, scratch_path, shared_dir  # noqa: F40
 
 #: Entries a worker's tables of encoded chunks and of word hashes hold before they are emptied; only memory and time depend on it.
 CACHE_ENTRIES = 600_000
-HASH_ENTRIES = 250_000
+HASH_ENTRIES = 120_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches: long texts make the default of 10,000 rows a large share of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the folders of written intermediate tables once nothing reads them again."""
     root = shared_dir(spark).rstrip("/")
@@ -36,7 +41,7 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if value is None else value for value in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of one text column (one row at least)."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)

@@ -126,7 +126,7 @@ def _windows(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return slices(batches, "words", 4 << 20)
+    return slices(batches, "words", 1 << 20)
 
 
 def _summed(frame: DataFrame, one, shape: tuple[int, int]) -> np.ndarray:
@@ -190,8 +190,8 @@ def fit_space(texts: DataFrame, size: int, rank: int = RANK, oversampling: int =
         order = np.argsort(flat, kind="stable")
         order = order[np.searchsorted(flat[order], 1):]
         out = np.zeros((size, wide))
-        for low in range(0, len(order), 1 << 18):
-            part = order[low:low + (1 << 18)]
+        for low in range(0, len(order), 1 << 15):
+            part = order[low:low + (1 << 15)]
             terms = flat[part]
             cuts = np.flatnonzero(np.diff(terms, prepend=0))
             out[terms[cuts]] += np.add.reduceat(made[part // STRIDE], cuts, axis=0)

@@ -45,7 +45,7 @@ WIDTH = 5
 PERCENT = 75
 #: Hashes to a range and rows to a cell of classes: the size of a task, not a limit.
 RANGE_HASHES = 1_000_000
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 8 << 20
 SUFFIX_CELLS = 8
 #: Cross-component pairs to a posting up to which the rest is joined in full at once.
 PAIRS_PER_POSTING = 20

@@ -11,7 +11,7 @@ from emberline.llm import (
     cascade, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
     warc,
 )
-from emberline.llm.common import table
+from emberline.llm.common import lean_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = function
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            lean_batches(spark)
+            return function(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
