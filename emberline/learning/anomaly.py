@@ -10,6 +10,8 @@ from emberline.functions.numeric import display_round
 # Limits used where the capture has no statistics of its own.
 DEFAULT_P90 = {"max_frp": 6.0, "observation_count": 3.0, "max_intensity": 340.0, "duration_hours": 12.0}
 DEFAULT_FRP_MEDIAN = 2.1
+# Medians that changes are measured from where the capture has none.
+CHANGE_MEDIANS = {"max_frp": 2.0, "max_intensity": 330.0}
 # Output texts.
 USUAL = "Thermal intensity and detection footprint fall within normal variation of this FIRMS capture"
 UNUSUAL = "Multi-feature thermal and spatial combination deviates from the typical 92% envelope of this FIRMS capture"
@@ -47,3 +49,25 @@ def anomaly_reasons(features: DataFrame, stats: DataFrame, anomalous: Column) ->
     default = F.array(F.when(anomalous, F.lit(UNUSUAL)).otherwise(F.lit(USUAL)))
     found = f.withColumn("reasons", reasons)
     return found.select("event_id", F.concat(F.when(F.size("reasons") > 0, c("reasons")).otherwise(default), F.array(F.lit(CAVEAT))).alias("reasoning"))
+
+
+def anomaly_contributions(features: DataFrame, stats: DataFrame) -> DataFrame:
+    """(event_id, feature, value, probability_change): a row for each feature that stands out.
+
+    The change is the FRP's distance from the median in medians, the intensity's distance
+    in kelvin, and for the others the value itself.
+    """
+    medians = stats.agg(*(F.coalesce(F.max(F.when(F.col("feature") == n, F.col("median"))), F.lit(v)).alias("mid_" + n) for n, v in CHANGE_MEDIANS.items()))
+    f = features.join(F.broadcast(_limits(stats))).join(F.broadcast(medians))  # one row each
+    c = F.col
+    changes = {
+        "max_frp": (c("max_frp") > c("p90_max_frp"), display_round((c("max_frp") - c("mid_max_frp")) / F.greatest(F.lit(1.0), c("mid_max_frp")), 3)),
+        "active_days": (c("active_days") > 1, c("active_days")),
+        "observation_count": (c("observation_count") > c("p90_observation_count"), c("observation_count")),
+        "max_intensity": (c("max_intensity") > c("p90_max_intensity"), display_round(c("max_intensity") - c("mid_max_intensity"), 1)),
+        "night_fraction": (c("night_fraction") >= 0.5, c("night_fraction")),
+        "duration_hours": (c("duration_hours") > c("p90_duration_hours"), display_round(c("duration_hours"), 1)),
+    }
+    rows = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("feature"), c(name).cast("double").alias("value"),
+                                                           change.cast("double").alias("probability_change"))) for name, (test, change) in changes.items())))
+    return f.select("event_id", F.inline(rows))

@@ -135,7 +135,7 @@ class Linker:
                 .withColumn("block_lat", lat_index(F.col("lat_lo")))
                 .withColumn("block_lon", F.floor(F.col("lon_lo") / lon_width(F.col("block_lat"))).cast("long"))
                 .withColumn("block_t", _floor_div(F.col("t_lo"), block_us))
-                .withColumn("zone", F.xxhash64(F.floor(F.col("block_lat") / 8), F.floor(F.col("block_lon") / 8))))
+                .withColumn("zone", F.xxhash64(F.floor(F.col("block_lat") / 8), F.floor(F.col("block_lon") / 8), F.floor(F.col("block_t") / 8))))
         # A partner's lower corner lies at most one cell plus the reach below this box.
         below = reach + self.side
         steep = F.least(F.greatest(F.abs("lat_lo"), F.abs("lat_hi")) + F.lit(below), F.lit(90.0))

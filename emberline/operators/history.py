@@ -35,8 +35,11 @@ def recent(rows: DataFrame, hours: float, as_of: datetime | str | None = None, c
     span = F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
     if as_of is not None:
         return rows.filter(F.col(column) >= F.lit(as_of).cast("timestamp") - span)
-    newest = rows.agg(F.max(column).alias("_as_of"))
-    return rows.join(F.broadcast(newest)).filter(F.col(column) >= F.col("_as_of") - span).drop("_as_of")
+    # resolved first, so that the limit reaches the files as a literal
+    newest = rows.agg(F.unix_micros(F.max(column)).alias("as_of")).first()["as_of"]
+    if newest is None:
+        return rows.filter(F.lit(False))
+    return rows.filter(F.col(column) >= F.timestamp_micros(F.lit(newest - int(hours * 3600) * 1_000_000)))
 
 
 def freshness_columns(latest: Column, as_of: Column) -> tuple[Column, Column]:

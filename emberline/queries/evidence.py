@@ -221,7 +221,7 @@ def capture_replay(spark, folder):
 @query("read_saved_capture", sql("SELECT count(*) AS n, 'MODIS_NRT' AS source, '69,12.25,70.5,24.5' AS area, TIMESTAMP '2024-02-01 06:00:00' AS captured_at FROM raw", "raw"))
 def read_saved_capture(spark, folder):
     def write(path):
-        about = fixtures.table(spark, folder, "region").limit(1).select(
+        about = spark.range(1).select(
             F.lit("MODIS_NRT").alias("source"), F.lit("69,12.25,70.5,24.5").alias("area"), F.lit("2024-02-01T06:00:00+00:00").alias("captured_at"))
         about.write.json(path)
 

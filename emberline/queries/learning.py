@@ -186,6 +186,19 @@ def anomaly_reasons(spark, folder):
     return anomaly.anomaly_reasons(rows, stats, unusual).withColumn("reasoning", F.array_join("reasoning", "; "))
 
 
+_STANDS_OUT = {"max_frp": ("max_frp>pf", half_up("(max_frp-mf)/greatest(1.0::DOUBLE,mf)", 3)), "active_days": ("active_days>1", "active_days"), "observation_count": ("observation_count>po", "observation_count"),
+               "max_intensity": ("max_intensity>pm", half_up("max_intensity-mi", 1)), "night_fraction": ("night_fraction>=0.5", "night_fraction"), "duration_hours": ("duration_hours>pd", half_up("duration_hours", 1))}
+
+
+@query("anomaly_contributions", sql(" UNION ALL ".join(f"SELECT event_id, '{n}' AS feature, {half_up(f'CAST({n} AS DOUBLE)', 5)} AS value, {half_up(f'CAST({change} AS DOUBLE)', 5)} AS probability_change FROM feats, limits WHERE {test}" for n, (test, change) in _STANDS_OUT.items()),
+    "feats", "limits", **_ALL, limits=(("feats",), "SELECT quantile_cont(max_frp,0.9) AS pf, quantile_cont(max_frp,0.5) AS mf, quantile_cont(observation_count,0.9) AS po, quantile_cont(max_intensity,0.9) AS pm, quantile_cont(max_intensity,0.5) AS mi, quantile_cont(duration_hours,0.9) AS pd FROM feats")))
+def anomaly_contributions(spark, folder):
+    names = ("max_frp", "observation_count", "max_intensity", "duration_hours", "night_fraction", "active_days")
+    rows = _features(spark, folder).select("event_id", *(display_round(F.col(n), 6).alias(n) for n in names))
+    found = anomaly.anomaly_contributions(rows, dataset.feature_stats(rows, names[:4]))
+    return found.select("event_id", "feature", display_round(F.col("value"), 5).alias("value"), display_round(F.col("probability_change"), 5).alias("probability_change"))
+
+
 def _labeled(spark, folder):
     """Labelled lines from the tables: all rows of an event, label by its class (a fixture, not a review)."""
     def write(path):
