@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberline.session import materialize, scratch_path, shared_dir  # noqa: F401  used by the operators
 
 #: Entries a worker's tables of encoded chunks and of word hashes hold before they are emptied; only memory and time depend on it.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 HASH_ENTRIES = 120_000
 
 
