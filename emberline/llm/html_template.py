@@ -6,14 +6,19 @@ never held: tasks combine, for each (host, token), its support and the exclusive
 hashes of (page, count), so that tokens with equal vectors have equal sums. Tokens with
 one vector form an equivalence class. A class is valid when it is frequent on its host and
 its tokens stand once on each of their pages; valid classes nest along their paths into
-the host's template. What lies between template tokens are the slots; the text of all
-pages in a slot, less its links, ranks it. The main text is the template node around the
-best slot that is not page furniture; it is cut out of each page, without the furniture
-nested in it.
+the host's template. What lies between template tokens are the slots; those that hold more
+text than links and are not page furniture count. The main text is the node around them: the
+outermost article or main, if slots lie in one, else the child of the body that holds them
+all, else, when siblings hold them, what contains the siblings. It is cut out of each page,
+without the furniture nested in it.
 
-A host of one page, and pages without any of their host's best nodes, use the template that
-is deduced over all hosts in the same way, then their own tokens. Host sums are
-combined inside tasks, so a host may hold any share of the pages.
+Every page has a html and a body, whether their tags are written or not; their classes
+and ids do not count, and what follows the body's end still belongs to it.
+
+A host of one page, and pages without any of their host's nodes, use the template that
+is deduced over all hosts in the same way, then their own tokens, then the whole page less
+its furniture. A text without any tag is kept whole. Host sums are combined inside tasks, so
+a host may hold any share of the pages.
 
 Null and empty html give an empty text. Repeated rows get equal texts; a null url is a
 host of its own. Extra columns are not read. Empty table: no rows.
@@ -27,19 +32,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import drop_scratch, materialize, slices
 
 #: Share of a host's pages on which a class must occur.
 FREQUENT = 0.5
-#: Best nodes of a host that a page tries in turn.
-BEST_NODES = 4
 #: Hosts up to which the table of best nodes is sent to every task; beyond, pages are joined to it.
 BROADCAST_HOSTS = 50_000
 SALTS = 16
 ALL_HOSTS = "*"
+HTML, BODY = ">html", ">html>body"
 
 # Fixed values of HTML: elements without content, elements that flow in a line, and raw text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +55,12 @@ FURNITURE_TAGS = frozenset("head nav header footer aside form button select menu
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo comment comments disqus replies respond sidebar menu nav "
                             "navbar navigation breadcrumb breadcrumbs notice notices cookie cookies consent popup modal newsletter subscribe share "
                             "sharing social related footer header masthead toolbar widget login signup".split())
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
                      "pre section table ul".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*+(?:>|\Z)))", re.S)
+_COMPLETE = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*>")
 _NAMED = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -77,12 +83,26 @@ def is_furniture(name: str) -> bool:
 
 def walk(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", path, tag), ("break", path, tag) and ("text", path, text) in page order."""
-    stack: list[tuple[str, str]] = []  # tag, path
+    stack: list[tuple[str, str]] = []  # tag, path; of the head or below the body
     at = 0
-    path = ""
+    path = root = ""  # root: HTML before the body has begun, then BODY
+
+    def begun(body: bool) -> Iterator[tuple[str, str, str]]:
+        nonlocal path, root
+        if not root:
+            path = root = HTML
+            yield "open", HTML, "html"
+        if body and root == HTML:
+            stack.clear()
+            path = root = BODY
+            yield "open", BODY, "body"
+
     for found in iter(lambda: _TAG.search(page, at), None):
         if found.start() > at:
-            yield "text", path, page[at:found.start()]
+            value = page[at:found.start()]
+            if root != BODY and not value.isspace():
+                yield from begun(True)
+            yield "text", path, value
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -90,12 +110,16 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
         tag = tag.lower()
         if found[1]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k][0] == tag or tag in ("html", "body") and root == BODY and k == 0:
                     del stack[k:]
-                    path = stack[-1][1] if stack else ""
+                    path = stack[-1][1] if stack else root
                     break
             yield "break", path, tag
             continue
+        if root != BODY:
+            yield from begun(tag not in HEAD_TAGS and tag not in ("html", "head"))
+        if tag in ("html", "body") or tag == "head" and (stack or root == BODY):
+            continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             ends = ("p",) if tag in CLOSES_P else ("dt", "dd") if tag in ("dt", "dd") else (tag,)
             limit = ("ul", "ol", "dl", "table", "div", "article", "section", "body", "td")
@@ -105,7 +129,7 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
                     break
                 if stack[k][0] in limit:
                     break
-        parent = stack[-1][1] if stack else ""
+        parent = stack[-1][1] if stack else root
         own = f"{parent}>{label(tag, found[3])}"
         yield "open", own, tag
         if tag in RAW:
@@ -113,8 +137,10 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
             at = len(page) if end is None else end.start()
         elif tag not in VOID and not found[3].endswith("/>"):
             stack.append((tag, own))
-        path = stack[-1][1] if stack else ""
+        path = stack[-1][1] if stack else root
     if at < len(page):
+        if root != BODY and not page[at:].isspace():
+            yield from begun(True)
         yield "text", path, page[at:]
 
 
@@ -209,63 +235,72 @@ def templates(sums: DataFrame) -> DataFrame:
     return valid.join(slots, ["host", "path"], "left").fillna(0, ["slot_chars", "slot_links"])
 
 
-def _climbed(slot: str) -> str | None:
-    """The node to cut out for a slot: its highest ancestor below the body that is not furniture."""
-    steps = slot[1:].split(">")
-    names = [re.split(r"[.#]", step, maxsplit=1)[0] for step in steps]
-    if any(map(is_furniture, steps)) or names[-1] in ("html", "head"):
+def _top(slot: str) -> tuple[str, bool] | None:
+    """The highest node around a slot, and whether it is an article or main; None for furniture and what is not in the body."""
+    if slot != BODY and not slot.startswith(f"{BODY}>"):
+        return None
+    steps = slot.split(">")[3:]
+    if any(map(is_furniture, steps)):
         return None
-    first = names.index("body") + 1 if "body" in names else 1 if names[0] == "html" else 0
-    for k in range(len(steps) - 1, first - 1, -1):
-        if names[k] in ("article", "main"):
-            return ">" + ">".join(steps[:k + 1])
-    return ">" + ">".join(steps[:first + 1]) if first < len(steps) else slot
+    for k, step in enumerate(steps):
+        if re.split(r"[.#]", step, maxsplit=1)[0] in ("article", "main"):
+            return ">".join([BODY, *steps[:k + 1]]), True
+    return ">".join([BODY, *steps[:1]]), False
+
+
+def _around(slots: list[str]) -> list[str]:
+    """The node that contains all slots in an article or main, then the one that contains the others."""
+    tops = [top for top in map(_top, slots) if top]
+    out = []
+    for marked in (True, False):
+        steps = [node.split(">") for node, own in tops if own is marked]
+        if steps:
+            same = next((k for k, step in enumerate(zip(*steps)) if len(set(step)) > 1), min(map(len, steps)))  # noqa: B905  the shortest ends it
+            out.append(">".join(steps[0][:same]))
+    return out
 
 
 def best_nodes(template: DataFrame) -> DataFrame:
-    """(host, nodes): nodes to cut out, best slot first; a row for each host."""
-    ranked = (template.filter(F.col("slot_chars") > 2 * F.col("slot_links"))
-              .withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc(F.col("slot_chars") - 2 * F.col("slot_links")), "path"))))
+    """(host, nodes): nodes to cut out, best first; a row for each host with a slot that counts."""
 
-    @F.udf("string")
-    def climbed(path):
-        return _climbed(path)
+    @F.udf("array<string>")
+    def around(slots):
+        return _around(slots)
 
-    # furniture is taken out before the best are chosen; slots are few, so a row-wise helper will do
-    placed = ranked.select("host", "place", climbed("path").alias("node")).filter("node IS NOT NULL")
-    first = placed.groupBy("host", "node").agg(F.min("place").alias("place"))
-    kept = first.withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("place"))).filter(F.col("turn") <= BEST_NODES)
-    return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "node"))), lambda x: x["node"]).alias("nodes"))
+    # a host's slots are nodes that stand once on its pages, so they are few
+    slots = template.filter(F.col("slot_chars") > 2 * F.col("slot_links")).groupBy("host").agg(F.collect_set("path").alias("slots"))
+    return slots.select("host", around("slots").alias("nodes")).filter(F.size("nodes") > 0)
 
 
-def _own_node(page: str) -> str | None:
-    """The best node by the page's own tokens, for pages that no template fits."""
+def _own_nodes(page: str) -> list[str]:
+    """The nodes by the page's own tokens, for pages that no template fits."""
     tokens = page_tokens(page)
     once = {path for path, row in tokens.items() if row[0] == 1}
-    score: dict[str, int] = {}
+    sums: dict[str, int] = {}
     for path, (_, chars, links) in tokens.items():
         steps = path[1:].split(">")
         slot = next((p for k in range(len(steps), 0, -1) if (p := ">" + ">".join(steps[:k])) in once), None)
-        if slot and chars > 2 * links:
-            score[slot] = score.get(slot, 0) + chars - 2 * links
-    for slot in sorted(score, key=lambda p: (-score[p], p)):
-        if node := _climbed(slot):
-            return node
-    return None
+        if slot and chars:
+            sums[slot] = sums.get(slot, 0) + chars - 2 * links
+    return _around([slot for slot, score in sums.items() if score > 0])
 
 
 def page_text(page: str, nodes: list[str]) -> str:
-    """The main text by the first node that the page has."""
+    """The main text by the first node that the page has, else the whole page less its furniture."""
     if not page.strip():
         return ""
+    if not _COMPLETE.search(page):
+        text = " ".join(entities.unescape(page).split())
+        return text if text.strip("<> ") else ""
     for node in nodes:
         text = main_text(page, node)
         if text:
             return text
-    own = _own_node(page)
-    if own is not None:
-        return main_text(page, own) or ""
-    return "" if "<" in page else " ".join(entities.unescape(page).split())
+    for node in [*_own_nodes(page), BODY]:
+        text = main_text(page, node)
+        if text:
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -274,7 +309,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.select(F.col(key), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _host(F.col(url)).alias("host"))
     sums = materialize(token_sums(rows.select("host", "html", F.xxhash64(F.col(key), F.col("url")).alias("page"))), "page-tokens")
     nodes = materialize(best_nodes(templates(sums)), "page-nodes")
-    everywhere = nodes.filter(F.col("host") == ALL_HOSTS).select("nodes").collect()  # one row, BEST_NODES paths
+    everywhere = nodes.filter(F.col("host") == ALL_HOSTS).select("nodes").collect()  # one row, two paths at most
     common = list(everywhere[0]["nodes"]) if everywhere else []
     own = nodes.filter(F.col("host") != ALL_HOSTS)
     if own.count() <= BROADCAST_HOSTS:

@@ -58,5 +58,27 @@ def test_classes_hold_tokens_with_one_vector(spark):
     assert best[0] == ">html>body>article"
 
 
+def test_omitted_tags_and_sibling_blocks_keep_their_text(spark):
+    bare = {
+        "body omitted": ("<h1>T{k}</h1><p>a{k}</p><p>b{k}</p>", "T{k} a{k} b{k}"),
+        "html only": ("<html><p>a{k}</p><p>b{k}</p></html>", "a{k} b{k}"),
+        "paragraphs only": ("<p>a{k}<p>b{k}", "a{k} b{k}"),
+        "head not closed": ("<!DOCTYPE html><title>x</title><meta charset=utf-8><p>a{k}</p><ul><li>b{k}</ul>", "a{k} b{k}"),
+        "siblings": ("<body class='header-fixed'><nav>menu</nav><h1>T{k}</h1><div class=text>a{k} words</div><div class=more>b{k} words</div><footer>f</footer></body>", "T{k} a{k} words b{k} words"),
+        "after the body": ("<html><body><p>a{k}</p></body></html><p>b{k}</p>", "a{k} b{k}"),
+        "links only": ("<div class=list><a href=/>a{k}</a></div><nav>menu</nav>", "a{k}"),
+        "no tag": ("a{k} < b and <c", "a{k} < b and <c"),
+    }
+    rows, want = [], {}
+    for n, (html, text) in enumerate(bare.values()):
+        for k in range(4):  # a host of three pages, and a host of one
+            key = 10 * n + k
+            rows.append((key, f"http://{'one' if k == 3 else 'h'}{n}.example/{k}", html.replace("{k}", str(k)), "x", "y"))
+            want[key] = text.replace("{k}", str(k))
+            assert h.page_text(rows[-1][2], []) == want[key], (n, k)
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
