@@ -3,12 +3,15 @@
 Base spans (email, ip, card, phone) are leftmost and do not overlap within a kind. A
 bounded sample of text windows, labelled with its base spans, some in varied spelling,
 trains the tagger in numpy on the driver; its parameters (a fixed number) go to the tasks.
+Each fifth window is held out: the least posterior of an added span is the lowest at
+which the held-out windows' spans reach the precision ``PRECISE``.
 
-Every text is cut into overlapping windows. A span needs a digit or an at sign, so windows
-without either cannot give one and are not run. Each window is decoded with the CRF; spans
-that touch an inner window edge are left to the neighbour, which holds them whole. All
-spans of a text are then reconciled: base spans stay, and of the tagger's the surest stay
-that overlap no other, no base span and no match that the base patterns have ruled out.
+Every text is cut into overlapping windows. A span needs a digit or an at sign, spelt @, [at]
+or (at), so windows without them cannot give one and are not run. Each window is decoded with
+the CRF; spans that touch an inner window edge are left to the neighbour, which holds them
+whole, and spans that their kind's digits or domain rule out are dropped. All spans of a
+text are then reconciled: base spans stay, and of the tagger's the surest stay that overlap
+no other, no base span and no match that the base pattern of the same kind has ruled out.
 
 Null and empty texts have no spans. Offsets are code points, the end exclusive. Repeated
 rows get equal answers; an empty table gives no rows; extra columns are not read.
@@ -33,8 +36,10 @@ WIDTH, STRIDE = 128, 64
 #: Training windows of each kind, and of windows with digits but no span: a bound, whatever the corpus.
 TRAIN_WINDOWS = 160
 TRAIN_STEPS = 250
-#: Least posterior of every character of an added span.
+#: Least posterior of every character of an added span, where the held-out windows decide nothing.
 SURE = 0.99
+#: Share of the held-out windows' added spans that must be right, and each how many windows are held out.
+PRECISE, HELD_OUT = 0.98, 5
 LEAST_CHARS, MOST_CHARS = 7, STRIDE
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)+")
@@ -42,7 +47,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|\[at\]|\(at\)", re.I)
+_AT = re.compile(r"\s?(?:@|\[at\]|\(at\))\s?", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -53,8 +59,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """(spans by start and kind, matches that their checks ruled out)."""
+def _digits(part: str) -> str:
+    return "".join(c for c in part if "0" <= c <= "9")
+
+
+def plausible(kind: str, form: str) -> bool:
+    """Whether a text that no base pattern matches can be of the kind: its digits, or its at sign and domain, as in the base checks."""
+    if kind == "email":
+        parts = _AT.split(form)
+        return len(parts) == 2 and parts[0] != "" and set(parts[0]) <= _LOCAL and _DOMAIN.fullmatch(parts[1]) is not None
+    digits = _digits(form)
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 10 <= len(digits) <= 15
+    return _IP.fullmatch(form) is not None and all(int(p) <= 255 for p in form.split("."))
+
+
+def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str]]]:
+    """(spans by start and kind, matches that their checks ruled out, with the kind)."""
     found, ruled_out = [], []
     at, end = text.find("@"), 0
     while at >= 0:
@@ -67,18 +90,15 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
             found.append((start, 0, end))
         at = text.find("@", max(at + 1, end))
 
-    def digits(part: str) -> str:
-        return "".join(c for c in part if "0" <= c <= "9")
-
     for kind, pattern, check in (
             (1, _IP, lambda m: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.split("."))),
-            (2, _CARD, lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
-            (3, _PHONE, lambda m: 10 <= len(digits(m)) <= 15)):
+            (2, _CARD, lambda m: 14 <= len(_digits(m)) <= 19 and luhn(_digits(m))),
+            (3, _PHONE, lambda m: 10 <= len(_digits(m)) <= 15)):
         for m in pattern.finditer(text):
             if check(m[0]):
                 found.append((m.start(), kind, m.end()))
             elif kind != 2 or len(m[0]) >= 14:
-                ruled_out.append(m.span())
+                ruled_out.append((*m.span(), KINDS[kind]))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)], ruled_out
 
 
@@ -139,7 +159,7 @@ def varied(window: str, spans: list[tuple[str, int, int]], rng: np.random.Genera
         digits = "".join(c for c in form if c.isdigit())
         if kind == "phone":
             local = digits[-10:]
-            form = str(rng.choice([f"{local[:3]}-{local[3:6]}-{local[6:]}", f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", form]))
+            form = str(rng.choice([f"{local[:3]}-{local[3:6]}-{local[6:]}", f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", f"1-{local[:3]}-{local[3:6]}-{local[6:]}", form]))
         elif kind == "card":
             form = str(rng.choice([".".join(digits[k:k + 4] for k in range(0, len(digits), 4)), "-".join(digits[k:k + 4] for k in range(0, len(digits), 4)), form]))
         elif kind == "email":
@@ -155,33 +175,59 @@ def varied(window: str, spans: list[tuple[str, int, int]], rng: np.random.Genera
 def train(docs: DataFrame, text: str = "text", each: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS, seed: int = 5) -> Tagger | None:
     """The tagger, from the bounded sample; None when the sample holds no span."""
     sample = sorted((row["kind"], row["mark"], row["window"]) for row in training_windows(docs, text, each).collect())
+    return learned([window for _, _, window in sample], steps, seed)
+
+
+def learned(windows: list[str], steps: int = TRAIN_STEPS, seed: int = 5) -> Tagger | None:
+    """The tagger and its least posterior, from windows sorted by kind; None when they hold no span."""
     rng = np.random.default_rng(seed)
-    rows, gold = [], []
-    for _, _, window in sample:
+    rows, gold, held = [], [], []
+    for k, window in enumerate(windows):
         spans, _ = base_spans(window)
         for form, spans in ((window, spans), varied(window, spans, rng)):
-            rows.append(symbols(form, WIDTH))
-            gold.append(_tags(WIDTH, spans))
+            if k % HELD_OUT == HELD_OUT - 1:
+                held.append((form[:WIDTH], spans))
+            else:
+                rows.append(symbols(form, WIDTH))
+                gold.append(_tags(WIDTH, spans))
     if not rows or not np.any(gold):
         return None
     tagger = Tagger.new(1 + 2 * len(KINDS), seed=seed)
     tagger.train(np.stack(rows), np.stack(gold), steps=steps, batch=32, seed=seed)
+    tagger.sure, tagger.precision, tagger.recall = held_out(tagger, held)
     return tagger
 
 
+def held_out(tagger: Tagger, held: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[float, float, float]:
+    """(least posterior, precision, recall) over the spans that the base patterns leave in held-out windows; SURE and zeros if no posterior is precise enough."""
+    tried, wanted = [], 0
+    for (form, spans), more in zip(held, added_spans(tagger, [form for form, _ in held], 0.0), strict=True):
+        own, ruled_out = base_spans(form)
+        wanted += sum(end <= len(form) and not any(a < end and start < b for _, a, b in own) for _, start, end in spans)
+        tried += [(span[0], span[1:] in spans) for span in more if len(reconciled(own, ruled_out, [span])) > len(own)]
+    tried.sort(reverse=True)
+    best, right = (SURE, 0.0, 0.0), 0
+    for n, (value, good) in enumerate(tried, 1):
+        right += good
+        if right >= PRECISE * n:
+            best = value, right / n, right / max(1, wanted)
+    return best
+
+
 def _window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign."""
+    """Starts of the windows that hold a digit or an at sign, in any spelling."""
     wanted: set[int] = set()
     at = _MARK.search(text)
     while at:
-        last = at.start() // STRIDE
+        last = at.start() // STRIDE  # a span that holds the sign lies whole in this window or the one before
         wanted.update((last, max(0, last - 1)))
         at = _MARK.search(text, (last + 1) * STRIDE)
     return sorted(k * STRIDE for k in wanted)
 
 
-def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str, int, int]]]:
+def added_spans(tagger: Tagger, texts: list[str], sure: float | None = None) -> list[list[tuple[float, str, int, int]]]:
     """(posterior, kind, start, end) of every span that the tagger finds, text by text."""
+    least = tagger.sure if sure is None else sure
     places = [(k, start) for k, text in enumerate(texts) for start in _window_starts(text)]
     out: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
     for low in range(0, len(places), 256):
@@ -205,19 +251,21 @@ def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str,
                 inner = (begin > 0 or start == 0) and (end < WIDTH or start + WIDTH >= len(texts[k]))
                 if inner and LEAST_CHARS <= end - begin <= MOST_CHARS:
                     value = float(posterior[np.arange(begin, end), line[begin:end]].min())
-                    if value >= SURE and _MARK.search(texts[k], start + begin, start + end):
+                    if value >= least and plausible(KINDS[kind], texts[k][start + begin:start + end]):
                         out[k].append((value, KINDS[kind], start + begin, start + end))
     return out
 
 
-def reconciled(base: list[tuple[str, int, int]], ruled_out: list[tuple[int, int]], added: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans and the surest added ones that overlap nothing, by start and kind."""
-    taken = sorted([(start, end) for _, start, end in base] + ruled_out)
-    starts = [t[0] for t in taken]
-    reach = np.maximum.accumulate([t[1] for t in taken]).tolist() if taken else []
+def reconciled(base: list[tuple[str, int, int]], ruled_out: list[tuple], added: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans and the surest added ones that overlap nothing, by start and kind; what is ruled out (start, end[, kind]) bars its kind, or all."""
     kept: list[tuple[str, int, int]] = []
     free = []
+    barred = {}
+    for of in {kind for _, kind, _, _ in added}:
+        taken = sorted([(start, end) for _, start, end in base] + [t[:2] for t in ruled_out if of in t[2:] or len(t) == 2])
+        barred[of] = [t[0] for t in taken], np.maximum.accumulate([t[1] for t in taken]).tolist() if taken else []
     for value, kind, start, end in added:
+        starts, reach = barred[kind]
         at = int(np.searchsorted(starts, end, side="left")) - 1
         if at < 0 or reach[at] <= start:
             free.append((value, kind, start, end))

@@ -105,3 +105,26 @@ def test_reconciling_keeps_base_and_the_surest():
     base, out = [("ip", 10, 17)], [(30, 40)]
     added = [(0.99, "phone", 15, 25), (0.995, "phone", 50, 60), (0.999, "card", 55, 65), (0.99, "card", 35, 45), (0.99, "email", 0, 10), (0.99, "email", 0, 10)]
     assert pii.reconciled(base, out, added) == [("email", 0, 10), ("ip", 10, 17), ("card", 55, 65)]
+
+
+def test_planted_spellings_are_added():
+    tagger = pii.learned([text[max(0, text.find(extra) - 40):][:pii.WIDTH] for _, text in corpus() for extra in [text.split(" ")[12]]], steps=200)
+    assert tagger.precision >= pii.PRECISE and tagger.recall >= 0.5 and tagger.sure < pii.SURE
+    planted = {"user7 [at] mail3.example.com": "email", "user8(at)mail2.example.com": "email", "1-800-555-0100": "phone", "415-555-2671": "phone"}
+    found = 0
+    for k, (form, kind) in enumerate(planted.items()):
+        text = f"{prose(50 + k, 30)} {form} {prose(90 + k, 30)}"
+        own, ruled_out = pii.base_spans(text)
+        spans = pii.reconciled(own, ruled_out, pii.added_spans(tagger, [text])[0])
+        assert own == [] and all(text[a:b] == form and of == kind for of, a, b in spans)
+        found += len(spans)
+    assert found >= 3
+    assert pii._window_starts("x" * 130 + " name [at] host.example.com") == [64, 128]
+
+
+def test_a_failed_match_bars_its_own_kind_only():
+    own, ruled_out = pii.base_spans("1-800-555-0100")
+    assert ruled_out == [(0, 14, "card")]
+    assert pii.reconciled(own, ruled_out, [(0.9, "phone", 0, 14)]) == [("phone", 0, 14)]
+    assert pii.reconciled(own, ruled_out, [(0.9, "card", 0, 14)]) == []
+    assert pii.plausible("phone", "1-800-555-0100") and not pii.plausible("phone", "555-0100") and not pii.plausible("card", "4532.0151.1283.0367")
