@@ -68,7 +68,7 @@ def op2_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
     results = results.unionByName(tool_calls.read_results(messages))
     schema = spark.sql("SELECT * FROM VALUES ('respond', 'text', 'string', true), ('respond', 'turn', 'integer', true) AS t(tool, field, kind, required)")
     linked = tool_calls.link_calls(calls, results, schema)
-    return linked.withColumn("errors", F.array_join("errors", ","))
+    return linked.withColumn("errors", F.array_join("errors", ",")).drop("typed_json")  # the SQL has the texts only
 
 
 @query("op3_template_extraction")

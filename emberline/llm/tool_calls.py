@@ -28,20 +28,38 @@ from pyspark.sql import functions as F
 
 from emberline.session import materialize
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>,depends_on:array<string>>>>"
+CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,variant>,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: A schema table's columns: tool, field, kind (string, integer, number or boolean), required.
+#: A schema table's columns: tool, field, kind (string, integer, number, boolean, object or array), required.
 PART_TURNS = 1024
 SCHEMA = "tool string, field string, kind string, required boolean"
 
 
 def read_calls(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, place, id, name, arguments, depends_on) of the calls in assistants' messages."""
+    """(conv_id, turn, place, id, name, arguments, kinds, values, depends_on) of the calls in assistants' messages.
+
+    By argument: its text, the kind of its JSON value (null for null) and the value as JSON with keys in order.
+    """
     parsed = messages.filter("role = 'assistant'").select("conv_id", "turn", F.from_json("text", CALLS).alias("m"))
+
+    def kind(v: Column) -> Column:
+        name = F.call_function("schema_of_variant", v)
+        return (F.when(name.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))"), "integer").when(name.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(name == "STRING", "string")
+                .when(name == "BOOLEAN", "boolean").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array"))
+
+    def text(v: Column) -> Column:
+        return F.when(kind(v) == "string", F.variant_get(v, "$", "string")).when(kind(v).isNotNull(), F.to_json(v))
+
+    def value(v: Column) -> Column:
+        return F.when(kind(v) == "string", json_text(F.variant_get(v, "$", "string"))).otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+
+    def each(made) -> Column:
+        return F.coalesce(F.transform_values("c.arguments", lambda _, v: made(v)), F.expr("cast(map() AS map<string,string>)"))
+
     return (parsed.select("conv_id", "turn", F.posexplode("m.tool_calls").alias("number", "c"))
             .filter("c.id IS NOT NULL AND c.name IS NOT NULL")
             .select("conv_id", "turn", F.struct("turn", "number").alias("place"), "c.id", "c.name",
-                    F.coalesce("c.arguments", F.expr("cast(map() AS map<string,string>)")).alias("arguments"),
+                    each(text).alias("arguments"), each(kind).alias("kinds"), each(value).alias("values"),
                     F.coalesce("c.depends_on", F.expr("cast(array() AS array<string>)")).alias("depends_on")))
 
 
@@ -57,8 +75,8 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     The call depends on the one of two turns before, if that was a user's. This makes a
     linked trace of any conversation, whether it used tools or not.
     """
-    keyed = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(
-        F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    keyed = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn", "role").agg(
+        F.min(F.struct("text")).alias("m")).select("conv_id", "turn", "role", "m.text")
 
     def named(turn: Column) -> Column:
         return F.concat(F.lit("turn-"), turn.cast("string"))
@@ -68,6 +86,8 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = users.join(earlier, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.struct("turn", F.lit(0).alias("number")).alias("place"), named(F.col("turn")).alias("id"), F.lit("respond").alias("name"),
         F.map_from_arrays(F.array(F.lit("text"), F.lit("turn")), F.array(F.col("text"), F.col("turn").cast("string"))).alias("arguments"),
+        F.map_from_arrays(F.array(F.lit("text"), F.lit("turn")), F.array(F.when(F.col("text").isNotNull(), "string"), F.lit("integer"))).alias("kinds"),
+        F.map_from_arrays(F.array(F.lit("text"), F.lit("turn")), F.array(json_text(F.col("text")), F.col("turn").cast("string"))).alias("values"),
         F.when(F.col("there"), F.array(named(F.col("turn") - 2))).otherwise(F.expr("cast(array() AS array<string>)")).alias("depends_on"))
     results = keyed.filter("role = 'assistant'").select("conv_id", "turn", named(F.col("turn") - 1).alias("id"), F.col("text").alias("content"))
     return calls, results
@@ -86,7 +106,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
               .when(F.col("r").isNull(), "unanswered").otherwise("linked"))
     kept = F.col("status").isin("linked", "orphan")
     return joined.withColumn("status", status).select(
-        "conv_id", "id", "turn", "place", "name", "arguments", "depends_on", "status",
+        "conv_id", "id", "turn", "place", "name", "arguments", "kinds", "values", "depends_on", "status",
         F.when(kept, F.col("r.content")).alias("content"), F.when(kept, F.col("r.turn")).alias("result_turn"))
 
 
@@ -127,15 +147,12 @@ def validate(linked: DataFrame, schema: DataFrame) -> DataFrame:
     tools = schema.groupBy(F.col("tool").alias("name")).agg(F.map_from_entries(F.collect_set(F.struct("field", F.struct("kind", "required")))).alias("fields"))
     value = F.col("arguments")
 
-    def wrong(kind: Column, text: Column) -> Column:
-        return (F.when(text.isNull(), False)
-                .when(kind == "integer", ~text.rlike("^-?(0|[1-9][0-9]*)$"))
-                .when(kind == "number", ~text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
-                .when(kind == "boolean", ~text.isin("true", "false")).otherwise(False))
+    def wrong(kind: Column, found: Column) -> Column:
+        return F.when(found.isNull() | (found == kind), False).otherwise(~((kind == "number") & (found == "integer")))
 
     known = F.map_keys("fields")
     missing = F.transform(F.filter(known, lambda f: F.col("fields")[f]["required"] & value[f].isNull()), lambda f: F.concat(f, F.lit(":missing")))
-    kinds = F.transform(F.filter(known, lambda f: wrong(F.col("fields")[f]["kind"], value[f])), lambda f: F.concat(f, F.lit(":kind")))
+    kinds = F.transform(F.filter(known, lambda f: wrong(F.col("fields")[f]["kind"], F.col("kinds")[f])), lambda f: F.concat(f, F.lit(":kind")))
     unknown = F.transform(F.array_except(F.map_keys(value), known), lambda f: F.concat(f, F.lit(":unknown")))
     errors = F.when(F.col("fields").isNull(), F.array(F.lit("tool:unknown"))).otherwise(F.array_sort(F.concat(missing, kinds, unknown)))
     # schemas are the callers' short table, one row for each tool
@@ -151,15 +168,17 @@ def json_text(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 
-def canonical(name: Column, arguments: Column, call: Column, content: Column) -> Column:
-    """{"arguments":{...},"id":...,"name":...,"result":...} with argument names in order; argument values are JSON texts."""
+def canonical(name: Column, arguments: Column, call: Column, content: Column, quoted: bool = True) -> Column:
+    """{"arguments":{...},"id":...,"name":...,"result":...} with argument names in order; values are texts to be quoted, or JSON as it is."""
     entries = F.array_sort(F.map_entries(arguments))
-    body = F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"]))), ",")
+    body = F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"]) if quoted else e["value"])), ",")
     return F.concat(F.lit('{"arguments":{'), body, F.lit('},"id":'), json_text(call), F.lit(',"name":'), json_text(name), F.lit(',"result":'), json_text(content), F.lit("}"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, result_turn, status, position, errors, call_json), a row for each call and each orphan result.
+    """(conv_id, id, turn, result_turn, status, position, errors, call_json, typed_json), a row for each call and each orphan result.
+
+    call_json has every argument as a text; typed_json keeps numbers, booleans and nested values as they are, so different calls differ.
 
     position numbers a conversation's calls in topological order, from 0; repeated, cyclic and orphan rows have none.
     """
@@ -177,6 +196,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataF
              .select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("ready", "hops", "place")) - 1
     text = F.when(F.col("name").isNotNull(), canonical(F.col("name"), F.col("arguments"), F.col("id"), F.col("content")))
+    typed = F.when(F.col("name").isNotNull(), canonical(F.col("name"), F.col("values"), F.col("id"), F.col("content"), quoted=False))
     return (placed.withColumn("row", place).join(bases, ["conv_id", "part"], "left").select(
         "conv_id", "id", "turn", "result_turn", F.when(owner & ~ready, "cycle").otherwise(F.col("status")).alias("status"),
-        F.when(ready, F.col("row") + F.col("base")).alias("position"), "errors", text.alias("call_json")))
+        F.when(ready, F.col("row") + F.col("base")).alias("position"), "errors", text.alias("call_json"), typed.alias("typed_json")))

@@ -51,6 +51,26 @@ def test_canonical_json_reads_back(spark):
     assert json.loads(out) == text
 
 
+def test_json_types_are_kept(spark):
+    given = {"i": 5, "s": "5", "b": True, "n": 1.5, "o": {"z": [1, "x"], "a": None}, "l": [2], "e": None}
+    swapped = {"i": "5", "s": 5, "b": "true", "n": "1.5", "o": "{}", "l": {"k": 1}, "e": None}
+    rows = [(1, 0, "assistant", said(("a", "t", given), ("b", "t", swapped), ("c", "t", {**given, "o": {"a": None, "z": [1, "x"]}, "n": 2})))]
+    kinds = {"i": "integer", "s": "string", "b": "boolean", "n": "number", "o": "object", "l": "array", "e": "string"}
+    rules = spark.createDataFrame([("t", f, k, f != "e") for f, k in kinds.items()], RULES)
+    messages = spark.createDataFrame([(*r, "i", "p") for r in rows], MESSAGES)
+    got = {r["id"]: r for r in tool_calls.link_calls(tool_calls.read_calls(messages), tool_calls.read_results(messages), rules).collect()}
+    assert got["a"]["errors"] == got["c"]["errors"] == []
+    assert got["b"]["errors"] == [f"{f}:kind" for f in ("b", "i", "l", "n", "o", "s")]
+    assert got["a"]["typed_json"] == '{"arguments":{"b":true,"e":null,"i":5,"l":[2],"n":1.5,"o":{"a":null,"z":[1,"x"]},"s":"5"},"id":"a","name":"t","result":null}'
+    assert json.loads(got["b"]["typed_json"])["arguments"] == swapped
+
+
+def test_roles_that_share_a_turn_are_kept(spark):
+    messages = spark.createDataFrame([(1, t, r, f"{r} {t}", "i", "p") for t in (0, 1) for r in ("user", "assistant")], MESSAGES)
+    calls, results = tool_calls.turn_calls(messages)
+    assert {r["id"] for r in calls.collect()} == {"turn-0", "turn-1"} and {r["id"] for r in results.collect()} == {"turn--1", "turn-0"}
+
+
 def test_empty_tables(spark):
     messages = spark.createDataFrame([], MESSAGES)
     rules = spark.createDataFrame([], RULES)
