@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import (
-    cascade, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
+    cascade, conversations, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
     warc,
 )
 from emberline.llm.common import lean_batches, table
@@ -157,3 +157,68 @@ def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     judged = cascade.filter_quality(table(spark, folder, "documents"), measures=base)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
+
+
+#: Best paths row by row: for each grammar state the cheapest (and, among equals, least) edits and the lines they give.
+REPAIR_SQL = r"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+checked AS (
+  SELECT raw.*, xor(list_reduce(list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, t[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM raw, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM checked),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS pair FROM numbered),
+insertions AS (
+  SELECT * FROM (VALUES (0, '', 0, 0, []), (1, '', 1, 0, []), (2, '', 2, 0, []), (3, '', 3, 0, []),
+    (0, 'I', 2, 2, ['user:']), (1, 'I', 2, 2, ['user:']), (2, 'I', 3, 2, ['assistant:']), (3, 'I', 2, 2, ['user:']),
+    (0, 'II', 3, 4, ['user:', 'assistant:']), (1, 'II', 3, 4, ['user:', 'assistant:'])) AS v(s, letters, t, cost, lines)),
+steps AS (
+  SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS v(s, initial, t)),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, lines FROM (
+    SELECT p.conv_id, r.i, e.t AS s, p.cost + n.cost + e.cost AS cost, p.audit || n.letters || e.letter AS audit,
+           p.lines || n.lines || e.line AS lines
+    FROM paths p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+    JOIN insertions n ON n.s = p.s,
+    LATERAL (
+      SELECT n.t AS t, 3 AS cost, 'D' AS letter, []::VARCHAR[] AS line
+      UNION ALL
+      SELECT k.t, (r.fault = 'truncated')::INT, 'K', [r.role || ':' || r.text] FROM steps k
+      WHERE k.s = n.t AND k.initial = substr(r.role, 1, 1) AND r.fault IN ('', 'truncated')
+      UNION ALL
+      SELECT CASE n.t WHEN 2 THEN 3 ELSE 2 END, 2 + (r.fault = 'truncated')::INT, 'R', [CASE n.t WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text]
+      WHERE r.fault IN ('', 'truncated')) e
+    QUALIFY row_number() OVER (PARTITION BY p.conv_id, e.t ORDER BY p.cost + n.cost + e.cost, p.audit || n.letters || e.letter) = 1)),
+ends AS (
+  SELECT p.conv_id, p.cost + n.cost AS cost, p.audit || n.letters AS audit, p.lines || n.lines AS lines
+  FROM paths p JOIN insertions n ON n.s = p.s AND n.t IN (0, 3)
+  WHERE p.i = coalesce((SELECT max(i) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM p.conv_id), 0)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + n.cost, p.audit || n.letters) = 1),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ends e LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
