@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import (
     cascade, conversations, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
-    warc,
+    warc, whitening,
 )
 from emberline.llm.common import lean_batches, table
 
@@ -159,6 +159,11 @@ def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 #: Best paths row by row: for each grammar state the cheapest (and, among equals, least) edits and the lines they give.
 REPAIR_SQL = r"""
 WITH RECURSIVE
