@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import (
-    cascade, conversations, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
+    cascade, circulant_minhash, conversations, decontaminate, html_template, jaccard_join, langmix, packing, pii, token_lengths, tool_calls,
     warc, whitening,
 )
 from emberline.llm.common import lean_batches, table
@@ -159,6 +159,11 @@ def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+@query("op11_minhash_duplicates")
+def op11_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return circulant_minhash.deduplicate(table(spark, folder, "documents"))
+
+
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
