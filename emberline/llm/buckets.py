@@ -34,7 +34,7 @@ def _always(a: str, b: str) -> Column:
     return F.lit(True)
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def labels_of(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links, "a", "b"), "bucket-labels")
 
 
@@ -45,28 +45,25 @@ def with_components(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(broadcast_if_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def all_pairs(rows: DataFrame, admissible: Callable[[str, str], Column] = _always, across: bool = False) -> DataFrame:
-    """(a, b) of every two rows of a bucket; ``rows`` holds m, the size of the bucket."""
+def all_pairs(rows: DataFrame, admissible: Callable[[str, str], Column] = _always) -> DataFrame:
+    """(a, b) of every two rows of a bucket in different components; ``rows`` holds m, the size of the bucket."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int")
     left = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node"))
-    if across:
-        met = met & (F.col("x.component") != F.col("y.component"))
+    met = met & (F.col("x.component") != F.col("y.component"))
     return left.alias("x").join(right.alias("y"), met & admissible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def star_pairs(rows: DataFrame, rank: Column, carried: Sequence[str], admissible: Callable[[str, str], Column] = _always, across: bool = False) -> DataFrame:
-    """(a, b) of each bucket's first row by ``rank`` and every other one."""
-    held = ["node", *(["component"] if across else []), *carried]
-    pivots = rows.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), *held)).alias("p")).select("h", "p.*")
-    other = F.col("x.component") != F.col("y.component") if across else F.col("x.node") != F.col("y.node")
-    met = (F.col("x.h") == F.col("y.h")) & other
+def star_pairs(rows: DataFrame, rank: Column, carried: Sequence[str] = (), admissible: Callable[[str, str], Column] = _always) -> DataFrame:
+    """(a, b) of each bucket's first row by ``rank`` and every other one of another component."""
+    pivots = rows.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), "node", "component", *carried)).alias("p")).select("h", "p.*")
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component"))
     return rows.alias("x").join(pivots.alias("y"), met & admissible("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
 def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), admissible: Callable[[str, str], Column] = _always,
-           rank: Column | None = None, known: DataFrame | None = None) -> DataFrame | None:
+           rank: Column | None = None, known: DataFrame | None = None, per_posting: int = PAIRS_PER_POSTING) -> DataFrame | None:
     """Labels (node, component) of all nodes with a link; None without any link.
 
     ``verify`` returns those of its distinct pairs (a, b) that are links; ``known`` holds
@@ -74,19 +71,19 @@ def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), adm
     """
     spark = postings.sparkSession
     sizes = postings.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    live = materialize(postings.join(sizes, "h").select("h", "m", "node", *carried), "bucket-postings")
-    labels = None if known is None else _labels(known)
-    links = known
+    live = materialize(postings.join(broadcast_if_small(sizes), "h").select("h", "m", "node", *carried), "bucket-postings")
+    links, labels = known, None if known is None else labels_of(known)
     large = live.filter(F.col("m") > SMALL)
-    pairs = all_pairs(live.filter(F.col("m") <= SMALL), admissible).unionAll(star_pairs(large, F.col("node") if rank is None else rank, carried, admissible))
-    before = None
+    pairs = all_pairs(with_components(live.filter(F.col("m") <= SMALL), labels), admissible)
+    pairs = pairs.unionAll(star_pairs(with_components(large, labels), F.col("node") if rank is None else rank, carried, admissible))
+    before, full = None, False
     for turn in range(MOST_TURNS + 1):
         found = materialize(verify(pairs.distinct()), "bucket-links")
         links = found if links is None else links.unionAll(found)
         if not found.isEmpty():
-            older, labels = labels, _labels(links)
+            older, labels = labels, labels_of(links)
             drop_scratch(spark, *([older] if older is not None else []))
-        if before is not None and before < 0:
+        if full:
             break
         placed = with_components(large, labels)
         counts = placed.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(
@@ -97,9 +94,8 @@ def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), adm
             drop_scratch(spark, mixed)
             break
         still = placed.join(broadcast_if_small(mixed.select("h")), "h", "left_semi")
-        if cross <= PAIRS_PER_POSTING * total or before is not None and 2 * cross > before or turn >= MOST_TURNS - 1:
-            pairs, before = all_pairs(still, admissible, across=True), -1
-        else:
-            pairs, before = star_pairs(still, F.xxhash64("node", "h", F.lit(turn)), carried, admissible, across=True), cross
+        full = cross <= per_posting * total or before is not None and 2 * cross > before or turn == MOST_TURNS - 1
+        before = cross
+        pairs = all_pairs(still, admissible) if full else star_pairs(still, F.xxhash64("node", "h", F.lit(turn)), carried, admissible)
     drop_scratch(spark, live)
     return labels

@@ -14,11 +14,12 @@ A text's set is its distinct word shingles, as hashes. Texts with equal sets for
    are applied as part of that join, so only pairs that may reach the threshold come out.
 4. Each such pair is verified once, on the shared hashes.
 
-To find the groups without all pairs of a large group, prefix buckets are first joined
-with one pivot each; what that links counts as one component. While buckets still hold
-more cross-component pairs than a multiple of their rows, and each turn halves these,
-other pivots follow; then the remaining cross-component pairs are joined in full. No link between two components is
-lost; pairs within a known component need no test.
+To find the groups without all pairs of a large group, classes that share the least of
+their hashes under one of a few scramblings are first compared with one pivot each; what
+that links counts as one component. Prefix buckets that lie within a component need no
+test and are not written. The others are joined by ``buckets``: small ones in full, large
+ones through pivots as long as these link much, what is left in full. No link between two
+components is lost.
 
 Hashes are compared by 48 bits, whose chance of confusing a pair of 600-shingle texts is
 about one in 10^9. Null and empty texts, or texts without a word, have an empty set and
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_bytes, drop_scratch, materialize, shingle_hashes, slices, word_hashes
-from emberline.operators.components import connected_components
+from emberline.llm import buckets
+from emberline.llm.common import as_bytes, drop_scratch, materialize, mixed, shingle_hashes, slices, word_hashes
 from emberline.session import broadcast_if_small
 
 WIDTH = 5
@@ -49,7 +50,8 @@ SLICE_BYTES = 8 << 20
 SUFFIX_CELLS = 8
 #: Cross-component pairs to a posting up to which the rest is joined in full at once.
 PAIRS_PER_POSTING = 20
-MOST_STAR_ROUNDS = 6
+#: Least hashes by which copies of one text find each other before prefixes are joined.
+SKETCHES = 4
 TAG_BYTES = 12
 
 
@@ -254,64 +256,57 @@ def _may_reach(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold; each pair is tested once."""
-    once = pairs.select("a", "b").distinct()
+    """The pairs (a, b), distinct ones, whose similarity reaches the threshold."""
     right = lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     left = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    return (once.join(right, "b").join(left, "a")
+    return (pairs.join(right, "b").join(left, "a")
             .filter(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return materialize(connected_components(links, "a", "b"), "jaccard-labels")
+def _sketches(lists: DataFrame) -> DataFrame:
+    """(h, node, mass): the least of a class's shared hashes under each of a few scramblings."""
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(node, mass, items.values.to_numpy().view(np.uint64)) for node, mass, items in zip(batch.column("node").to_pylist(), batch.column("mass").to_pylist(), batch.column("items"), strict=True)]
+            sets = [s for s in sets if len(s[2])]
+            if sets:
+                every = np.concatenate([s[2] for s in sets])
+                starts = np.cumsum([0] + [len(s[2]) for s in sets[:-1]])
+                keys = np.stack([mixed(np.minimum.reduceat(mixed(every + np.uint64(k << 48)), starts) + np.uint64(k)) for k in range(SKETCHES)], axis=1)
+                yield pa.record_batch({"h": keys.reshape(-1).view(np.int64), "node": np.repeat([s[0] for s in sets], SKETCHES), "mass": np.repeat([s[1] for s in sets], SKETCHES)})
+
+    return lists.select("node", "mass", "items").mapInArrow(sketched, "h long, node long, mass double")
 
-def linked_classes(lists: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links (a, b) of classes found, labels (node, component)); None without any link.
 
-    The links connect every component of the similarity graph; pairs inside an already
-    known component are not tested. The first pivots are the classes of the highest mass,
-    later ones differ from bucket to bucket.
+def linked_classes(lists: DataFrame) -> DataFrame | None:
+    """Labels (node, component) of the classes with a link; None without any link.
+
+    The labels are those of the whole similarity graph; pairs inside an already known
+    component are not tested. Copies of one text are first linked through the class of
+    highest mass that shares a sketch with them, so that of the buckets of prefix hashes
+    only those are left that join two components.
     """
     spark = lists.sparkSession
-    live = materialize(_postings(lists).withColumn("component", F.col("node")), "jaccard-postings")
-    merged, labels, before = None, None, 0
-    carried = [f"s{k}" for k in range(SUFFIX_CELLS)]
-    for turn in range(MOST_STAR_ROUNDS + 1):
-        by_component = live.groupBy("h", "component").agg(F.count("*").alias("m"))
-        counts = by_component.groupBy("h").agg(F.sum("m").alias("m"), (F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))).alias("cross"))
-        mixed = materialize(counts.filter("cross > 0"), "jaccard-mixed")
-        cross, total = mixed.agg(F.sum("cross"), F.sum("m")).first()
-        if not cross:
-            drop_scratch(spark, mixed)
-            break
-        open_rows = live.join(mixed.select("h"), "h", "left_semi")
-        full = cross <= PAIRS_PER_POSTING * total or turn > 0 and 2 * cross > before or turn == MOST_STAR_ROUNDS
-        before = cross
-        if full:
-            pairs = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node"))
-                                              & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            rank = (-F.col("mass") if turn == 0 else F.xxhash64("node", "h", F.lit(turn)).cast("double")).alias("rank")
-            pivots = open_rows.groupBy("h").agg(F.min(F.struct(rank, "node", "n", "pos", "component", *carried)).alias("p")).select("h", "p.*")
-            pairs = open_rows.alias("x").join(pivots.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y"))
-            pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-        found = materialize(_verified(pairs, lists), "jaccard-links")
-        merged = found if merged is None else merged.unionAll(found)
-        if not found.isEmpty():
-            older, labels = labels, _labels(merged)
-            drop_scratch(spark, *([older] if older is not None else []))
-        if full:
-            drop_scratch(spark, mixed)
-            break
-        if labels is not None:
-            open_rows = open_rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        older, live = live, materialize(open_rows.select(live.columns), "jaccard-postings")
-        drop_scratch(spark, older, mixed)
-    drop_scratch(spark, live)
-    return (None, None) if labels is None else (merged, labels)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        once = materialize(pairs.distinct(), "jaccard-pairs")
+        nodes = once.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = materialize(_verified(once, lists.join(broadcast_if_small(nodes), "node", "left_semi")), "jaccard-links")
+        drop_scratch(spark, once)
+        return found
+
+    sketches = materialize(buckets.with_components(_sketches(lists), None), "jaccard-sketches")
+    known = verify(buckets.star_pairs(sketches, -F.col("mass")))
+    drop_scratch(spark, sketches)
+    known = None if known.isEmpty() else known
+    labels = None if known is None else buckets.labels_of(known)
+    placed = buckets.with_components(_postings(lists).select("h", "node"), labels)
+    open_buckets = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
+    postings = _postings(lists).join(broadcast_if_small(materialize(open_buckets, "jaccard-open")), "h", "left_semi")
+    carried = ["n", "pos", *(f"s{k}" for k in range(SUFFIX_CELLS)), "mass"]
+    return buckets.linked(postings, verify, carried, _may_reach, -F.col("mass"), known, PAIRS_PER_POSTING)
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -325,7 +320,7 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     numbered = classes.withColumn("cell", (F.conv(F.hex(F.substring("tag", 1, 4)), 16, 10).cast("long") % cells).cast("int"))
     shared = _shared(_packed(docs, text, width, int(ranges)), int(cells))
     lists = materialize(_ordered(shared, numbered.select("cell", "tag", "node", "n")), "jaccard-lists")
-    _, labels = linked_classes(lists)
+    labels = linked_classes(lists)
     named = classes.select("tag", "node", "first")
     if labels is None:
         of_class = named.select("tag", F.col("first").alias("component_id"))
