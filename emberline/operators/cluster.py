@@ -84,9 +84,9 @@ def _judge(distance: float, time_us: int) -> tuple[Column, Column]:
 
 
 class Linker:
-    """Cubes of one detection table and the links between them."""
+    """Cubes of one detection table and the links between them; without a table, only the grid."""
 
-    def __init__(self, observations: DataFrame, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
+    def __init__(self, observations: DataFrame | None, distance_meters: float = config.CLUSTER_DISTANCE_METERS,
                  time_hours: float = config.CLUSTER_TIME_HOURS, within: Sequence[str] = (),
                  light_product: int = LIGHT_PRODUCT):
         if distance_meters <= 0 or time_hours < 0:
@@ -98,6 +98,8 @@ class Linker:
         self.light_product = light_product
         self.side = cell_side_degrees(self.distance)
         self.cube_key = [*self.within, "band", "column", "bucket"]
+        if observations is None:
+            return
         self.points = self._points(observations)
         self.cubes = cut_lineage(
             self.points.groupBy(*self.cube_key)

@@ -11,10 +11,11 @@ from emberline import config
 from emberline.functions.geo import in_region
 from emberline.operators import listing, merge, scoring, validate
 from emberline.operators.cluster import Linker, summarize_events
-from emberline.operators.events import event_table, persistence_metrics, persistent_sources, stable_event_ids
+from emberline.operators.events import event_table, lifecycle_status, persistence_metrics, persistent_sources, stable_event_ids, with_as_of
 from emberline.operators.history import recent
+from emberline.operators.incremental import Added, EventStore
 from emberline.operators.merge import OBSERVATION_KEY
-from emberline.session import broadcast_if_small, materialize
+from emberline.session import broadcast_if_small, discard, materialize
 
 
 @dataclass
@@ -104,6 +105,37 @@ def run_ingestion(raw: DataFrame, stored: DataFrame | None = None, stored_events
     return IngestionRun(validated, merged, linked, events, risk, summary)
 
 
+def ingest_batch(store: EventStore, raw: DataFrame, order: str = "line_no") -> Added:
+    """Validate, keep the region, link with what is stored, and renew the events that changed.
+
+    The batch meets only the stored partitions within its reach. Every event that won or
+    lost a row or a value is computed anew from all its rows, so none keeps an old end,
+    size or risk; an event that lasts longer than any batch keeps its id.
+    """
+    validated = materialize(validate.validate_rows(raw, order), "validated")
+    accepted = validate.accepted_observations(validated).drop("metadata")
+    inside = accepted.filter(in_region(F.col("latitude"), F.col("longitude"))).withColumn("obs_id", stable_observation_id())
+    # a key comes once: later rows with it were rejected as duplicates
+    batch = require_unique_ids(materialize(inside.drop(order), "ingested_batch"))
+    run = store.link(batch)
+    ahead = store.seen_with(run)
+    touched = materialize(ahead.touched(run), "touched_events")
+    linked = materialize(ahead.members(touched), "touched_rows")
+    metrics = materialize(persistence_metrics(linked), "touched_metrics")
+    # whether an event has ended depends on the newest row of all; see stored_events
+    store.put(run, "events", event_table(metrics, summarize_events(linked)).drop("status"))
+    store.put(run, "risk", scoring.assess_risk(metrics))
+    store.publish(run)
+    discard(validated, batch, touched, linked, metrics)
+    return run
+
+
+def stored_events(store: EventStore) -> DataFrame:
+    """All stored events with their status as of the newest stored row."""
+    events = with_as_of(store.newest("events"), "end_time")
+    return events.withColumn("status", lifecycle_status(F.col("end_time"), F.col("as_of"), F.col("active_days"), F.col("observation_count"))).drop("as_of")
+
+
 def replay_capture(raw: DataFrame, order: str = "line_no") -> DataFrame:
     """A capture as ranked events: validate, cluster, stable ids, status, place, risk."""
     validated = materialize(validate.validate_rows(raw, order), "capture_validated")

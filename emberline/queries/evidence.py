@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline import fixtures
+from emberline.functions.numeric import display_round
 from emberline.operators import ledger
+from emberline.operators.incremental import EventStore
 from emberline.operators.validate import validate_rows
-from emberline.plans.ingestion import replay_capture, run_ingestion
+from emberline.plans.ingestion import ingest_batch, replay_capture, run_ingestion, stored_events
 from emberline.queries import workspace as ws
 from emberline.queries.ingest import EXTRA
 from emberline.queries.oracle import half_up, sql
 from emberline.queries.registry import query
 from emberline.queries.scoring import RISK
+from emberline.session import scratch_path
 from emberline.sources import captures, detections
 from emberline.sources.tables import overwrite_by_key
 
@@ -191,6 +194,36 @@ def ingested_event_links(spark, folder):
     return run.stored.join(sizes, "event_id").select("timestamp", "latitude", "longitude", "source", "observation_count")
 
 
+def _event_store(spark, folder):
+    """The raw rows in three batches that cut through events, and the first one a second time."""
+    def build():
+        store = EventStore(spark, scratch_path(spark, "event-store"))
+        raw = fixtures.raw_detections(spark, folder)
+        middle = F.coalesce(F.col("acq_date").between("2024-01-11", "2024-01-20"), F.lit(False))
+        late = F.coalesce(F.col("acq_date") > F.lit("2024-01-20"), F.lit(False))
+        for part in (~middle & ~late, late, middle, ~middle & ~late):
+            ingest_batch(store, raw.filter(part))
+        return store
+
+    return ws.once(spark, folder, "event_store", build)
+
+
+@query("incremental_events", sql(f"""SELECT start_time, end_time, observation_count, active_days, status, {half_up('latitude', 6)} AS latitude, {half_up('longitude', 6)} AS longitude, average_intensity, trend,
+ risk_score, count(*) AS events FROM (SELECT e.*, r.risk_score FROM ev e JOIN risked r USING (event_id)) GROUP BY ALL""", "ev", "risked", **ACCEPTED))
+def incremental_events(spark, folder):
+    store = _event_store(spark, folder)
+    rows = stored_events(store).join(store.newest("risk").select("event_id", "risk_score"), "event_id")
+    return rows.withColumn("latitude", display_round(F.col("latitude"), 6)).withColumn("longitude", display_round(F.col("longitude"), 6)).groupBy(
+        "start_time", "end_time", "observation_count", "active_days", "status", "latitude", "longitude", "average_intensity", "trend", "risk_score").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("incremental_links", sql("SELECT l.timestamp, l.latitude, l.longitude, l.source, s.start_time, s.observation_count FROM linked l JOIN summary s USING (event_id)", "linked", "summary", **ACCEPTED))
+def incremental_links(spark, folder):
+    rows = _event_store(spark, folder).rows()
+    sizes = rows.groupBy("event_id").agg(F.min("timestamp").alias("start_time"), F.count(F.lit(1)).alias("observation_count"))
+    return rows.join(sizes, "event_id").select("timestamp", "latitude", "longitude", "source", "start_time", "observation_count")
+
+
 def _replaced(spark, folder, name, table, fresh):
     """A keyed overwrite as a new version of a written table, read back."""
     first = ws.folder_for(spark, folder, f"{name}-first", lambda path: overwrite_by_key(spark, table, None, path))

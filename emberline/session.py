@@ -81,3 +81,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables written by ``materialize`` that nothing reads again."""
+    for df in frames:
+        spark = df.sparkSession
+        root = shared_dir(spark).rstrip("/").split(":", 1)[-1]
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if root.lstrip("/") not in folder:
+                raise ValueError(f"{folder} is not below the shared folder")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
