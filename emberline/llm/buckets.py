@@ -2,7 +2,9 @@
 
 Postings (h, node) say which buckets a node is in. All pairs of a bucket of at most
 ``SMALL`` rows are tested at once, at most (SMALL - 1) / 2 pairs a row. A larger bucket is
-first joined with one pivot: what that links counts as one component. While large buckets
+first joined with one pivot, the row whose buckets are largest in sum (the text that many
+near copies were made from shares more buckets than they do with one another): what that
+links counts as one component. While large buckets
 still hold more cross-component pairs than a multiple of their rows, and each turn halves
 these, other pivots follow; then the remaining cross-component pairs are joined in full,
 large buckets in blocks of ``BLOCK_ROWS`` rows, so that no task meets a whole bucket with
@@ -67,7 +69,8 @@ def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), adm
     """Labels (node, component) of all nodes with a link; None without any link.
 
     ``verify`` returns those of its distinct pairs (a, b) that are links; ``known`` holds
-    links found before. ``rank`` orders the first pivots of large buckets.
+    links found before. ``rank`` orders the first pivots of large buckets, if not by the
+    sum of their buckets' sizes.
     """
     spark = postings.sparkSession
     sizes = postings.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
@@ -75,7 +78,10 @@ def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), adm
     links, labels = known, None if known is None else labels_of(known)
     large = live.filter(F.col("m") > SMALL)
     pairs = all_pairs(with_components(live.filter(F.col("m") <= SMALL), labels), admissible)
-    pairs = pairs.unionAll(star_pairs(with_components(large, labels), F.col("node") if rank is None else rank, carried, admissible))
+    ranked = large
+    if rank is None:
+        ranked, rank = large.join(large.groupBy("node").agg(F.sum("m").alias("reach")), "node"), -F.col("reach")
+    pairs = pairs.unionAll(star_pairs(with_components(ranked, labels), rank, carried, admissible))
     before, full = None, False
     for turn in range(MOST_TURNS + 1):
         found = materialize(verify(pairs.distinct()), "bucket-links")
