@@ -9,6 +9,7 @@ from emberline.functions.geo import in_box
 from emberline.functions.numeric import display_round
 from emberline.functions.parsing import metadata_number, metadata_text
 from emberline.operators import geojoin, history, listing, quality
+from emberline.operators.nearest import nearest_rows
 from emberline.queries import workspace as ws
 from emberline.queries.oracle import half_up, sql
 from emberline.queries.registry import query
@@ -68,6 +69,14 @@ def facilities_nearby(spark, folder):
     return near.withColumn("distance_km", display_round(F.col("distance_km"), 6))
 
 
+@query("nearest_facilities", pl(f"""SELECT event_id, place, facility_id, {half_up('km', 6)} AS distance_km FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY km, facility_id) AS INT) AS place FROM
+ (SELECT s.event_id, f.facility_id, sqrt(pow((f.latitude-s.latitude)*111.0::DOUBLE,2)+pow((f.longitude-s.longitude)*111.0::DOUBLE*cos(radians(s.latitude)),2)) AS km FROM summary s, facilities f)) WHERE place<=3""", "summary", "facilities"))
+def nearest_facilities(spark, folder):
+    """The three nearest of a catalogue of any size, by going down its quadtree."""
+    found = nearest_rows(ws.events(spark, folder), fixtures.facilities(spark, folder), 3)
+    return found.withColumn("distance_km", display_round(F.col("distance_km"), 6))
+
+
 @query("context_features", pl(f"""SELECT s.event_id, historical_activity, facility_distance_km FROM summary s LEFT JOIN
  (SELECT b.event_id, CAST(sum(n) AS DOUBLE) AS historical_activity FROM (SELECT event_id, floor(latitude/0.1::DOUBLE+0.5::DOUBLE)+i AS a, floor(longitude/0.1::DOUBLE+0.5::DOUBLE)+j AS b FROM summary, (VALUES (-1),(0),(1)) x(i), (VALUES (-1),(0),(1)) y(j)) b
   JOIN (SELECT floor(latitude/0.1::DOUBLE+0.5::DOUBLE) AS a, floor(longitude/0.1::DOUBLE+0.5::DOUBLE) AS b, count(*) AS n FROM linked GROUP BY 1,2) c ON b.a=c.a AND b.b=c.b GROUP BY 1) USING (event_id)
