@@ -47,7 +47,7 @@ def holdout_groups(dataset: DataFrame, share: float = HOLDOUT_SHARE, seed: int =
 
     Groups are one-degree cells, at most 64,800 rows.
     """
-    groups = dataset.select("spatial_group").distinct().withColumn("order", F.xxhash64(F.lit(seed), F.col("spatial_group")))
+    groups = dataset.select("spatial_group").distinct().withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("spatial_group"))))
     ranked = rank_within(groups.withColumn("all", F.lit(1)), ["all"], ["order", "spatial_group"], largest=0)
     return ranked.select("spatial_group", (F.col("rank") <= F.ceil(F.col("size") * F.lit(share))).alias("is_holdout"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions.numeric import display_round
-from emberline.learning import anomaly, dataset, isolation, labeled, recurrence
+from emberline.learning import anomaly, dataset, isolation, labeled, metrics, recurrence
 from emberline.operators import features as feat
 from emberline.operators.events import persistence_metrics
 from emberline.queries import workspace as ws
@@ -67,13 +67,44 @@ def recurrence_dataset(spark, folder):
                        display_round(F.col("mean_frp"), 6).alias("mean_frp"), display_round(F.col("spatial_spread_km"), 6).alias("spatial_spread_km"))
 
 
-@query("group_holdout_split")
+# Groups in the order of a seeded hash, a quarter of them held out.
+COHORT["split"] = (("cohort",), """SELECT c.*, r<=ceil(m*0.25::DOUBLE) AS is_holdout FROM cohort c JOIN
+ (SELECT spatial_group, row_number() OVER (ORDER BY md5('42:'||spatial_group), spatial_group) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT spatial_group FROM cohort)) USING (spatial_group)""")
+# The training groups dealt one after another.
+COHORT["dealing"] = (("split",), """SELECT *, row_number() OVER (ORDER BY abs(p-q) DESC, md5('42:'||spatial_group), spatial_group) AS i, sum(p) OVER () AS pa, sum(q) OVER () AS qa FROM
+ (SELECT spatial_group, CAST(count(*) FILTER (label='multi_day_recurrence') AS HUGEINT) AS p, CAST(count(*) FILTER (label<>'multi_day_recurrence') AS HUGEINT) AS q FROM split WHERE NOT is_holdout GROUP BY 1)""")
+COHORT["dealt"] = (("dealing",), """SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS spatial_group, -1 AS fold, [0,0,0]::HUGEINT[] AS a, [0,0,0]::HUGEINT[] AS b
+ UNION ALL SELECT i, spatial_group, k, list_transform([0,1,2], lambda f: a[f+1]+CASE WHEN f=k THEN p ELSE 0 END), list_transform([0,1,2], lambda f: b[f+1]+CASE WHEN f=k THEN q ELSE 0 END) FROM
+ (SELECT d.i, d.spatial_group, d.p, d.q, t.a, t.b, list_sort(list_transform([0,1,2], lambda f: {'g': (2*t.a[f+1]+d.p)*d.p*d.qa*d.qa+(2*t.b[f+1]+d.q)*d.q*d.pa*d.pa, 'n': t.a[f+1]+t.b[f+1], 'k': f}))[1].k AS k FROM dealt t JOIN dealing d ON d.i=t.i+1)""")
+COHORT["folded"] = (("split", "dealt"), "SELECT s.*, d.fold FROM split s JOIN dealt d USING (spatial_group) WHERE NOT s.is_holdout")
+
+
+@query("group_holdout_split", co("SELECT is_holdout, label, count(*) AS n, count(DISTINCT spatial_group) AS groups FROM split GROUP BY 1,2", "split"))
 def group_holdout_split(spark, folder):
     split = dataset.split_dataset(_cohort(spark, folder))
     dataset.require_trainable(split)
     return split.groupBy("is_holdout", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("spatial_group").alias("groups"))
 
 
+def _folded(spark, folder):
+    return ws.stored(spark, folder, "folded", lambda: recurrence.with_folds(dataset.split_dataset(_cohort(spark, folder)).filter("NOT is_holdout")))
+
+
+@query("stratified_group_folds", co("SELECT fold, spatial_group, count(*) AS n, count(*) FILTER (label='multi_day_recurrence') AS positives FROM folded GROUP BY 1,2", "folded"))
+def stratified_group_folds(spark, folder):
+    return _folded(spark, folder).groupBy("fold", "spatial_group").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == dataset.POSITIVE).alias("positives"))
+
+
+@query("fold_medians", co(" UNION ALL ".join(
+    f"SELECT k AS fold, '{n}' AS feature, {half_up(f'quantile_cont({n}, 0.5)', 4)} AS median FROM folded JOIN feats USING (event_id), (VALUES (0),(1),(2)) t(k) WHERE fold<>k GROUP BY k HAVING count({n})>0"
+    for n in ("mean_frp", "intensity_variance", "night_fraction", "spatial_spread_km")), "folded", "feats"))
+def fold_medians(spark, folder):
+    """What each fold's model fills gaps with: medians of the rows outside the fold."""
+    names = ("mean_frp", "intensity_variance", "night_fraction", "spatial_spread_km")
+    rows = _folded(spark, folder).select("fold", *(display_round(F.col(n), _digits(n)).alias(n) for n in names))
+    return recurrence.fold_medians(rows, names).withColumn("median", display_round(F.col("median"), 4))
+
+
 @query("group_kfold_select")
 def group_kfold_select(spark, folder):
     model = _recurrence(spark, folder)
@@ -125,6 +156,32 @@ def binary_eval(spark, folder):
     return recurrence.binary_metrics(_cohort(spark, folder).withColumn("prediction_label", guess))
 
 
+# Scores with many ties: rows of the first day, and the mean power in whole megawatts.
+_SCORES = {"observation_count": "observation_count", "mean_frp": "floor(mean_frp)"}
+
+
+@query("exact_areas", co(" UNION ALL ".join(f"""SELECT '{n}' AS score, max(pa) AS positives, max(na) AS negatives, {half_up('CAST(sum(neg*(2*(pu-pos)+pos)) AS DOUBLE)/(2.0::DOUBLE*max(pa)*max(na))', 9)} AS roc_auc,
+ {half_up('sum(pos*(CAST(pu AS DOUBLE)/(pu+nu)))/max(pa)', 9)} AS pr_auc FROM (SELECT *, sum(pos) OVER (ORDER BY v DESC) AS pu, sum(neg) OVER (ORDER BY v DESC) AS nu, sum(pos) OVER () AS pa, sum(neg) OVER () AS na FROM
+ (SELECT {v} AS v, count(*) FILTER (label='multi_day_recurrence') AS pos, count(*) FILTER (label<>'multi_day_recurrence') AS neg FROM cohort JOIN feats USING (event_id) WHERE {v} IS NOT NULL GROUP BY 1))""" for n, v in _SCORES.items()), "cohort", "feats"))
+def exact_area_query(spark, folder):
+    rows = _cohort(spark, folder).select("label", "observation_count", F.floor(display_round(F.col("mean_frp"), 6)).alias("mean_frp"))
+    found = [metrics.exact_areas(rows, n, F.col("label") == dataset.POSITIVE).select(
+        F.lit(n).alias("score"), "positives", "negatives", *(display_round(F.col(c), 9).alias(c) for c in ("roc_auc", "pr_auc"))) for n in _SCORES]
+    return found[0].unionAll(found[1])
+
+
+@query("class_report", co(f"""SELECT * FROM (WITH pairs AS (SELECT label AS truth, CASE WHEN observation_count>=2 THEN 'multi_day_recurrence' ELSE 'single_day_observed' END AS guess FROM cohort JOIN feats USING (event_id)),
+ each AS (SELECT c AS class, count(*) FILTER (truth=c) AS support, coalesce(count(*) FILTER (truth=c AND guess=c)/nullif(CAST(count(*) FILTER (guess=c) AS DOUBLE),0),0) AS precision,
+  coalesce(count(*) FILTER (truth=c AND guess=c)/nullif(CAST(count(*) FILTER (truth=c) AS DOUBLE),0),0) AS recall, 2.0::DOUBLE*count(*) FILTER (truth=c AND guess=c)/(count(*) FILTER (truth=c)+count(*) FILTER (guess=c)) AS f1
+  FROM pairs, (VALUES ('multi_day_recurrence'),('single_day_observed')) t(c) GROUP BY 1),
+ whole AS (SELECT * FROM each UNION ALL SELECT 'macro avg', sum(support), avg(precision), avg(recall), avg(f1) FROM each
+  UNION ALL SELECT 'weighted avg', sum(support), sum(support*precision)/sum(support), sum(support*recall)/sum(support), sum(support*f1)/sum(support) FROM each)
+ SELECT class, {half_up('precision', 6)} AS precision, {half_up('recall', 6)} AS recall, {half_up('f1', 6)} AS f1, CAST(support AS BIGINT) AS support FROM whole)""", "cohort", "feats"))
+def class_report(spark, folder):
+    guess = F.when(F.col("observation_count") >= 2, dataset.POSITIVE).otherwise(dataset.NEGATIVE)
+    return metrics.class_report(_cohort(spark, folder).withColumn("prediction_label", guess))
+
+
 @query("model_evaluation")
 def model_evaluation(spark, folder):
     return recurrence.evaluate(_recurrence(spark, folder))
