@@ -8,6 +8,10 @@ pi((sigma(s) - k) mod 2^32) over the set, that is pi shifted circularly by k pla
 3 in a million and grows with s; whoever shares a key is a candidate, and a link is
 confirmed on the full sets of 64-bit shingle hashes.
 
+Candidates are ruled out before they are compared where their sizes or 1,024-bit maps of
+their sets show that the threshold is out of reach: every bit of one that the other lacks
+is at least one shingle that is not shared. This rules out nothing that could be a link.
+
 Texts with equal sets form a class (however many copies there are), and only classes are
 banded. Candidates of large buckets are found through pivots (``buckets``), so a group of
 thousands of near copies costs rows in proportion to it, and no cap is set. Sets are
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import buckets
@@ -40,6 +44,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 #: Shingles hashed at a time, so that work stays in a core's cache.
 BLOCK_ITEMS = 50_000
+BITMAP_WORDS = 16
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -90,8 +95,31 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return keys.view(np.int64)
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Which of 64 * BITMAP_WORDS cells hold a shingle of the set."""
+    cells = np.zeros(64 * BITMAP_WORDS, dtype=bool)
+    cells[(own & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(cells, bitorder="little").view(np.int64)
+
+
+def may_reach(percent: int):
+    """Can two classes x, y with sizes n and maps w0.. reach the threshold? Whole numbers, no false no."""
+    def admissible(x: str, y: str) -> Column:
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        # overlap o with 100 o >= percent (nx + ny - o)
+        least = F.ceil((nx + ny).cast("long") * percent / (100 + percent))
+        only_x = only_y = F.lit(0)
+        for k in range(BITMAP_WORDS):
+            wx, wy = F.col(f"{x}.w{k}"), F.col(f"{y}.w{k}")
+            only_x = only_x + F.bit_count(wx.bitwiseAND(F.bitwise_not(wy)))
+            only_y = only_y + F.bit_count(wy.bitwiseAND(F.bitwise_not(wx)))
+        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (only_x <= nx - least) & (only_y <= ny - least)
+
+    return admissible
+
+
 def banded_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n_shingles, tag, bands): bands only where a task meets a set for the first time."""
+    """(key, n_shingles, tag, bands, bits): bands and map only where a task meets a set for the first time."""
     kind = docs.schema[key].dataType.simpleString()
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +133,13 @@ def banded_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     seen.add(tag)
                     fresh.append(k)
             keys: list[np.ndarray | None] = [None] * len(sets)
+            maps: list[np.ndarray | None] = [None] * len(sets)
             for k, row in zip(fresh, band_keys(signatures([sets[k] for k in fresh])) if fresh else [], strict=True):
-                keys[k] = row
-            yield pa.record_batch([batch.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(tags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                  names=[key, "n_shingles", "tag", "bands"])
+                keys[k], maps[k] = row, bitmap(sets[k])
+            yield pa.record_batch([batch.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(tags, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                                   pa.array(maps, pa.list_(pa.int64()))], names=[key, "n_shingles", "tag", "bands", "bits"])
 
-    return docs.select(key, text).mapInArrow(banded, f"`{key}` {kind}, n_shingles long, tag binary, bands array<long>")
+    return docs.select(key, text).mapInArrow(banded, f"`{key}` {kind}, n_shingles long, tag binary, bands array<long>, bits array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -129,10 +158,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib")).join(broadcast_if_small(pairs), "b")
+    left = sets.join(broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
     # 100 * least size < percent * greatest size cannot reach it
-    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least(F.size("ia"), F.size("ib")) >= percent * F.greatest(F.size("ia"), F.size("ib")))
+    sized = right.join(left.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").filter(
+        100 * F.least(F.size("ia"), F.size("ib")) >= percent * F.greatest(F.size("ia"), F.size("ib")))
     shared = F.size(F.array_intersect("ia", "ib"))
     return sized.filter(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
 
@@ -141,7 +171,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """(key, n_shingles, component_id, kept): the smallest key that links lead to, itself included."""
     spark = docs.sparkSession
     rows = materialize(banded_sets(docs, key, text, width), "minhash-rows")
-    classes = (rows.filter("n_shingles > 0").groupBy("tag").agg(F.min(key).alias("first"), F.first("bands", ignorenulls=True).alias("bands")))
+    classes = (rows.filter("n_shingles > 0").groupBy("tag").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"),
+                                                                      F.first("bands", ignorenulls=True).alias("bands"), F.first("bits", ignorenulls=True).alias("bits")))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     temporary: list[DataFrame] = []
 
@@ -153,7 +184,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         temporary.extend([pairs, wanted, sets])
         return verified(pairs, sets, percent)
 
-    labels = buckets.linked(classes.select(F.explode("bands").alias("h"), "node"), verify)
+    attributes = classes.select("node", "n", *(F.col("bits")[k].alias(f"w{k}") for k in range(BITMAP_WORDS)))
+    labels = buckets.linked(classes.select(F.explode("bands").alias("h"), "node"), verify, ["n", *(f"w{k}" for k in range(BITMAP_WORDS))], may_reach(percent), attributes=attributes)
     named = classes.select("tag", "node", "first")
     placed = buckets.with_components(named, labels)
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
