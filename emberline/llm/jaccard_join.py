@@ -256,12 +256,15 @@ def _may_reach(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b), distinct ones, whose similarity reaches the threshold."""
-    right = lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    left = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    """The pairs (a, b), distinct ones, whose similarity reaches the threshold.
+
+    The narrow pairs go to the lists, and lists travel once, to the class they are compared with.
+    """
+    right = lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")).join(broadcast_if_small(pairs), "b")
+    left = lists.join(broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+    left = left.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    return (pairs.join(right, "b").join(left, "a")
-            .filter(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
+    return right.join(left, "a").filter(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def _sketches(lists: DataFrame) -> DataFrame:
@@ -292,8 +295,7 @@ def linked_classes(lists: DataFrame) -> DataFrame | None:
 
     def verify(pairs: DataFrame) -> DataFrame:
         once = materialize(pairs.distinct(), "jaccard-pairs")
-        nodes = once.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = materialize(_verified(once, lists.join(broadcast_if_small(nodes), "node", "left_semi")), "jaccard-links")
+        found = materialize(_verified(once, lists), "jaccard-links")
         drop_scratch(spark, once)
         return found
 
