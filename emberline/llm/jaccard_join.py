@@ -3,9 +3,10 @@
 A text's set is its distinct word shingles, as hashes. Texts with equal sets form a class
 (a copy costs one narrow row); the join runs over classes.
 
-1. Hashes are dealt by ranges, as packed arrays: sorted hashes and short class tags, a
-   class once for each task however many copies the task holds. A range's task counts in
-   how many classes each hash occurs and passes on the hashes of two classes or more.
+1. Hashes are dealt by ranges, as packed arrays: sorted hashes and two bytes that name
+   the class within its slice of texts, a class once for each task however many copies the
+   task holds. A range's task counts how often each hash occurs and passes on those that
+   occur twice or more, back to their slices.
 2. A class puts its hashes in one global order, rarest first. Hashes that occur nowhere
    else come first and can match nothing, so a class with more of them than its prefix
    is long leaves; the others keep their shared hashes, in order.
@@ -89,12 +90,19 @@ def _unplanes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _packed(texts: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
-    """(cell, tags, owner, hashes): each task's classes' hashes, cut into ranges."""
+def _packed(texts: DataFrame, text: str, width: int, ranges: int, cells: int) -> DataFrame:
+    """(cell, slice, owner, hashes): each slice's classes' hashes, cut into ranges, and once for each slice its tags.
+
+    A class is named by its slice and its place there, two bytes a hash; a slice's row of
+    tags has a cell below 0.
+    """
     edges = np.array([(k << 48) // ranges for k in range(ranges + 1)], dtype=np.uint64)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[bytes] = set()
+        number = TaskContext.get().partitionId() << 24
         for whole in slices(batches, text, SLICE_BYTES):
             for start in range(0, whole.num_rows, 60_000):
                 tags, found = [], []
@@ -114,68 +122,74 @@ def _packed(texts: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
                 hashes, owner = hashes[order], owner[order]
                 del order
                 cuts = np.searchsorted(hashes, edges[:-1])
-                rows = []
+                rows = [(-1 - number % cells, number, b"".join(tags), b"")]
                 for cell, low, high in zip(range(ranges), cuts, [*cuts[1:], len(hashes)], strict=True):
                     if high > low:
-                        mine, index = np.unique(owner[low:high], return_inverse=True)
-                        rows.append((cell, b"".join(tags[k] for k in mine), index.astype("<u2").tobytes(), _planes(hashes[low:high])))
+                        rows.append((cell, number, owner[low:high].astype("<u2").tobytes(), _planes(hashes[low:high])))
                         if len(rows) == 256:
                             yield _rows(rows)
                             rows = []
                 if rows:
                     yield _rows(rows)
+                number += 1
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        cell, tags, owner, hashes = zip(*rows, strict=True)
-        return pa.record_batch({"cell": pa.array(cell, pa.int32()), "tags": pa.array(tags, pa.binary()), "owner": pa.array(owner, pa.binary()),
+        cell, number, owner, hashes = zip(*rows, strict=True)
+        return pa.record_batch({"cell": pa.array(cell, pa.int32()), "slice": pa.array(number, pa.int64()), "owner": pa.array(owner, pa.binary()),
                                 "hashes": pa.array(hashes, pa.binary())})
 
-    return texts.select(text).mapInArrow(packed, "cell int, tags binary, owner binary, hashes binary")
+    return texts.select(text).mapInArrow(packed, "cell int, slice long, owner binary, hashes binary")
 
 
 def _shared(packed: DataFrame, cells: int) -> DataFrame:
-    """(cell, tags, owner, hashes, counts): the hashes of two classes or more, dealt by class."""
+    """(cell, slice, owner, hashes, counts): the hashes of two classes or more, dealt by slice; rows of tags have no counts.
+
+    A class that several tasks met counts as several: its hashes are kept although it may
+    be alone with them, and the order by count is still one order for all.
+    """
+    columns = ["cell", "slice", "owner", "hashes", "counts"]
 
     def counted(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, owner, tags, base = [], [], [], 0
-        for row in group.itertuples():
-            own = np.frombuffer(row.tags, dtype=f"V{TAG_BYTES}")
-            hashes.append(_unplanes(row.hashes))
-            owner.append(np.frombuffer(row.owner, dtype="<u2").astype(np.int64) + base)
-            tags.append(own)
-            base += len(own)
+        if group["cell"].iat[0] < 0:
+            return pd.DataFrame({"cell": (group["slice"] % cells).astype("int32"), "slice": group["slice"], "owner": group["owner"], "hashes": group["hashes"], "counts": None})
+        hashes = np.concatenate([_unplanes(data) for data in group["hashes"]])
+        owner = np.concatenate([np.frombuffer(data, dtype="<u2").astype(np.int64) + (number << 16) for data, number in zip(group["owner"], group["slice"].tolist(), strict=True)])
         del group
-        names = np.concatenate(tags)
-        # one number for each distinct class
-        wide = np.frombuffer(names.tobytes(), dtype=np.uint8).reshape(-1, TAG_BYTES)
-        classes, number = np.unique(wide, axis=0, return_inverse=True)
-        hashes, owner = np.concatenate(hashes), number.reshape(-1)[np.concatenate(owner)]
         order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order].astype(np.int32)
+        hashes, owner = hashes[order], owner[order]
         del order
-        new = np.ones(len(hashes), dtype=bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[new], owner[new]
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         runs = np.diff(np.concatenate([starts, [len(hashes)]]))
         uses = np.repeat(runs.astype(np.int32), runs)
         kept = uses > 1
         hashes, owner, uses = hashes[kept], owner[kept], uses[kept]
-        cell = (classes[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) % cells
-        at = cell[owner]
+        at = owner >> 16
         order = np.argsort(at, kind="stable")
         hashes, owner, uses, at = hashes[order], owner[order], uses[order], at[order]
         rows = []
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         for low, high in zip(cuts, [*cuts[1:], len(at)][:len(cuts)], strict=True):
-            mine, index = np.unique(owner[low:high], return_inverse=True)
-            rows.append((int(at[low]), classes[mine].tobytes(), index.astype("<u4").tobytes(), _planes(hashes[low:high]), uses[low:high].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["cell", "tags", "owner", "hashes", "counts"])
+            number = int(at[low])
+            rows.append((number % cells, number, (owner[low:high] & 0xFFFF).astype("<u2").tobytes(), _planes(hashes[low:high]), uses[low:high].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=columns)
+
+    return packed.groupBy("cell").applyInPandas(counted, "cell int, slice long, owner binary, hashes binary, counts binary")
 
-    return packed.groupBy("cell").applyInPandas(counted, "cell int, tags binary, owner binary, hashes binary, counts binary")
 
+def _named(shared: DataFrame) -> DataFrame:
+    """(tag, node): each class under the first name that it has in any slice."""
 
-def _ordered(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, tags in zip(batch.column("slice").to_pylist(), batch.column("owner").to_pylist(), strict=True):
+                own = [tags[k:k + TAG_BYTES] for k in range(0, len(tags), TAG_BYTES)]
+                yield pa.record_batch({"tag": pa.array(own, pa.binary()), "node": pa.array((number << 16) + np.arange(len(own), dtype=np.int64))})
+
+    rows = shared.filter("counts IS NULL").select("slice", "owner").mapInArrow(listed, "tag binary, node long")
+    return rows.groupBy("tag").agg(F.min("node").alias("node"))
+
+
+def _ordered(shared: DataFrame, classes: DataFrame, cells: int) -> DataFrame:
     """(node, n, mass, items): shared hashes, rarest first, of every class whose prefix holds one.
 
     mass is the mean logarithm of how many classes hold a hash; it is high for the text
@@ -186,26 +200,31 @@ def _ordered(shared: DataFrame, classes: DataFrame) -> DataFrame:
         empty = pd.DataFrame([], columns=["node", "n", "mass", "items"], dtype=object)
         if len(chunks) == 0 or len(known) == 0:
             return empty
-        row_of = {tag: k for k, tag in enumerate(known["tag"])}
-        owner, hashes, uses = [], [], []
-        for row in chunks.itertuples():
-            own = np.array([row_of[row.tags[k:k + TAG_BYTES]] for k in range(0, len(row.tags), TAG_BYTES)])
-            owner.append(own[np.frombuffer(row.owner, dtype="<u4")])
-            hashes.append(_unplanes(row.hashes))
-            uses.append(np.frombuffer(row.counts, dtype="<u4"))
-        owner, hashes, uses = np.concatenate(owner), np.concatenate(hashes), np.concatenate(uses)
+        known = known.sort_values("node")
+        nodes, sizes = known["node"].to_numpy(), known["n"].to_numpy()
+        parts = []
+        for number, own, data, counts in zip(chunks["slice"].tolist(), chunks["owner"], chunks["hashes"], chunks["counts"], strict=True):
+            name = np.frombuffer(own, dtype="<u2").astype(np.int64) + (number << 16)
+            row = np.minimum(np.searchsorted(nodes, name), len(nodes) - 1)
+            mine = nodes[row] == name  # other names of a class bring the same hashes again
+            parts.append((row[mine].astype(np.int32), _unplanes(data)[mine], np.frombuffer(counts, dtype="<u4")[mine]))
+        del chunks
+        owner, hashes, uses = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         order = np.lexsort((hashes, uses, owner))
         owner, hashes, uses = owner[order], hashes[order].astype(np.int64), uses[order]
+        del order
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         rows = []
-        for low, high in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+        for low, high in zip(cuts, [*cuts[1:], len(owner)][:len(cuts)], strict=True):
             k = owner[low]
-            n = int(known["n"].iat[k])
+            n = int(sizes[k])
             if n - (high - low) < _prefix(n):
-                rows.append((int(known["node"].iat[k]), n, float(np.log(uses[low:high]).sum() / n), hashes[low:high]))
+                rows.append((int(nodes[k]), n, float(np.log(uses[low:high]).sum() / n), hashes[low:high]))
         return pd.DataFrame(rows, columns=["node", "n", "mass", "items"]) if rows else empty
 
-    return shared.groupBy("cell").cogroup(classes.groupBy("cell")).applyInPandas(listed, "node long, n long, mass double, items array<long>")
+    placed = classes.select((F.shiftright("node", 16) % cells).cast("int").alias("cell"), "node", "n")
+    return shared.filter("counts IS NOT NULL").groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(listed, "node long, n long, mass double, items array<long>")
 
 
 def _prefix(n: int) -> int:
@@ -316,12 +335,12 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     spark = docs.sparkSession
     sets = materialize(shingle_sets(docs, key, text, width), "jaccard-sets")
     classes = sets.filter("n_shingles > 0").groupBy("tag").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges, cells = max(8, -(-total // RANGE_HASHES)), max(8, -(-total // (2 * RANGE_HASHES)))
-    numbered = classes.withColumn("cell", (F.conv(F.hex(F.substring("tag", 1, 4)), 16, 10).cast("long") % cells).cast("int"))
-    shared = _shared(_packed(docs, text, width, int(ranges)), int(cells))
-    lists = materialize(_ordered(shared, numbered.select("cell", "tag", "node", "n")), "jaccard-lists")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges = max(8, -(-total // RANGE_HASHES))
+    shared = materialize(_shared(_packed(docs, text, width, int(ranges), int(ranges)), int(ranges)), "jaccard-shared")
+    classes = materialize(classes.join(_named(shared), "tag"), "jaccard-classes")
+    lists = materialize(_ordered(shared, classes, int(ranges)), "jaccard-lists")
+    drop_scratch(spark, shared)
     labels = linked_classes(lists)
     named = classes.select("tag", "node", "first")
     if labels is None:
