@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline import config
+from emberline.operators.features import FEATURES
 from emberline.operators.ranking import rank_within
 
 # Fixed value: genesis link.
 EVIDENCE_PREFIX = "EV-"
 GENESIS = "0" * 64
-SCHEMA_VERSION = "evidence-v2"
+SCHEMA_VERSION = "evidence-v3"
 FAN_OUT = 4096
 BLOCK = 256
 
@@ -25,7 +27,24 @@ def _iso(ts: Column) -> Column:
 
 
 def _decimal(value: Column, digits: int = 6) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("null"))
+    # the format of a null is cut to the digits, so it is not asked for
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).otherwise(F.lit("null"))
+
+
+def _quoted(value: Column) -> Column:
+    """A JSON string, or null."""
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
+def _whole(value: Column) -> Column:
+    return F.coalesce(value.cast("long").cast("string"), F.lit("null"))
+
+
+def _object(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order; every field is there, unknown ones as null."""
+    parts = [part for name in sorted(fields) for part in (F.lit(f',"{name}":'), fields[name])]
+    return F.concat(F.lit("{"), F.substring(F.concat(*parts), 2, 2**31 - 1), F.lit("}"))
 
 
 def observation_fingerprint() -> Column:
@@ -36,10 +55,14 @@ def observation_fingerprint() -> Column:
     return F.sha2(text, 256)
 
 
+MEMBER_NUMBERS = ("intensity", "confidence", "frp", "scan", "track", "bright_ti5", "bright_t31")
+MEMBER_TEXTS = ("confidence_category", "daynight")
+
+
 def member_digest() -> Column:
-    """SHA-256 over identity and measurements of a detection."""
-    return F.sha2(F.concat_ws("|", observation_fingerprint(), _decimal(F.col("intensity")), _decimal(F.col("confidence")),
-                              _decimal(F.col("frp")), F.coalesce("daynight", F.lit("null"))), 256)
+    """SHA-256 over the identity of a detection and every field that was measured; unknown ones count as null."""
+    return F.sha2(_object({"source_observation_id": _quoted(observation_fingerprint()), **{n: _decimal(F.col(n)) for n in MEMBER_NUMBERS},
+                           **{n: _quoted(F.col(n)) for n in MEMBER_TEXTS}}), 256)
 
 
 def tree_digest(ranked: DataFrame, key: str, digest: str = "digest", fan_out: int = FAN_OUT) -> DataFrame:
@@ -74,20 +97,56 @@ def members_root(linked: DataFrame) -> DataFrame:
     return tree_digest(ranked, "event_id")
 
 
+#: Features that a package leaves out: they depend on other tables than the event's own rows.
+CONTEXT_FEATURES = ("historical_activity", "facility_distance_km")
+PACKAGE_FEATURES = tuple(n for n in FEATURES if n not in CONTEXT_FEATURES)
+
+
 def payload_text() -> Column:
-    """Canonical text of an evidence package; independent of the order of the members."""
-    return F.concat_ws(
-        "|", F.lit(SCHEMA_VERSION), F.col("event_id").cast("string"), _decimal(F.col("latitude")), _decimal(F.col("longitude")),
-        _iso(F.col("start_time")), _iso(F.col("end_time")), F.col("leaves").cast("string"), F.col("active_days").cast("string"),
-        _decimal(F.col("persistence_score"), 2), F.col("trend"), _decimal(F.col("risk_score"), 1), F.col("severity"),
-        F.col("classification"), F.col("root"))
-
-
-def evidence_packages(events: DataFrame, risk: DataFrame, linked: DataFrame) -> DataFrame:
-    """One package per event: its fields, the members' root, digest and evidence id."""
-    assessed = risk.select("event_id", "risk_score", "severity", "classification")
-    joined = events.join(assessed, "event_id").join(members_root(linked), "event_id")
-    digested = joined.withColumn("sha256", F.sha2(payload_text(), 256))
+    """Canonical JSON of an evidence package; independent of the order of the members.
+
+    It holds the event, its persistence metrics, features, risk with factors and
+    explanation, class with probabilities and model, and the root over the members.
+    """
+    factor = F.transform("factors", lambda f: _object({"factor": _quoted(f["factor"]), "score": _decimal(f["score"], 1), "weight": _decimal(f["weight"], 1)}))
+    chances = {name: _decimal(F.col("probabilities")[name]) for name in config.RULE_CLASSES}
+    return _object({
+        "schema_version": _quoted(F.lit(SCHEMA_VERSION)), "event_id": _whole(F.col("event_id")), "status": _quoted(F.col("status")),
+        "centroid": _object({"latitude": _decimal(F.col("latitude")), "longitude": _decimal(F.col("longitude"))}),
+        "start_time": _quoted(_iso(F.col("start_time"))), "end_time": _quoted(_iso(F.col("end_time"))),
+        "members": _object({"count": _whole(F.col("leaves")), "root": _quoted(F.col("root"))}),
+        "persistence": _object({"active_days": _whole(F.col("active_days")), "persistence_score": _decimal(F.col("persistence_score"), 2), "trend": _quoted(F.col("trend")),
+                                "average_intensity": _decimal(F.col("average_intensity"), 2), "intensity_variance": _decimal(F.col("intensity_variance"), 2),
+                                "spatial_stability": _decimal(F.col("spatial_stability"), 8)}),
+        "features": _object({n: _decimal(F.col("features")[n], 8 if n == "spatial_stability" else 6) for n in PACKAGE_FEATURES}),
+        "risk": _object({"score": _decimal(F.col("risk_score"), 1), "severity": _quoted(F.col("severity")), "explanation": _quoted(F.col("explanation")),
+                         "factors": F.coalesce(F.concat(F.lit("["), F.array_join(factor, ","), F.lit("]")), F.lit("null"))}),
+        "classification": _object({"classification": _quoted(F.col("classification")), "confidence": _decimal(F.col("class_confidence")),
+                                   "probabilities": _object(chances), "model_status": _quoted(F.col("model_status")), "model_version": _quoted(F.col("model_version"))}),
+        "weak_classification": F.when(F.col("weak_prediction").isNull(), F.lit('{"status":"UNAVAILABLE"}')).otherwise(
+            _object({"prediction": _quoted(F.col("weak_prediction")), "score": _decimal(F.col("weak_score"))}))})
+
+
+def evidence_packages(events: DataFrame, risk: DataFrame, linked: DataFrame, features: DataFrame, weak: DataFrame | None = None,
+                      model_status: str = "RULES_ONLY", model_version: str | None = None) -> DataFrame:
+    """One package per event: its fields, the members' root, digest and evidence id.
+
+    ``risk`` holds the metrics with class, factors and explanation; ``features`` a row of
+    doubles per event, rounded as they are to be bound; ``weak`` may bring
+    (event_id, weak_prediction, weak_score).
+    """
+    assessed = risk.select("event_id", "risk_score", "severity", "classification", "factors", "explanation", "probabilities", "class_confidence",
+                           "intensity_variance", "spatial_stability")
+    vector = features.select("event_id", F.struct(*PACKAGE_FEATURES).alias("features"))
+    # only what the digest binds
+    own = events.select("event_id", "latitude", "longitude", "start_time", "end_time", "status", "active_days", "persistence_score", "trend", "average_intensity")
+    joined = own.join(assessed, "event_id").join(members_root(linked), "event_id").join(vector, "event_id", "left")
+    if weak is None:
+        joined = joined.withColumn("weak_prediction", F.lit(None).cast("string")).withColumn("weak_score", F.lit(None).cast("double"))
+    else:
+        joined = joined.join(weak.select("event_id", "weak_prediction", "weak_score"), "event_id", "left")
+    named = joined.withColumn("model_status", F.lit(model_status)).withColumn("model_version", F.lit(model_version).cast("string"))
+    digested = named.withColumn("sha256", F.sha2(payload_text(), 256))
     return digested.withColumn("evidence_id", evidence_id(F.col("sha256")))
 
 
@@ -177,12 +236,30 @@ def ledger_append(packages: DataFrame, receipts: DataFrame | None = None, key: s
         F.col("r.previous").alias("previous_sha256"), "r.item.anchored_at").withColumn("chain_sha256", receipt_hash())
 
 
-def require_appendable(packages: DataFrame, receipts: DataFrame, heads: DataFrame, key: str = "ledger_key") -> None:
-    """Refuse to append packages whose content does not match their digest, or to a ledger that does not verify."""
-    if not packages.filter(~F.coalesce(F.sha2(payload_text(), 256) == F.col("sha256"), F.lit(False))).isEmpty():
-        raise ValueError("a package does not match its digest")
-    if not ledger_verify(receipts, heads, key).filter("NOT valid").isEmpty():
-        raise ValueError("the ledger does not verify")
+def refusals(packages: DataFrame, receipts: DataFrame, heads: DataFrame, key: str = "ledger_key") -> DataFrame:
+    """(key, event_id, reason): packages that must not be appended; a package may have both reasons.
+
+    CONTENT_DIGEST_MISMATCH: the content gives another digest or evidence id than the package
+    says. LEDGER_INVALID: the ledger that it would go to does not verify.
+    """
+    found = F.sha2(payload_text(), 256)
+    whole = F.coalesce((found == F.col("sha256")) & (evidence_id(found) == F.col("evidence_id")), F.lit(False))
+    altered = packages.filter(~whole).select(key, "event_id", F.lit("CONTENT_DIGEST_MISMATCH").alias("reason"))
+    broken = ledger_verify(receipts, heads, key).filter("NOT valid").select(key)  # one row a ledger
+    return altered.unionAll(packages.join(broken, key, "left_semi").select(key, "event_id", F.lit("LEDGER_INVALID").alias("reason")))
+
+
+def append_packages(packages: DataFrame, receipts: DataFrame | None = None, heads: DataFrame | None = None, key: str = "ledger_key") -> DataFrame:
+    """Receipts for whole packages (with ``key`` and ``anchored_at``), refused as a whole if one package or its ledger does not verify."""
+    if receipts is None:
+        receipts_known, heads_known = ledger_append(packages.limit(0), None, key), None
+    else:
+        receipts_known, heads_known = receipts, heads
+    refused = refusals(packages, receipts_known, ledger_heads(receipts_known, key) if heads_known is None else heads_known, key).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("event_id")).collect()  # at most two rows
+    if refused:
+        raise ValueError("; ".join(f"{r['reason']}: {r['n']} packages, first of event {r['event_id']}" for r in refused))
+    return ledger_append(packages.select(key, "event_id", "evidence_id", "sha256", "anchored_at"), receipts, key)
 
 
 def ledger_heads(receipts: DataFrame, key: str = "ledger_key") -> DataFrame:

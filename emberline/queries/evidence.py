@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberline import fixtures
+from emberline import config, fixtures
 from emberline.functions.numeric import display_round
-from emberline.operators import ledger
+from emberline.operators import features, ledger, proofs
 from emberline.operators.incremental import EventStore
 from emberline.operators.validate import validate_rows
 from emberline.plans.ingestion import ingest_batch, replay_capture, run_ingestion, stored_events
 from emberline.queries import workspace as ws
 from emberline.queries.ingest import EXTRA
 from emberline.queries.oracle import half_up, sql
+from emberline.queries.per_event import _feature_sql
+from emberline.queries.per_event import _rounded as rounded_features
 from emberline.queries.registry import query
-from emberline.queries.scoring import RISK
-from emberline.session import scratch_path
+from emberline.queries.scoring import _CONFIDENCE_SQL, _FACTOR_SQL, RISK
+from emberline.session import materialize, scratch_path
 from emberline.sources import captures, detections
 from emberline.sources.tables import overwrite_by_key
 
@@ -29,12 +31,38 @@ def _num(column: str, digits: int = 6) -> str:
 
 
 _PRINT = (f"sha256('{{\"latitude\":'||{_num('latitude')}||',\"longitude\":'||{_num('longitude')}||',\"sensor\":\"'||coalesce(sensor,'null')||'\",\"source\":\"'||source||'\",\"timestamp\":\"'||{_iso('timestamp')}||'\"}}')")
+
+
+def _quote(column: str) -> str:
+    return f"coalesce('\"'||replace(replace({column}, chr(92), chr(92)||chr(92)), '\"', chr(92)||'\"')||'\"','null')"
+
+
+def _object(fields: dict[str, str]) -> str:
+    return "'{'||" + "||','||".join(f"'\"{name}\":'||{fields[name]}" for name in sorted(fields)) + "||'}'"
+
+
+_MEMBER = _object({"source_observation_id": f"'\"'||{_PRINT}||'\"'", **{n: _num(n) for n in ledger.MEMBER_NUMBERS}, **{n: _quote(n) for n in ledger.MEMBER_TEXTS}})
+_FACTORS = "'['||" + "||','||".join(_object({"factor": _quote(f"factor_texts[{k}]"), "score": _num(f"CAST(f{k} AS DOUBLE)", 1), "weight": f"'{w}'"})
+                                   for k, w in ((1, "25.0"), (2, "25.0"), (3, "15.0"), (4, "20.0"), (5, "15.0"))) + "||']'"
+_PAYLOAD = _object({
+    "schema_version": "'\"evidence-v3\"'", "event_id": "event_id", "status": _quote("status"), "centroid": _object({"latitude": _num("latitude"), "longitude": _num("longitude")}),
+    "start_time": f"'\"'||{_iso('start_time')}||'\"'", "end_time": f"'\"'||{_iso('end_time')}||'\"'", "members": _object({"count": "leaves", "root": _quote("root")}),
+    "persistence": _object({"active_days": "active_days", "persistence_score": _num("persistence_score", 2), "trend": _quote("trend"), "average_intensity": _num("average_intensity", 2),
+                            "intensity_variance": _num("intensity_variance", 2), "spatial_stability": _num("spatial_stability", 8)}),
+    "features": _object({n: _num(f"f_{n}", 8 if n == "spatial_stability" else 6) for n in ledger.PACKAGE_FEATURES}),
+    "risk": _object({"score": _num("risk_score", 1), "severity": _quote("severity"), "explanation": _quote("explanation"), "factors": _FACTORS}),
+    "classification": _object({"classification": _quote("classification"), "confidence": _num("class_confidence"), "model_status": "'\"RULES_ONLY\"'", "model_version": "'null'",
+                               "probabilities": _object({n: _num(half_up(c, 6)) for n, c in zip(config.RULE_CLASSES, ("pi", "pp", "pa", "po"))})}),
+    "weak_classification": "'{\"status\":\"UNAVAILABLE\"}'"})
 LEDGER = {
-    **RISK,
-    "members": (("linked",), f"SELECT event_id, timestamp, latitude, longitude, sha256(concat_ws('|', {_PRINT}, {_num('intensity')}, {_num('confidence')}, {_num('frp')}, coalesce(daynight,'null'))) AS digest FROM linked"),
+    **RISK, **_feature_sql("linked"),
+    "members": (("linked",), f"SELECT event_id, timestamp, latitude, longitude, sha256({_MEMBER}) AS digest FROM linked"),
     "roots": (("members",), "SELECT event_id, sha256(count(*)||'|'||sha256(string_agg(digest,'' ORDER BY timestamp, latitude, longitude, digest))) AS root, count(*) AS leaves FROM members GROUP BY 1"),
-    "packs": (("bucketed", "roots"), f"""SELECT event_id, start_time, end_time, latitude, longitude, leaves, root, sha256, 'EV-'||upper(substr(sha256,1,16)) AS evidence_id FROM (SELECT *, sha256(concat_ws('|','evidence-v2', event_id, {_num('latitude')}, {_num('longitude')}, {_iso('start_time')}, {_iso('end_time')},
- leaves, active_days, {_num('persistence_score', 2)}, trend, {_num('risk_score', 1)}, severity, classification, root)) AS sha256 FROM bucketed JOIN roots USING (event_id))"""),
+    "scored": (("explained", "feats"), f"""SELECT event_id, explanation, intensity_variance, spatial_stability, pi, pp, pa, po, f1, f2, f3, f4, f5, {_CONFIDENCE_SQL} AS class_confidence,
+ string_split({_FACTOR_SQL}, '|') AS factor_texts, {', '.join(f'f_{n}' for n in ledger.PACKAGE_FEATURES)}
+ FROM explained JOIN (SELECT event_id, {', '.join(f'{n} AS f_{n}' for n in ledger.PACKAGE_FEATURES)} FROM feats) USING (event_id)"""),
+    "packs": (("bucketed", "roots", "scored"), f"""SELECT event_id, start_time, end_time, latitude, longitude, leaves, root, sha256, 'EV-'||upper(substr(sha256,1,16)) AS evidence_id FROM
+ (SELECT *, sha256({_PAYLOAD}) AS sha256 FROM bucketed JOIN roots USING (event_id) JOIN scored USING (event_id))"""),
     "ordered": (("packs",), "SELECT CAST(floor(latitude/2) AS BIGINT) AS ledger_key, event_id, evidence_id, sha256 AS evidence_sha256, end_time AS anchored_at, "
                             "row_number() OVER (PARTITION BY floor(latitude/2) ORDER BY end_time, evidence_id) AS sequence FROM packs"),
     "block_roots": (("ordered",), f"""SELECT ledger_key, (sequence-1)//256 AS block, sha256(string_agg(sha256(concat_ws('|', sequence, event_id, evidence_id, evidence_sha256, {_iso('anchored_at')})), '' ORDER BY sequence)) AS block_root
@@ -53,13 +81,19 @@ def le(final, *needs):
 
 def _stable_centroids(events):
     """Centroids rounded before they are digested, so that summation order cannot show."""
-    from emberline.functions.numeric import display_round
     return events.withColumn("latitude", display_round(F.col("latitude"), 5)).withColumn("longitude", display_round(F.col("longitude"), 5))
 
 
+def _made_packages(spark, folder):
+    """Packages over rounded centroids, features and shares, so that summation order cannot show."""
+    linked, risk = ws.linked(spark, folder), ws.risk(spark, folder)
+    vectors = rounded_features(features.extract_features(linked, ws.metrics(spark, folder)))
+    stable = risk.withColumn("probabilities", F.transform_values("probabilities", lambda _, v: display_round(v, 6))).withColumn("class_confidence", display_round(F.col("class_confidence"), 6))
+    return ledger.evidence_packages(_stable_centroids(ws.events(spark, folder)), stable, linked, vectors)
+
+
 def _packages(spark, folder):
-    return ws.stored(spark, folder, "packages", lambda: ledger.evidence_packages(
-        _stable_centroids(ws.events(spark, folder)), ws.risk(spark, folder), ws.linked(spark, folder)))
+    return ws.stored(spark, folder, "packages", lambda: _made_packages(spark, folder))
 
 
 LEDGER["bucketed"] = (RISK["bucketed"][0], f"SELECT * REPLACE ({half_up('latitude', 5)} AS latitude, {half_up('longitude', 5)} AS longitude) FROM ({RISK['bucketed'][1]})")
@@ -67,7 +101,7 @@ LEDGER["bucketed"] = (RISK["bucketed"][0], f"SELECT * REPLACE ({half_up('latitud
 
 def _to_anchor(spark, folder):
     key = F.floor(F.col("latitude") / 2).cast("long").alias("ledger_key")
-    return _packages(spark, folder).select(key, "event_id", "evidence_id", "sha256", F.col("end_time").alias("anchored_at"))
+    return _packages(spark, folder).select("*", key, F.col("end_time").alias("anchored_at"))
 
 
 def _receipts(spark, folder):
@@ -75,12 +109,18 @@ def _receipts(spark, folder):
     def build():
         packages = _to_anchor(spark, folder)
         early = packages.filter(F.col("anchored_at") < F.lit("2024-01-16 00:00:00").cast("timestamp"))
-        first = ledger.ledger_append(early)
-        return first.unionByName(ledger.ledger_append(packages, first))
+        first = materialize(ledger.append_packages(early), "first_receipts")
+        return first.unionByName(ledger.append_packages(packages, first, ledger.ledger_heads(first)))
 
     return ws.stored(spark, folder, "receipts", build)
 
 
+def _cut(receipts, heads):
+    lengths = heads.select("ledger_key", "receipt_count")
+    return receipts.join(F.broadcast(lengths), "ledger_key").filter(
+        (F.col("ledger_key") % 5 != 0) | (F.col("sequence") < F.col("receipt_count"))).drop("receipt_count")
+
+
 @query("observation_fingerprint", sql(f"SELECT obs_id, {_PRINT} AS source_observation_id FROM obs", "obs"))
 def observation_fingerprint(spark, folder):
     return fixtures.observations(spark, folder).select("obs_id", ledger.observation_fingerprint().alias("source_observation_id"))
@@ -88,7 +128,7 @@ def observation_fingerprint(spark, folder):
 
 @query("evidence_package", le("SELECT event_id, leaves AS observation_count, root AS members_root, sha256, evidence_id FROM packs", "packs"))
 def evidence_package(spark, folder):
-    return ledger.evidence_packages(_stable_centroids(ws.events(spark, folder)), ws.risk(spark, folder), ws.linked(spark, folder)).select(
+    return _made_packages(spark, folder).select(
         "event_id", F.col("leaves").alias("observation_count"), F.col("root").alias("members_root"), "sha256", "evidence_id")
 
 
@@ -99,6 +139,16 @@ def evidence_verify(spark, folder):
     return ledger.verify_evidence(altered, _receipts(spark, folder))
 
 
+@query("ledger_refusals", le("""SELECT CAST(floor(latitude/2) AS BIGINT) AS ledger_key, event_id, 'CONTENT_DIGEST_MISMATCH' AS reason FROM packs JOIN metrics USING (event_id) WHERE active_days>=3
+ UNION ALL SELECT CAST(floor(latitude/2) AS BIGINT), event_id, 'LEDGER_INVALID' FROM packs WHERE CAST(floor(latitude/2) AS BIGINT)%5=0""", "packs", "metrics"))
+def ledger_refusals(spark, folder):
+    """Altered packages, and packages for ledgers that lost their last receipt, are refused with the reason."""
+    altered = _to_anchor(spark, folder).withColumn("active_days", F.when(F.col("active_days") >= 3, F.col("active_days") + 1).otherwise(F.col("active_days")))
+    receipts = _receipts(spark, folder)
+    heads = ledger.ledger_heads(receipts)
+    return ledger.refusals(altered, _cut(receipts, heads), heads)
+
+
 @query("ledger_append", le("SELECT ledger_key, sequence, event_id, evidence_id, evidence_sha256, previous_sha256, anchored_at, chain_sha256 FROM chain", "chain"))
 def ledger_append(spark, folder):
     return _receipts(spark, folder)
@@ -109,10 +159,40 @@ def ledger_verify(spark, folder):
     """Every fifth ledger lost its last receipt after the checkpoint was taken."""
     receipts = _receipts(spark, folder)
     heads = ledger.ledger_heads(receipts)
-    lengths = heads.select("ledger_key", "receipt_count")
-    cut = receipts.join(F.broadcast(lengths), "ledger_key").filter(
-        (F.col("ledger_key") % 5 != 0) | (F.col("sequence") < F.col("receipt_count"))).drop("receipt_count")
-    return ledger.ledger_verify(cut, heads).select("ledger_key", "valid", "receipt_count")
+    return ledger.ledger_verify(_cut(receipts, heads), heads).select("ledger_key", "valid", "receipt_count")
+
+
+LEDGER["tree"] = (("chain",), """SELECT 0 AS level, ledger_key, count(*) OVER (PARTITION BY ledger_key) AS size, sequence-1 AS place, sha256('0'||chain_sha256) AS hash FROM chain
+ UNION ALL SELECT level+1, ledger_key, size, place//2, CASE WHEN count(*)=2 THEN sha256('1'||string_agg(hash,'' ORDER BY place)) ELSE max(hash) END FROM tree WHERE size>(1<<level) GROUP BY level, ledger_key, size, place//2""")
+
+
+def _tree(spark, folder):
+    return ws.stored(spark, folder, "ledger_tree", lambda: proofs.tree_nodes(_receipts(spark, folder)))
+
+
+@query("ledger_tree_heads", le("SELECT ledger_key, size, arg_max(hash, level) AS root FROM tree GROUP BY 1,2", "tree"))
+def ledger_tree_heads(spark, folder):
+    return proofs.tree_heads(_tree(spark, folder))
+
+
+@query("ledger_inclusion", le("""SELECT ledger_key, sequence, (SELECT count(*) FROM range(40) r(k) WHERE (CAST(1 AS BIGINT)<<k)<size AND (((sequence-1)>>k)%2=1 OR ((sequence-1)>>k)+1<ceil(size/(CAST(1 AS BIGINT)<<k)))) AS siblings, sequence%7<>0 AS valid
+ FROM (SELECT *, count(*) OVER (PARTITION BY ledger_key) AS size FROM chain)""", "chain"))
+def ledger_inclusion(spark, folder):
+    """Every receipt against its proof; every seventh one had its chain hash altered."""
+    nodes, receipts = _tree(spark, folder), _receipts(spark, folder)
+    altered = receipts.withColumn("chain_sha256", F.when(F.col("sequence") % 7 == 0, F.sha2("chain_sha256", 256)).otherwise(F.col("chain_sha256")))
+    return proofs.verify_inclusion(altered, proofs.inclusion_proofs(nodes, receipts), proofs.tree_heads(nodes))
+
+
+@query("ledger_extension", le("""SELECT ledger_key, old_size, size, ledger_key%3<>0 AS valid FROM (SELECT ledger_key, count(*) FILTER (anchored_at<TIMESTAMP '2024-01-16') AS old_size, count(*) AS size FROM chain GROUP BY 1) WHERE old_size>0""", "chain"))
+def ledger_extension(spark, folder):
+    """The checkpoint after the first append against the present one; every third ledger was rewritten in between."""
+    receipts = _receipts(spark, folder)
+    old = receipts.filter(F.col("anchored_at") < F.lit("2024-01-16 00:00:00").cast("timestamp"))
+    rewritten = (F.col("ledger_key") % 3 == 0) & (F.col("sequence") == 1)
+    now = proofs.tree_nodes(receipts.withColumn("chain_sha256", F.when(rewritten, F.sha2("chain_sha256", 256)).otherwise(F.col("chain_sha256"))))
+    old_heads = proofs.tree_heads(proofs.tree_nodes(old))
+    return proofs.verify_extension(proofs.extension_proofs(now, old_heads), old_heads, proofs.tree_heads(now))
 
 
 @query("anchor_registry", le("""SELECT sha256, arg_min(submitter, (epoch_us(anchored_at), submitter)) AS submitter, min(anchored_at) AS anchored_at FROM

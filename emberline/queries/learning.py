@@ -192,6 +192,13 @@ def feature_importance(spark, folder):
     return recurrence.feature_importance(_recurrence(spark, folder))
 
 
+@query("permutation_importance")
+def permutation_importance(spark, folder):
+    """Five shuffles of every feature of the training rows."""
+    model = _recurrence(spark, folder)
+    return recurrence.permutation_importance(model, model.split.filter("NOT is_holdout"))
+
+
 def _first_features(spark, folder):
     return ws.stored(spark, folder, "first_features", lambda: feat.first_day_features(ws.linked(spark, folder)))
 

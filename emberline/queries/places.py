@@ -269,15 +269,14 @@ def local_location_statistics(spark, folder):
 
 
 @query("daily_full_outer", sql("""SELECT CAST(coalesce(a.day,b.day) AS VARCHAR) AS day, coalesce(o,0) AS observations, coalesce(e,0) AS events FROM
- (SELECT CAST(timestamp AS DATE) AS day, count(*) AS o FROM obs WHERE confidence>=95 GROUP BY 1) a FULL JOIN (SELECT CAST(start_time AS DATE) AS day, count(*) AS e FROM summary WHERE observation_count>=8 GROUP BY 1) b USING (day)""", "obs", "summary"))
+ (SELECT CAST(timestamp AS DATE) AS day, count(*) AS o FROM obs GROUP BY 1) a FULL JOIN (SELECT CAST(start_time AS DATE) AS day, count(*) AS e FROM summary GROUP BY 1) b USING (day)""", "obs", "summary"))
 def daily_full_outer(spark, folder):
-    """Confident detections against large events, so that both sides miss days."""
-    return history.daily_full_outer(fixtures.observations(spark, folder).filter("confidence >= 95"), ws.events(spark, folder).filter("observation_count >= 8"))
+    return history.daily_full_outer(fixtures.observations(spark, folder), ws.events(spark, folder))
 
 
-@query("union_days", sql("SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day FROM obs WHERE confidence>=99 UNION SELECT CAST(CAST(start_time AS DATE) AS VARCHAR) FROM summary WHERE observation_count>=8", "obs", "summary"))
+@query("union_days", sql("SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day FROM obs UNION SELECT CAST(CAST(start_time AS DATE) AS VARCHAR) FROM summary", "obs", "summary"))
 def union_days(spark, folder):
-    return history.union_days(fixtures.observations(spark, folder).filter("confidence >= 99"), ws.events(spark, folder).filter("observation_count >= 8"))
+    return history.union_days(fixtures.observations(spark, folder), ws.events(spark, folder))
 
 
 @query("feed_status", sql(f"""SELECT n AS observation_count, (SELECT count(*) FROM summary) AS event_count, t AS latest_observation, {half_up('age', 2)} AS age_hours,

@@ -101,9 +101,12 @@ def classify_events(spark, folder):
             config.RULE_CLASSES, ("p_industrial", "p_persistent", "p_agricultural", "p_other"))))
 
 
-@query("classification_confidence", rk(f"""SELECT event_id, {half_up('''least((CASE WHEN total_detections>=10 THEN 0.3::DOUBLE WHEN total_detections>=5 THEN 0.2::DOUBLE
+_CONFIDENCE_SQL = half_up('''least((CASE WHEN total_detections>=10 THEN 0.3::DOUBLE WHEN total_detections>=5 THEN 0.2::DOUBLE
  WHEN total_detections>=2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)+(CASE WHEN active_days>=3 THEN 0.2::DOUBLE WHEN active_days>=1 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
- +(CASE WHEN average_intensity IS NOT NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)+(CASE WHEN trend<>'UNKNOWN' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END),0.9::DOUBLE)''', 6)} AS class_confidence,
+ +(CASE WHEN average_intensity IS NOT NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)+(CASE WHEN trend<>'UNKNOWN' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END),0.9::DOUBLE)''', 6)
+
+
+@query("classification_confidence", rk(f"""SELECT event_id, {_CONFIDENCE_SQL} AS class_confidence,
  concat_ws('; ', CASE WHEN total_detections>=10 THEN 'High detection count ('||total_detections||' observations)' END,
  CASE WHEN persistence_score>=5 THEN 'High persistence ('||{_one('persistence_score')}||' detections/day)' END,
  CASE WHEN average_intensity<>0 THEN 'Average intensity: '||{_whole('average_intensity')}||'K' END,
@@ -224,11 +227,9 @@ def events_by_status(spark, folder):
     return listing.events_by_status(ws.events(spark, folder), "persistent").select("event_id", "status", "observation_count")
 
 
-@query("priority_detail_join", rk("""SELECT event_id, risk_score, status, observation_count, trend FROM bucketed b WHERE risk_severity='high' OR (risk_severity='medium' AND risk_score>=45)""", "bucketed"))
+@query("priority_detail_join", rk("""SELECT event_id, risk_score, status, observation_count, trend FROM bucketed b WHERE risk_severity='high'""", "bucketed"))
 def priority_detail_join(spark, folder):
-    """High severity here starts at a score of 45, so that the small tables have some."""
-    markers = listing.hotspot_markers(ws.events(spark, folder), ws.risk(spark, folder)).withColumn(
-        "risk_severity", F.when(F.col("risk_score") >= 45, "high").otherwise(F.col("risk_severity")))
+    markers = listing.hotspot_markers(ws.events(spark, folder), ws.risk(spark, folder))
     details = ws.events(spark, folder).select("event_id", "status", "observation_count", "trend")
     return listing.priority_details(markers, details)
 

@@ -53,3 +53,38 @@ def test_medians_leave_the_own_fold_out(spark):
     rows = [(0, 1.0), (0, 2.0), (1, 10.0), (1, None), (2, 100.0), (2, float("nan"))]
     got = {(r["fold"], r["feature"]): r["median"] for r in recurrence.fold_medians(spark.createDataFrame(rows, "fold int, x double"), ("x",)).collect()}
     assert got == {(0, "x"): 55.0, (1, "x"): 2.0, (2, "x"): 2.0}
+
+
+def test_permutation_importance_is_that_of_plain_shuffles(spark):
+    """Against shuffles done by hand in the order of the same seeded hash."""
+    pick = random.Random(9)
+    names = ("a", "b", "c")
+    rows = [(k, recurrence.POSITIVE if pick.random() < 0.4 else recurrence.NEGATIVE, pick.random(), None if k % 11 == 0 else pick.random(), pick.random()) for k in range(80)]
+    table = spark.createDataFrame(rows, "event_id long, label string, a double, b double, c double")
+
+    class Rule:
+        medians = {"a": 0.5, "b": 0.25, "c": 0.5}
+
+        def score(self, df):
+            return df.withColumn("prediction_label", F.when(F.col("a") + 2 * F.col("b") > 1.2, recurrence.POSITIVE).otherwise(recurrence.NEGATIVE))
+
+    model = Rule()
+    model.names = names
+    got = {r["feature"]: r["importance"] for r in recurrence.permutation_importance(model, table, repeats=5, seed=3).collect()}
+    plain = [(k, y, dict(zip(names, (a, 0.25 if b is None else b, c)))) for k, y, a, b, c in rows]
+
+    def hits(values):
+        return sum((recurrence.POSITIVE if v["a"] + 2 * v["b"] > 1.2 else recurrence.NEGATIVE) == y for y, v in values) / len(rows)
+
+    order = {(r["f"], r["r"]): r["ids"] for r in table.select("event_id", F.explode(F.array(*map(F.lit, names))).alias("f")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(5)))).groupBy("f", "r").agg(
+        F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(3), "f", "r", "event_id"), "event_id"))).alias("ids")).collect()}
+    base = hits([(y, v) for _, y, v in plain])
+    raw = {}
+    for name in names:
+        losses = []
+        for repeat in range(1, 6):
+            dealt = [plain[r["event_id"]][2][name] for r in order[name, repeat]]
+            losses.append(base - hits([(y, {**v, name: dealt[k]}) for k, y, v in plain]))
+        raw[name] = max(sum(losses) / 5, 0.0)
+    total = sum(raw.values())
+    assert got == pytest.approx({n: v / total for n, v in raw.items()}, abs=1e-12) and got["c"] == 0.0
