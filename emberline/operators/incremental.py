@@ -11,6 +11,8 @@ no other partition is read or written:
   the event; boxes of several batches are merged when read.
 * ``aliases``: events that a later batch joined to another one, with the survivor. Rows and
   cubes keep the old id; it is resolved when they are read.
+* ``activity``, ``daily``: days and counts of each batch by event, and its detections by day;
+  merged when read, so neither needs a member again.
 * ``events``, ``risk``: newest version of each touched event, written by the caller.
 
 Detections never go away, so components only grow: cubes of the batch and the events of
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import config
+from emberline.operators.activity import activity_of, daily_totals, day_words, merged_words
 from emberline.operators.cluster import Linker, _floor_div, _judge, _join_cubes, _prefixed, hot_cubes
 from emberline.operators.components import connected_components
 from emberline.session import broadcast_if_small, discard, materialize
@@ -152,6 +155,16 @@ class EventStore:
         aliases = self._aliases()
         return last if aliases is None else last.join(broadcast_if_small(aliases.select("event_id")), "event_id", "left_anti")
 
+    def activity(self) -> DataFrame | None:
+        """Detections, active days and longest run of every stored event, from the batches' bit maps."""
+        log = self._read("activity", self.runs())
+        return None if log is None else activity_of(merged_words(self._resolved(log)))
+
+    def daily_counts(self) -> DataFrame | None:
+        """Detections of each day over all batches."""
+        log = self._read("daily", self.runs())
+        return None if log is None else log.groupBy("day").agg(F.sum("n").alias("n"))
+
     # ---- adding -----------------------------------------------------------------------
 
     def add(self, batch: DataFrame) -> Added:
@@ -199,6 +212,8 @@ class EventStore:
         inserted, updated = fresh.count(), 0
         if inserted:
             self._write(rows, "rows", run, by_bucket=True)
+            self._write(day_words(rows), "activity", run)
+            self._write(daily_totals(rows), "daily", run)
             self._write(_boxes(linker._points(fresh)).join(final.select(*CUBE, "event_id"), list(CUBE)), "cubes", run, by_bucket=True)
         if known is not None:
             updated = known.count()

@@ -52,6 +52,34 @@ def paginate_with_total(events: DataFrame, page: int = 1, page_size: int = confi
     return paginate(events, page, page_size).join(F.broadcast(total))
 
 
+def write_ranked(scored: DataFrame, path: str) -> None:
+    """Stored in rank order by ranges, so that the files and row groups of a page are next to each other."""
+    order = [F.col("risk_score").desc(), F.col("end_time").desc(), F.col("event_id")]
+    scored.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def seek_page(scored: DataFrame, page_size: int = config.PAGE_SIZE, after: tuple | None = None) -> DataFrame:
+    """The next ranked events behind a cursor (risk_score, end_time, event_id); None is the beginning.
+
+    What lies before the cursor is not sorted or skipped: the bound on the score reaches the
+    files, and only the first ``page_size`` rows behind it are kept by each task. Scores and
+    times must be known, as they are in the stored tables.
+    """
+    if not 1 <= page_size <= config.MAX_PAGE_SIZE:
+        raise ValueError("page_size is 1 to 100")
+    if after is not None:
+        score, end, event = F.lit(float(after[0])), F.lit(after[1]).cast("timestamp"), F.lit(int(after[2]))
+        behind = (F.col("risk_score") < score) | ((F.col("risk_score") == score) & ((F.col("end_time") < end) | ((F.col("end_time") == end) & (F.col("event_id") > event))))
+        scored = scored.filter((F.col("risk_score") <= score) & behind)
+    return rank_events(scored).limit(page_size)
+
+
+def cursor_of(page: DataFrame) -> tuple | None:
+    """The cursor behind a page: its last row; None behind an empty page."""
+    row = page.select("risk_score", "end_time", "event_id").orderBy("risk_score", "end_time", F.col("event_id").desc()).first()
+    return None if row is None else tuple(row)
+
+
 def with_stored_risk(events: DataFrame, stored: DataFrame, computed: DataFrame) -> DataFrame:
     """Stored assessment where there is one, else the computed one."""
     old = stored.select("event_id", F.col("risk_score").alias("stored_score"), F.col("severity").alias("stored_severity"))

@@ -304,6 +304,23 @@ def incremental_links(spark, folder):
     return rows.join(sizes, "event_id").select("timestamp", "latitude", "longitude", "source", "start_time", "observation_count")
 
 
+@query("incremental_activity", sql("""SELECT s.start_time, n AS detections, active_days, run AS consecutive_active_days, CAST(low AS VARCHAR) AS first_day, CAST(high AS VARCHAR) AS last_day, count(*) AS events FROM
+ (SELECT event_id, CAST(sum(k) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS active_days, max(c) AS run, min(low) AS low, max(high) AS high FROM (SELECT event_id, island, count(*) AS c, sum(k) AS k, min(day) AS low, max(day) AS high FROM
+  (SELECT event_id, day, k, day-CAST(row_number() OVER (PARTITION BY event_id ORDER BY day) AS INT) AS island FROM (SELECT event_id, CAST(timestamp AS DATE) AS day, count(*) AS k FROM linked GROUP BY 1,2)) GROUP BY 1,2) GROUP BY 1)
+ JOIN summary s USING (event_id) GROUP BY ALL""", "linked", "summary", **ACCEPTED))
+def incremental_activity(spark, folder):
+    """From the bit maps of three batches; the rows are only asked for the start times that name the events."""
+    store = _event_store(spark, folder)
+    starts = stored_events(store).select("event_id", "start_time")
+    return store.activity().join(starts, "event_id").groupBy(
+        "start_time", "detections", "active_days", "consecutive_active_days", "first_day", "last_day").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("incremental_daily_counts", sql("SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS n FROM linked GROUP BY 1", "linked", **ACCEPTED))
+def incremental_daily_counts(spark, folder):
+    return _event_store(spark, folder).daily_counts()
+
+
 def _replaced(spark, folder, name, table, fresh):
     """A keyed overwrite as a new version of a written table, read back."""
     first = ws.folder_for(spark, folder, f"{name}-first", lambda path: overwrite_by_key(spark, table, None, path))

@@ -222,6 +222,25 @@ def paginate(spark, folder):
     return listing.paginate_with_total(ws.events(spark, folder).select("event_id", "status"), page=2)
 
 
+@query("keyset_pages", rk("""SELECT CAST((r-1)//40+1 AS INT) AS page, event_id, risk_score, end_time FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC, end_time DESC, event_id) AS r FROM bucketed) WHERE r<=160""", "bucketed"))
+def keyset_pages(spark, folder):
+    """Four pages of 40 chained by cursors over the ranked table."""
+    def write(path):
+        scored = ws.events(spark, folder).join(ws.risk(spark, folder).select("event_id", "risk_score"), "event_id")
+        listing.write_ranked(scored.select("event_id", "risk_score", "end_time"), path)
+
+    table = spark.read.parquet(ws.folder_for(spark, folder, "ranked", write))
+    pages, after = [], None
+    for number in range(1, 5):
+        page = listing.seek_page(table, 40, after)
+        after = listing.cursor_of(page)
+        pages.append(page.withColumn("page", F.lit(number)))
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out.select("page", "event_id", "risk_score", "end_time")
+
+
 @query("events_by_status", sql("SELECT event_id, status, observation_count FROM ev WHERE status='PERSISTENT'", "ev"))
 def events_by_status(spark, folder):
     return listing.events_by_status(ws.events(spark, folder), "persistent").select("event_id", "status", "observation_count")
