@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from emberline.operators import cluster
+from emberline.operators import cluster, components
 from emberline.operators.components import connected_components
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -113,7 +113,10 @@ def test_random_grids_match_brute_force(spark, cells, light):
     assert found(spark, points, light_product=light) == brute(points)
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 3])
+def test_components_of_long_chains_and_stars(spark, monkeypatch, chunk):
+    """Both what one task may hold and what needs star rounds."""
+    monkeypatch.setattr(components, "CHUNK_EDGES", chunk)
     chain = [(i, i + 1) for i in range(400)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
     edges = spark.createDataFrame(chain + star, "a LONG, b LONG").repartition(8)
