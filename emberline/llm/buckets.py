@@ -77,11 +77,12 @@ def star_pairs(rows: DataFrame, rank: Column, carried: Sequence[str] = (), admis
 
 
 def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), admissible: Callable[[str, str], Column] = _always,
-           rank: Column | None = None, known: DataFrame | None = None, per_posting: int | None = None, attributes: DataFrame | None = None) -> DataFrame | None:
+           rank: Column | None = None, known: DataFrame | None = None, labels: DataFrame | None = None, per_posting: int | None = None,
+           attributes: DataFrame | None = None) -> DataFrame | None:
     """Labels (node, component) of all nodes with a link; None without any link.
 
-    ``verify`` returns those of its distinct pairs (a, b) that are links; ``known`` holds
-    links found before. ``admissible`` may rule out pairs that cannot link, by the
+    ``verify`` returns those of its distinct pairs (a, b) that are links; ``known`` and
+    ``labels`` hold links found before and their components. ``admissible`` may rule out pairs that cannot link, by the
     ``carried`` columns of the postings or of ``attributes`` (one row a node). ``rank``
     orders the first pivots of large buckets, if not by the sum of their buckets' sizes.
     """
@@ -92,7 +93,7 @@ def linked(postings: DataFrame, verify: Verify, carried: Sequence[str] = (), adm
     if attributes is not None:
         live = live.join(attributes, "node")
     live = materialize(live.select("h", "m", "node", *carried), "bucket-postings")
-    links, labels = known, None if known is None else labels_of(known)
+    links = known
     large = live.filter(F.col("m") > SMALL)
     pairs = all_pairs(with_components(live.filter(F.col("m") <= SMALL), labels), admissible)
     ranked = large

@@ -327,7 +327,7 @@ def linked_classes(lists: DataFrame) -> DataFrame | None:
     open_buckets = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
     postings = _postings(lists).join(broadcast_if_small(materialize(open_buckets, "jaccard-open")), "h", "left_semi")
     carried = ["n", "pos", *(f"s{k}" for k in range(SUFFIX_CELLS)), "mass"]
-    return buckets.linked(postings, verify, carried, _may_reach, -F.col("mass"), known, PAIRS_PER_POSTING)
+    return buckets.linked(postings, verify, carried, _may_reach, -F.col("mass"), known, labels, PAIRS_PER_POSTING)
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
