@@ -121,9 +121,17 @@ def is_outlier(anomaly_score: Column, kind: Column) -> Column:
 def search_events(cards: DataFrame, text: str = "", status: str = "ALL", severity: str = "ALL",
                   classification: str = "ALL", outliers: str = "ALL") -> DataFrame:
     """Case-insensitive text search with filters, over events that carry their labels."""
-    words = F.lower(F.concat_ws(" ", F.col("event_id").cast("string"), F.coalesce("location_name", F.lit("")),
-                                F.format_string("%.4f %.4f", "latitude", "longitude"), class_label(F.col("classification"))))
-    found = cards.filter(words.contains(text.strip().lower()))
+    found = cards.filter(F.lower(card_text()).contains(text.strip().lower()))
+    return filter_cards(found, status, severity, classification, outliers)
+
+
+def card_text() -> Column:
+    """What a search looks at."""
+    return F.concat_ws(" ", F.col("event_id").cast("string"), F.coalesce("location_name", F.lit("")),
+                       F.format_string("%.4f %.4f", "latitude", "longitude"), class_label(F.col("classification")))
+
+
+def filter_cards(found: DataFrame, status: str = "ALL", severity: str = "ALL", classification: str = "ALL", outliers: str = "ALL") -> DataFrame:
     if status != "ALL":
         found = found.filter(F.col("status") == status)
     if severity != "ALL":

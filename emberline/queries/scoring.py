@@ -8,7 +8,7 @@ from emberline import config, fixtures
 from emberline.functions.labels import class_label, compact_date, observation_time, status_label, timeline_time
 from emberline.functions.numeric import display_round
 from emberline.functions.places import HUBS, nearest_hub, place_label
-from emberline.operators import listing, scoring
+from emberline.operators import listing, scoring, textindex
 from emberline.operators.cluster import Linker, summarize_events
 from emberline.operators.events import event_table, persistence_metrics, with_as_of
 from emberline.queries import workspace as ws
@@ -293,6 +293,23 @@ def text_search_filter(spark, folder):
     return listing.search_page(found).select("event_id", "location_name", "status", "classification", "risk_score")
 
 
+_LABEL_SQL = """CASE classification WHEN 'OTHER' THEN 'Other / uncertain' WHEN 'AGRICULTURAL_BURNING' THEN 'Agricultural burning candidate'
+ WHEN 'INDUSTRIAL_THERMAL_SOURCE' THEN 'Industrial thermal source candidate' ELSE 'Persistent thermal source pattern' END"""
+_PATTERNS = ("gujarat", " km from ", "8.4", "ag", "no such place")
+
+
+@query("indexed_text_search", rk(" UNION ALL ".join(f"""SELECT '{p}' AS pattern, event_id, location_name FROM named n JOIN (SELECT event_id, classification FROM bucketed) b USING (event_id)
+ WHERE contains(lower(event_id||' '||location_name||' '||printf('%.4f', {half_up('latitude', 4)})||' '||printf('%.4f', {half_up('longitude', 4)})||' '||{_LABEL_SQL}), '{p.strip()}')""" for p in _PATTERNS), "named", "bucketed"))
+def indexed_text_search(spark, folder):
+    """Several patterns over the posting table of all cards; one of them is too short for it."""
+    path = ws.folder_for(spark, folder, "text_index", lambda path: textindex.build_index(_cards(spark, folder), listing.card_text(), path))
+    found = [textindex.search(spark, path, p).select(F.lit(p).alias("pattern"), "event_id", "location_name") for p in _PATTERNS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 def _cards(spark, folder):
     markers = listing.hotspot_markers(ws.events(spark, folder), ws.risk(spark, folder)).select("event_id", "risk_score", "risk_severity")
     kinds = ws.risk(spark, folder).select("event_id", "classification", F.lit(None).cast("double").alias("anomaly_score"))
