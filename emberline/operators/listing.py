@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,29 @@ def cursor_of(page: DataFrame) -> tuple | None:
     return None if row is None else tuple(row)
 
 
+def stored_or_computed(events: DataFrame, stored: DataFrame, computed: DataFrame, names: Sequence[str], flag: str = "is_computed") -> DataFrame:
+    """Events with ``names`` of their stored row as a whole, else of the computed one; ``flag`` tells which.
+
+    A stored row counts although some of its values are null: the two are never mixed.
+    """
+    held = stored.select("event_id", F.struct(*names).alias("_stored"))
+    made = computed.select("event_id", F.struct(*names).alias("_computed"))
+    joined = events.join(held, "event_id", "left").join(made, "event_id", "left")
+    chosen = F.coalesce("_stored", "_computed")
+    return joined.select(*events.columns, *(chosen[n].alias(n) for n in names), F.col("_stored").isNull().alias(flag))
+
+
 def with_stored_risk(events: DataFrame, stored: DataFrame, computed: DataFrame) -> DataFrame:
     """Stored assessment where there is one, else the computed one."""
-    old = stored.select("event_id", F.col("risk_score").alias("stored_score"), F.col("severity").alias("stored_severity"))
-    new = computed.select("event_id", F.col("risk_score").alias("new_score"), F.col("severity").alias("new_severity"))
-    joined = events.join(old, "event_id", "left").join(new, "event_id", "left")
-    return joined.select(*events.columns, F.coalesce("stored_score", "new_score").alias("risk_score"),
-                         F.coalesce("stored_severity", "new_severity").alias("severity"),
-                         F.col("stored_score").isNull().alias("is_computed"))
+    return stored_or_computed(events, stored, computed, ("risk_score", "severity"))
+
+
+def stored_detail(events: DataFrame, stored: dict[str, DataFrame], computed: dict[str, DataFrame], names: dict[str, Sequence[str]]) -> DataFrame:
+    """Events with their profile, prediction and risk, each as it is stored or else computed, and a flag for each."""
+    out = events
+    for part, columns in names.items():
+        out = stored_or_computed(out, stored[part], computed[part], columns, f"{part}_is_computed")
+    return out
 
 
 def hotspot_markers(events: DataFrame, stored_risk: DataFrame, severity: str | None = None) -> DataFrame:

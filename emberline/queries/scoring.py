@@ -195,6 +195,18 @@ def event_risk_left_join(spark, folder):
     return listing.with_stored_risk(ws.events(spark, folder).select("event_id", "status"), risk.filter("total_detections >= 2"), risk)
 
 
+@query("event_detail_fallback", rk(f"""SELECT event_id, status, CASE WHEN observation_count>=3 THEN total_detections+100 ELSE total_detections END AS total_detections, average_intensity, observation_count<3 AS profile_is_computed,
+ CASE WHEN active_days>=2 THEN 'STORED' ELSE classification END AS classification, {_CONFIDENCE_SQL} AS class_confidence, active_days<2 AS prediction_is_computed, risk_score, severity, observation_count<2 AS risk_is_computed
+ FROM (SELECT b.*, m.total_detections FROM bucketed b JOIN metrics m USING (event_id))""", "bucketed", "metrics"))
+def event_detail_fallback(spark, folder):
+    """Some events have a stored profile, prediction or risk; the stored ones are marked, so that it shows which was taken."""
+    risk = ws.risk(spark, folder).withColumn("class_confidence", display_round(F.col("class_confidence"), 6))
+    stored = {"profile": risk.filter("total_detections >= 3").withColumn("total_detections", F.col("total_detections") + 100),
+              "prediction": risk.filter("active_days >= 2").withColumn("classification", F.lit("STORED")), "risk": risk.filter("total_detections >= 2")}
+    names = {"profile": ("total_detections", "average_intensity"), "prediction": ("classification", "class_confidence"), "risk": ("risk_score", "severity")}
+    return listing.stored_detail(ws.events(spark, folder).select("event_id", "status"), stored, {part: risk for part in names}, names)
+
+
 _REGION = "latitude BETWEEN 6.5 AND 35.5 AND longitude BETWEEN 68.0 AND 97.5"
 
 

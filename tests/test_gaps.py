@@ -24,3 +24,11 @@ def test_high_markers_keep_their_place_without_detail(spark):
     details = spark.createDataFrame([(1, "ACTIVE"), (5, "RESOLVED"), (9, "ACTIVE")], "event_id long, status string")
     got = [(r["event_id"], r["status"]) for r in listing.priority_details(markers, details).collect()]
     assert got == [(2, None), (1, "ACTIVE"), (5, "RESOLVED"), (4, None)]
+
+
+def test_a_stored_row_is_taken_whole(spark):
+    events = spark.createDataFrame([(1,), (2,), (3,)], "event_id long")
+    stored = spark.createDataFrame([(1, None, 5.0), (9, "x", 1.0)], "event_id long, kind string, score double")
+    computed = spark.createDataFrame([(1, "made", 7.0), (2, "made", None)], "event_id long, kind string, score double")
+    got = sorted(tuple(r) for r in listing.stored_or_computed(events, stored, computed, ("kind", "score")).collect())
+    assert got == [(1, None, 5.0, False), (2, "made", None, True), (3, None, None, True)]
