@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline import fixtures
-from emberline.functions.geo import in_box
+from emberline.functions.geo import Area, in_box
 from emberline.functions.numeric import display_round
 from emberline.functions.parsing import metadata_number, metadata_text
 from emberline.operators import geojoin, history, listing, quality
@@ -13,6 +13,7 @@ from emberline.operators.nearest import nearest_rows
 from emberline.queries import workspace as ws
 from emberline.queries.oracle import half_up, sql
 from emberline.queries.registry import query
+from emberline.sources import layout
 
 PLACES = {
     "box": (("points", "linked"), """SELECT p.point_id, l.* FROM points p JOIN linked l ON l.latitude BETWEEN p.latitude-50.0::DOUBLE/111.0::DOUBLE AND p.latitude+50.0::DOUBLE/111.0::DOUBLE
@@ -69,6 +70,13 @@ def facilities_nearby(spark, folder):
     return near.withColumn("distance_km", display_round(F.col("distance_km"), 6))
 
 
+@query("curve_layout_box", sql("SELECT obs_id, latitude, longitude, timestamp FROM obs WHERE latitude BETWEEN 8.0 AND 15.5 AND longitude BETWEEN 69.0 AND 70.0 AND timestamp>=TIMESTAMP '2024-01-10' AND timestamp<TIMESTAMP '2024-01-25'", "obs"))
+def curve_layout_box(spark, folder):
+    """A box and a time range, from the files of the curve layout that may hold them."""
+    path = ws.folder_for(spark, folder, "curve_layout", lambda path: layout.write_by_cell(fixtures.observations(spark, folder), path, 16))
+    return layout.read_box(spark, path, Area(69.0, 8.0, 70.0, 15.5), "2024-01-10 00:00:00", "2024-01-25 00:00:00", ["obs_id", "latitude", "longitude", "timestamp"])
+
+
 @query("nearest_facilities", pl(f"""SELECT event_id, place, facility_id, {half_up('km', 6)} AS distance_km FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY km, facility_id) AS INT) AS place FROM
  (SELECT s.event_id, f.facility_id, sqrt(pow((f.latitude-s.latitude)*111.0::DOUBLE,2)+pow((f.longitude-s.longitude)*111.0::DOUBLE*cos(radians(s.latitude)),2)) AS km FROM summary s, facilities f)) WHERE place<=3""", "summary", "facilities"))
 def nearest_facilities(spark, folder):
