@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_bytes, slices
+from emberline.llm.common import as_bytes, materialize, slices
 from emberline.llm.tokens import VOCABULARY, chunk_ids
 
 RANGE = 256
@@ -37,8 +37,9 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
                 found[sum(map(len, map(ids.__getitem__, value.split()))) // 4] += 1
         yield pa.record_batch({"n_tokens": pa.array(list(found), pa.int64()), "n_docs": pa.array(list(found.values()), pa.int64())})
 
-    return (docs.select(text).mapInArrow(counted, "n_tokens long, n_docs long")
-            .groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
+    # written, as every total reads it and texts are to be encoded once
+    return materialize(docs.select(text).mapInArrow(counted, "n_tokens long, n_docs long")
+                       .groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "length-histogram")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
