@@ -109,14 +109,19 @@ def stored_detail(events: DataFrame, stored: dict[str, DataFrame], computed: dic
 
 def hotspot_markers(events: DataFrame, stored_risk: DataFrame, severity: str | None = None) -> DataFrame:
     """Markers inside the region with their severity bucket; no limit yet."""
+    markers = severity_markers(region_filter(events), stored_risk)
+    return markers if severity is None else markers.filter(F.col("risk_severity") == F.lit(severity.lower()))
+
+
+def severity_markers(events: DataFrame, stored_risk: DataFrame) -> DataFrame:
+    """Markers of all given events with their severity bucket."""
     risk = stored_risk.select("event_id", F.col("risk_score").alias("stored_score"), F.col("severity").alias("stored_severity"))
-    joined = region_filter(events).join(risk, "event_id", "left")
-    markers = joined.select(
+    joined = events.join(risk, "event_id", "left")
+    return joined.select(
         "event_id", "latitude", "longitude", "status", "observation_count", "persistence_score", "trend",
         F.coalesce("stored_score", "persistence_score").alias("risk_score"),
         severity_bucket(F.col("stored_severity"), F.col("status"), F.col("persistence_score")).alias("risk_severity"),
         F.col("end_time").alias("last_detection"))
-    return markers if severity is None else markers.filter(F.col("risk_severity") == F.lit(severity.lower()))
 
 
 def map_hotspots(events: DataFrame, stored_risk: DataFrame, severity: str | None = None,
