@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline import fixtures
-from emberline.functions.geo import Area, in_box
+from emberline.functions.geo import Area
 from emberline.functions.numeric import display_round
 from emberline.functions.parsing import metadata_number, metadata_text
 from emberline.operators import geojoin, history, listing, quality
@@ -116,7 +116,7 @@ def outside_region(spark, folder):
  (SELECT count(*) FROM linked JOIN summary s USING (event_id) WHERE NOT s.latitude BETWEEN 10 AND 25) AS unlinked""", "summary", "linked"))
 def purge_outside_region(spark, folder):
     e, rows = ws.events(spark, folder), ws.linked(spark, folder)
-    kept, after = quality.purge_outside(e, rows, in_box(F.col("latitude"), F.col("longitude"), 10.0, 25.0, 68.0, 97.5))
+    kept, after = quality.purge_outside(e, rows, F.col("latitude").between(10.0, 25.0))
     total = e.agg(F.count(F.lit(1)).alias("total"))
     counts = kept.agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(total)).join(
         F.broadcast(after.agg(F.count_if(F.col("event_id").isNull()).alias("unlinked"))))
