@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +41,14 @@ def require_unique_ids(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _inside(accepted: DataFrame, region: Callable[[Column, Column], Column] | None) -> DataFrame:
+    return accepted if region is None else accepted.filter(region(F.col("latitude"), F.col("longitude")))
+
+
 def run_ingestion(raw: DataFrame, stored: DataFrame | None = None, stored_events: DataFrame | None = None,
-                  window_hours: float | None = 48, order: str = "line_no", stored_risk: DataFrame | None = None) -> IngestionRun:
-    """Validate, keep the region, upsert, cluster the recent window, match, relink, recount, assess.
+                  window_hours: float | None = 48, order: str = "line_no", stored_risk: DataFrame | None = None,
+                  region: Callable[[Column, Column], Column] | None = in_region) -> IngestionRun:
+    """Validate, keep the region (all accepted rows without one), upsert, cluster the recent window, match, relink, recount, assess.
 
     ``window_hours`` None clusters everything stored. A cluster that matches a stored event
     takes its id; its rows are linked to that id in the stored table, counts come from the
@@ -51,7 +57,7 @@ def run_ingestion(raw: DataFrame, stored: DataFrame | None = None, stored_events
     """
     validated = materialize(validate.validate_rows(raw, order), "validated")
     accepted = validate.accepted_observations(validated).drop("metadata")
-    inside = accepted.filter(in_region(F.col("latitude"), F.col("longitude"))).withColumn("obs_id", stable_observation_id())
+    inside = _inside(accepted, region).withColumn("obs_id", stable_observation_id())
     if stored is None:
         # a key comes once: later rows with it were rejected as duplicates
         merged = merge.latest_per_key(inside, merge.OBSERVATION_KEY, order).withColumn("outcome", F.lit("inserted"))
@@ -105,8 +111,9 @@ def run_ingestion(raw: DataFrame, stored: DataFrame | None = None, stored_events
     return IngestionRun(validated, merged, linked, events, risk, summary)
 
 
-def ingest_batch(store: EventStore, raw: DataFrame, order: str = "line_no") -> Added:
-    """Validate, keep the region, link with what is stored, and renew the events that changed.
+def ingest_batch(store: EventStore, raw: DataFrame, order: str = "line_no",
+                 region: Callable[[Column, Column], Column] | None = in_region) -> Added:
+    """Validate, keep the region (all accepted rows without one), link with what is stored, and renew the events that changed.
 
     The batch meets only the stored partitions within its reach. Every event that won or
     lost a row or a value is computed anew from all its rows, so none keeps an old end,
@@ -114,7 +121,7 @@ def ingest_batch(store: EventStore, raw: DataFrame, order: str = "line_no") -> A
     """
     validated = materialize(validate.validate_rows(raw, order), "validated")
     accepted = validate.accepted_observations(validated).drop("metadata")
-    inside = accepted.filter(in_region(F.col("latitude"), F.col("longitude"))).withColumn("obs_id", stable_observation_id())
+    inside = _inside(accepted, region).withColumn("obs_id", stable_observation_id())
     # a key comes once: later rows with it were rejected as duplicates
     batch = require_unique_ids(materialize(inside.drop(order), "ingested_batch"))
     run = store.link(batch)
