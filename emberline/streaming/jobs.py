@@ -7,25 +7,36 @@ what one micro-batch holds).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.functions.geo import floor_long
 from emberline.operators.merge import OBSERVATION_KEY, upsert_observations
 from emberline.operators.validate import accepted_observations, duplicate_key, quarantined_rows, validate_rows
 from emberline.session import scratch_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "5 days"
 SESSION_GAP = "72 hours"
 CELL_DEGREES = 0.1
+BLOCK_CELLS = 10
 
 def with_cell(rows: DataFrame, side: float = CELL_DEGREES) -> DataFrame:
     """Cells centred on multiples of the side."""
     return (rows.withColumn("cell_lat", floor_long(F.col("latitude") / F.lit(side) + F.lit(0.5)))
             .withColumn("cell_lon", floor_long(F.col("longitude") / F.lit(side) + F.lit(0.5))))
 
+def with_block(cells: DataFrame) -> DataFrame:
+    """Blocks of BLOCK_CELLS by BLOCK_CELLS cells, which share a row of state."""
+    return cells.withColumns({f"block_{axis}": floor_long(F.col(f"cell_{axis}") / F.lit(BLOCK_CELLS)) for axis in ("lat", "lon")})
+
 def stream_detections_csv(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("header", True)
     if files_per_trigger:
@@ -142,16 +153,55 @@ def stream_daily_counts(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
             .select(F.to_date("w.start").alias("day"), "source", "n", "average_intensity"))
 
 
+def sliding_counts(hours: int = 24):
+    """The state function of one block of cells: the hourly counts that windows still to come need.
+
+    A window ends on a whole hour and holds the ``hours`` before. Once the watermark has reached
+    its end it is emitted, with the cell's other finished windows, as one row of two lists.
+    """
+    names = ["cell_lat", "cell_lon", "hour"]
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() // 3_600_000
+        # windows that ended before a block's first row came are closed to it
+        *known, done = state.get if state.exists else ([], [], [], [], now)
+        counts = pd.DataFrame(dict(zip([*names, "n"], known, strict=True)), dtype="int64")
+        if not state.hasTimedOut:
+            fresh = pd.concat(list(parts))
+            fresh = fresh[["cell_lat", "cell_lon"]].assign(hour=fresh["timestamp"].to_numpy().astype("datetime64[h]").astype("int64"), n=1)
+            counts = pd.concat([counts, fresh]).groupby(names, as_index=False)["n"].sum()
+        left = counts[counts["hour"] + hours > now]
+        if len(left):
+            state.update((*(left[c].tolist() for c in (*names, "n")), now))
+            # a timeout comes when the watermark is past this stamp
+            state.setTimeoutTimestamp((max(int(left["hour"].min()), now) + 1) * 3_600_000 - 1)
+        elif state.exists:
+            state.remove()
+        spread = counts.loc[counts.index.repeat(hours)].assign(end=(counts["hour"].to_numpy()[:, None] + np.arange(1, hours + 1)).ravel())
+        spread = spread[(spread["end"] > done) & (spread["end"] <= now)]
+        if len(spread):
+            totals = spread.groupby(["cell_lat", "cell_lon", "end"], as_index=False)["n"].sum()
+            yield totals.groupby(["cell_lat", "cell_lon"], as_index=False).agg(ends=("end", list), counts=("n", list))
+
+    return step
+
+
 def stream_recent_rate(rows: DataFrame, baseline: DataFrame, lateness: str = LATENESS, side: float = CELL_DEGREES) -> DataFrame:
     """Detections per cell in sliding 24-hour windows against a static daily rate.
 
-    ``baseline``: cell_lat, cell_lon, expected_per_day.
+    ``baseline``: cell_lat, cell_lon, expected_per_day. The state is one row per block of cells with
+    their hourly counts instead of one per cell and window. A detection is late when the last window
+    it belongs to has ended, so the watermark is that of the detection's time.
     """
-    counts = (with_cell(rows, side).withWatermark("timestamp", lateness)
-              .groupBy(F.window("timestamp", "24 hours", "1 hour").alias("w"), "cell_lat", "cell_lon").agg(F.count(F.lit(1)).alias("n")))
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    cells = with_cell(rows, side).select("cell_lat", "cell_lon", F.col("timestamp"), (F.col("timestamp") + F.expr("INTERVAL 24 HOURS")).alias("until"))
+    counts = with_block(cells.withWatermark("until", f"{lateness} 24 hours")).groupBy("block_lat", "block_lon").applyInPandasWithState(
+        sliding_counts(24), "cell_lat LONG, cell_lon LONG, ends ARRAY<LONG>, counts ARRAY<LONG>",
+        "cell_lat ARRAY<LONG>, cell_lon ARRAY<LONG>, hours ARRAY<LONG>, counts ARRAY<LONG>, done LONG", "append", GroupStateTimeout.EventTimeTimeout)
+    windows = counts.join(baseline, ["cell_lat", "cell_lon"]).select(
+        "cell_lat", "cell_lon", "expected_per_day", F.inline(F.arrays_zip("ends", "counts")).alias("end", "n"))
     elevated = F.col("n") > F.col("expected_per_day") * F.lit(1.5)
-    return counts.join(baseline, ["cell_lat", "cell_lon"]).select(
-        F.col("w.end").alias("window_end"), "cell_lat", "cell_lon", "n", "expected_per_day", elevated.alias("elevated"))
+    return windows.select(F.timestamp_seconds(F.col("end") * 3600).alias("window_end"), "cell_lat", "cell_lon", "n", "expected_per_day", elevated.alias("elevated"))
 
 
 def cell_daily_rate(rows: DataFrame, side: float = CELL_DEGREES) -> DataFrame:

@@ -4,91 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline import config
-from emberline.streaming.jobs import CELL_DEGREES, LATENESS, with_cell
+from emberline.streaming.jobs import CELL_DEGREES, LATENESS, ROCKSDB, with_block, with_cell
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "cell_lat LONG, cell_lon LONG, status STRING, detections LONG, active_days LONG, last_detection TIMESTAMP"
 HOUR_MS = 3_600_000
 
 
-class LifecycleProcessor(StatefulProcessor):
-    """Keeps the open episode of a cell: detections, active days, first and last time.
+EPISODES = "cells ARRAY<STRUCT<cell_lat: LONG, cell_lon: LONG, detections: LONG, first_ms: LONG, last_ms: LONG, lasting: BOOLEAN, seen: ARRAY<LONG>>>"
+
+
+def lifecycle_step(silence_ms: int, min_days: int, min_detections: int):
+    """The state function of one block of cells: the open episode of each, with the days seen in it.
 
     Rows are taken in event time. A gap above the silence limit closes the episode, as
-    does a timer when no row comes; either gives RESOLVED and clears the state. Only
+    does a timeout when no row comes; either gives RESOLVED and clears the state. Only
     changes are emitted: ACTIVE at an episode's first detection, PERSISTENT when it has
     enough days and detections. A late row joins the open episode unless it lies more
     than the limit before its start: then it belongs to a closed one and is left out.
+    The state travels with the block's rows, once each way, however many rows there are.
     """
-
-    def __init__(self, resolved_hours: float, min_days: int, min_detections: int):
-        self.silence_ms = int(resolved_hours * HOUR_MS)
-        self.min_days = min_days
-        self.min_detections = min_detections
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.episode = handle.getValueState("episode", "detections LONG, days LONG, first_ms LONG, last_ms LONG, lasting BOOLEAN")
-        self.days = handle.getMapState("days", "day LONG", "seen BOOLEAN")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stamps = np.sort(np.concatenate([part["timestamp"].astype("datetime64[ms]").astype("int64").to_numpy() for part in rows]))
-        count, days, first, last, lasting = self.episode.get() if self.episode.exists() else (0, 0, 0, 0, False)
-        before = last if count else None
-        changes: list[tuple[str, int, int, int]] = []
-        for stamp in stamps.tolist():
-            if count and stamp < first - self.silence_ms:
-                continue
-            if count and stamp - last > self.silence_ms:
-                changes.append(("RESOLVED", count, days, last))
-                self.days.clear()
-                count, days, lasting = 0, 0, False
-            if count == 0:
-                first = last = stamp
-            count, first, last = count + 1, min(first, stamp), max(last, stamp)
-            day = stamp // (24 * HOUR_MS)
-            if not self.days.containsKey((day,)):
-                self.days.updateValue((day,), (True,))
-                days += 1
-            if count == 1:
-                changes.append(("ACTIVE", count, days, last))
-            if not lasting and days >= self.min_days and count >= self.min_detections:
-                lasting = True
-                changes.append(("PERSISTENT", count, days, last))
-        if count:
-            self.episode.update((count, days, first, last, lasting))
-            if last != before:
-                if before is not None:
-                    self.handle.deleteTimer(before + self.silence_ms)
-                self.handle.registerTimer(last + self.silence_ms)
-        yield self._rows(key, changes)
-
-    def _rows(self, key, changes: list[tuple[str, int, int, int]]) -> pd.DataFrame:
-        status, detections, days, last = zip(*changes, strict=True) if changes else ((), (), (), ())
-        return pd.DataFrame({"cell_lat": pd.Series([key[0]] * len(changes), dtype="int64"), "cell_lon": pd.Series([key[1]] * len(changes), dtype="int64"),
-                             "status": pd.Series(status, dtype="object"), "detections": pd.Series(detections, dtype="int64"),
-                             "active_days": pd.Series(days, dtype="int64"), "last_detection": pd.to_datetime(pd.Series(last, dtype="int64"), unit="ms")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.episode.exists():
-            return
-        count, days, _, last, _ = self.episode.get()
-        self.episode.clear()
-        self.days.clear()
-        yield self._rows(key, [("RESOLVED", count, days, last)])
-
-    def close(self) -> None:
-        pass
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(r[0], r[1]): [r[2], r[3], r[4], r[5], set(r[6])] for r in state.get[0]} if state.exists else {}
+        changes: list[tuple] = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values("timestamp")
+            stamps = rows["timestamp"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+            for lat, lon, stamp in zip(rows["cell_lat"].tolist(), rows["cell_lon"].tolist(), stamps, strict=True):
+                count, first, last, lasting, seen = held.get((lat, lon)) or (0, 0, 0, False, set())
+                if count and stamp < first - silence_ms:
+                    continue
+                if count and stamp - last > silence_ms:
+                    changes.append((lat, lon, "RESOLVED", count, len(seen), last))
+                    count, lasting, seen = 0, False, set()
+                if count == 0:
+                    first = last = stamp
+                count, first, last = count + 1, min(first, stamp), max(last, stamp)
+                seen.add(stamp // (24 * HOUR_MS))
+                if count == 1:
+                    changes.append((lat, lon, "ACTIVE", count, len(seen), last))
+                if not lasting and len(seen) >= min_days and count >= min_detections:
+                    lasting = True
+                    changes.append((lat, lon, "PERSISTENT", count, len(seen), last))
+                held[lat, lon] = [count, first, last, lasting, seen]
+        watermark = state.getCurrentWatermarkMs()
+        for lat, lon in [cell for cell, episode in held.items() if episode[2] + silence_ms <= watermark]:
+            count, _, last, _, seen = held.pop((lat, lon))
+            changes.append((lat, lon, "RESOLVED", count, len(seen), last))
+        if held:
+            state.update(([(*cell, *episode[:4], sorted(episode[4])) for cell, episode in held.items()],))
+            # a timeout comes when the watermark is past this stamp
+            state.setTimeoutTimestamp(min(episode[2] for episode in held.values()) + silence_ms - 1)
+        elif state.exists:
+            state.remove()
+        if changes:
+            out = pd.DataFrame(changes, columns=["cell_lat", "cell_lon", "status", "detections", "active_days", "last_detection"])
+            yield out.assign(last_detection=out["last_detection"].to_numpy("int64").astype("datetime64[ms]"))
+
+    return step
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Timers and typed state need the RocksDB state store."""
+    """The state store that keeps what does not fit into memory on disk."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -97,6 +78,6 @@ def stream_lifecycle(rows: DataFrame, resolved_hours: float = config.RESOLVED_AF
                      side: float = CELL_DEGREES) -> DataFrame:
     """Status changes per location cell, in event time."""
     use_rocksdb(rows.sparkSession)
-    keyed = with_cell(rows, side).select("cell_lat", "cell_lon", "timestamp").withWatermark("timestamp", lateness)
-    return keyed.groupBy("cell_lat", "cell_lon").transformWithStateInPandas(
-        LifecycleProcessor(resolved_hours, min_days, min_detections), CHANGES, "Append", "EventTime")
+    keyed = with_block(with_cell(rows, side).select("cell_lat", "cell_lon", "timestamp").withWatermark("timestamp", lateness))
+    return keyed.groupBy("block_lat", "block_lon").applyInPandasWithState(
+        lifecycle_step(int(resolved_hours * HOUR_MS), min_days, min_detections), CHANGES, EPISODES, "append", GroupStateTimeout.EventTimeTimeout)
