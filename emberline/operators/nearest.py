@@ -9,6 +9,12 @@ which nodes nearer by hold k rows for certain. What is left when no divided node
 are the leaves that can hold one of the k nearest of some point, and only their rows are
 measured. The bound is exact, so no row is missed; rows at equal distance come by position.
 
+Rows at one place are equally far from every point, so a place travels as one row, its
+first; the k nearest rows of a point are among the first k rows of its k nearest places.
+What all nodes have in common does not count for their order: for points east or west of
+the whole catalogue the way to its edge is left out of the bounds, which would otherwise
+grow with that way.
+
 Distances are planar kilometres with the cosine of the point's latitude, as for naming
 places. Points without a place have no rows; catalogue rows without a place are never
 found. A catalogue with fewer than k rows gives them all.
@@ -25,7 +31,7 @@ from emberline import config
 from emberline.functions.geo import search_km
 from emberline.session import broadcast_if_small, discard, materialize
 
-LEAF_ROWS = 32
+LEAF_ROWS = 8
 MOST_LEVELS = 24
 #: Points to a side of the grid that gathers them, at the catalogue's own extent.
 POINT_CELLS = 256
@@ -44,26 +50,47 @@ def _span(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
     return F.greatest(F.col(high_a) - F.col(low_b), F.col(high_b) - F.col(low_a))
 
 
-def _bounds() -> tuple[Column, Column]:
-    """(least, greatest) km from any point of the box p_* to any row of the box; rounding is on the safe side."""
+def _bounds(west: float, east: float) -> tuple[Column, Column]:
+    """(least, greatest) km from any point of the box p_* to any row of the box, less the way east or west
+    from the point to the catalogue's edge; rounding is on the safe side.
+
+    With A and B the ways along latitude and longitude, r the way to the edge and B = r + s, the distance
+    less r is s + A^2 / (sqrt(A^2 + B^2) + B), which grows with s and A and falls with B.
+    """
     scale = F.lit(config.SEARCH_KM_PER_DEGREE)
+    left, right = F.col("p_lon_hi") < F.lit(west), F.col("p_lon_lo") > F.lit(east)
     flattest = F.when(F.col("p_lat_lo") > 0, F.col("p_lat_lo")).when(F.col("p_lat_hi") < 0, -F.col("p_lat_hi")).otherwise(F.lit(0.0))
     steepest = F.greatest(F.abs("p_lat_lo"), F.abs("p_lat_hi"))
     lat, lon = ("p_lat_lo", "p_lat_hi", "lat_lo", "lat_hi"), ("p_lon_lo", "p_lon_hi", "lon_lo", "lon_hi")
-    least = F.hypot(scale * _gap(*lat), scale * F.abs(F.cos(F.radians(steepest))) * _gap(*lon)) * F.lit(1 - 1e-9)
-    most = F.hypot(scale * _span(*lat), scale * F.cos(F.radians(flattest)) * _span(*lon)) * F.lit(1 + 1e-9) + F.lit(1e-9)
+    narrow, wide = scale * F.abs(F.cos(F.radians(steepest))), scale * F.cos(F.radians(flattest))
+    a_low, a_high, b_low, b_high = scale * _gap(*lat), scale * _span(*lat), narrow * _gap(*lon), wide * _span(*lon)
+    near = F.when(left, F.col("lon_lo") - F.lit(west)).when(right, F.lit(east) - F.col("lon_hi"))
+    far = F.when(left, F.col("lon_hi") - F.lit(west)).when(right, F.lit(east) - F.col("lon_lo"))
+
+    def beyond(a: Column, b: Column) -> Column:
+        below = F.hypot(a, b) + b
+        return F.when(below > 0, a * a / below).otherwise(F.lit(0.0))
+
+    # the rounding of a distance grows with the distance
+    slack = F.lit(1e-9) + b_high * F.lit(1e-12)
+    least = F.coalesce(narrow * near + beyond(a_low, b_high), F.hypot(a_low, b_low)) * F.lit(1 - 1e-9) - slack
+    most = F.coalesce(wide * far + beyond(a_high, b_low), F.hypot(a_high, b_high)) * F.lit(1 + 1e-9) + slack
     return least, most
 
 
+def _located(rows: DataFrame) -> DataFrame:
+    return rows.filter("latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+
+
 class Quadtree:
     """Nodes of a catalogue: (level, x, y), number of rows, tight box, whether it is divided."""
 
     def __init__(self, catalog: DataFrame, leaf_rows: int = LEAF_ROWS):
-        rows = catalog.filter("latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+        rows = _located(catalog)
         self.leaf_rows = leaf_rows
         extent = rows.agg(*_box(), F.count(F.lit(1)).alias("n")).first()
         self.rows_total = extent["n"]
-        self.south, self.west = extent["lat_lo"], extent["lon_lo"]
+        self.south, self.west, self.east = extent["lat_lo"], extent["lon_lo"], extent["lon_hi"]
         # a little wider than the catalogue, so that its last row is inside
         self.side = 0.0 if not self.rows_total else max(extent["lat_hi"] - extent["lat_lo"], extent["lon_hi"] - extent["lon_lo"], 1e-9) * (1 + 1e-9)
         self.catalog = rows
@@ -107,9 +134,9 @@ class Quadtree:
             discard(*self._levels)
 
 
-def _pruned(frontier: DataFrame, k: int) -> DataFrame:
+def _pruned(frontier: DataFrame, k: int, west: float, east: float) -> DataFrame:
     """The nodes of each point box that can hold one of its k nearest rows."""
-    least, most = _bounds()
+    least, most = _bounds(west, east)
     own = Window.partitionBy("box")
     measured = frontier.withColumn("least", least).withColumn("most", most)
     held = F.sum("n").over(own.orderBy("most").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -126,8 +153,11 @@ def nearest_rows(points: DataFrame, catalog: DataFrame, k: int = 1, key: str = "
     """
     if k < 1:
         raise ValueError("k must be 1 at least")
-    tree = Quadtree(catalog, leaf_rows)
-    placed = points.select(key, "latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+    own = Window.partitionBy("latitude", "longitude").orderBy(keep[0])
+    first = materialize(_located(catalog).select(*keep, "latitude", "longitude").withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= k), "nearest-catalog")
+    places = first.filter("nth = 1").select(F.col(keep[0]).alias("first"), "latitude", "longitude")
+    tree = Quadtree(places, leaf_rows)
+    placed = _located(points).select(key, "latitude", "longitude")
     if tree.nodes is None:
         return placed.limit(0).select(key, F.lit(1).alias("place"), F.lit(0.0).alias("distance_km"), *(F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in keep))
     width = tree.side / POINT_CELLS
@@ -135,23 +165,25 @@ def nearest_rows(points: DataFrame, catalog: DataFrame, k: int = 1, key: str = "
     boxed = placed.withColumn("box", cell)
     boxes = boxed.groupBy("box").agg(*_box()).select("box", *(F.col(c).alias("p_" + c) for c in BOX))
     root = tree.nodes.filter("level = 0")
-    frontier = materialize(_pruned(boxes.crossJoin(F.broadcast(root)), k), "nearest-frontier")  # the root is one row
-    written = [frontier]
+    frontier = materialize(_pruned(boxes.crossJoin(F.broadcast(root)), k, tree.west, tree.east), "nearest-frontier")  # the root is one row
     level = 0
     while not frontier.filter("divided").isEmpty():
         level += 1
         children = tree.nodes.filter(F.col("level") == level).withColumn("parent_x", F.shiftright("x", 1)).withColumn("parent_y", F.shiftright("y", 1))
         opened = frontier.filter("divided").select("box", *("p_" + c for c in BOX), F.col("x").alias("parent_x"), F.col("y").alias("parent_y"))
         below = opened.join(broadcast_if_small(children), ["parent_x", "parent_y"]).select(frontier.columns)
-        frontier = materialize(_pruned(frontier.filter("NOT divided").unionAll(below), k), "nearest-frontier")
-        written.append(frontier)
-    rows = tree.leaf_rows_of(frontier, keep)
-    candidates = (boxed.join(frontier.select("box", "level", "x", "y"), "box").join(rows, ["level", "x", "y"])
+        above, frontier = frontier, materialize(_pruned(frontier.filter("NOT divided").unionAll(below), k, tree.west, tree.east), "nearest-frontier")
+        discard(above)
+    rows = tree.leaf_rows_of(frontier, ["first"])
+    candidates = (boxed.join(frontier.select("box", "level", "x", "y"), "box").join(broadcast_if_small(rows), ["level", "x", "y"])
                   .withColumn("distance_km", search_km(F.col("c_lat"), F.col("c_lon"), F.col("latitude"), F.col("longitude"))))
+    # the limits on the ranks are applied in the tasks, before the points' rows meet
+    nearest = candidates.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("distance_km", "first"))).filter(F.col("place") <= k)
+    members = first.select(*keep, F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
     order = Window.partitionBy(key).orderBy("distance_km", keep[0])
-    # the limit on the rank is applied in the tasks, before the points' rows meet
-    found = candidates.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(key, "place", "distance_km", *keep)
+    found = (nearest.select(key, "c_lat", "c_lon", "distance_km").join(broadcast_if_small(members), ["c_lat", "c_lon"])
+             .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(key, "place", "distance_km", *keep))
     result = materialize(found, "nearest-rows")
-    discard(*written)
+    discard(frontier, first)
     tree.close()
     return result

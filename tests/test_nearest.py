@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from emberline.operators import nearest
 from emberline.operators.nearest import nearest_rows
 
 
@@ -50,3 +52,29 @@ def test_small_and_empty_catalogues(spark):
     schema = "facility_id long, latitude double, longitude double"
     assert nearest_rows(points, spark.createDataFrame([], schema), 2).collect() == []
     assert [(r["place"], r["facility_id"]) for r in nearest_rows(points, spark.createDataFrame([(7, 5.0, 6.0), (3, 5.0, 4.0)], schema), 5).orderBy("place").collect()] == [(1, 3), (2, 7)]
+
+
+def test_copies_of_a_place_and_far_points_bring_few_candidates(spark, monkeypatch):
+    """Every place held 50 times and points up to 1,600 degrees east: the rows are right, and few places are measured."""
+    pick = random.Random(4)
+    sites = [(7 + pick.random() * 27, 69.0 + i % 5 / 10) for i in range(200)]
+    catalog = [(n * 200 + i, *site) for i, site in enumerate(sites) for n in range(50)]
+    # places of two levels of latitude, within a cell of the points' grid, near and far, east and west
+    points = [(i, 8 + i % 6 * 4 + pick.random() * 0.05, pick.choice((-1300.0, 60.0, 69.2, 335.0, 1600.0)) + pick.random() * 0.05) for i in range(120)]
+    measured = []
+    rows_of = nearest.Quadtree.leaf_rows_of
+
+    def counted(tree, leaves, keep):
+        measured.append((leaves.agg(F.sum("n")).first()[0], leaves.select("box").distinct().count()))
+        return rows_of(tree, leaves, keep)
+
+    monkeypatch.setattr(nearest.Quadtree, "leaf_rows_of", counted)
+    schema = "event_id long, latitude double, longitude double"
+    found = nearest_rows(spark.createDataFrame(points, schema), spark.createDataFrame(catalog, "facility_id long, latitude double, longitude double"), 3, leaf_rows=2)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["event_id"], []).append((r["place"], r["facility_id"]))
+    for i, lat, lon in points:
+        assert [f for _, f in sorted(got[i])] == [f for _, f in sorted((km((a, o), (lat, lon)), f) for f, a, o in catalog)[:3]]
+    rows, boxes = measured[0]
+    assert rows < 15 * boxes
