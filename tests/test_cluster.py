@@ -137,3 +137,14 @@ def test_hot_cube_join_is_salted_without_change(spark, monkeypatch):
     rows = frame(spark, points)
     got = {r.obs_id: r.event_id for r in cluster.attach_events(rows).collect()}
     assert got == brute(points) == {r.obs_id: r.event_id for r in cluster.cluster_assignments(rows).collect()}
+
+
+def test_longitudes_of_any_size_link_through_few_blocks(spark):
+    """Far beyond 360 degrees on either side a cube goes to the blocks in its reach, and to all of them."""
+    pick = random.Random(8)
+    points = [(20 + pick.random() * 0.1, centre + pick.random() * 0.1, pick.random() * 100) for centre in (-900.0, 1600.0, 360.95) for _ in range(60)]
+    rows = frame(spark, points)
+    linker = cluster.Linker(rows)
+    home, halo = linker._blocks()
+    assert halo.count() <= 12 * home.count()
+    assert {r["obs_id"]: r["event_id"] for r in linker.assignments().collect()} == brute(points)
