@@ -77,3 +77,17 @@ def test_tampered_packages_and_ledgers_are_refused(spark):
         ledger.append_packages(renamed)
     with pytest.raises(ValueError, match="LEDGER_INVALID"):
         ledger.append_packages(packages, first.filter("event_id <> 0"), heads)
+
+
+def test_refusals_write_out_the_content_once(spark):
+    """The digest of a package is the dear part; its evidence id follows from the stored digest."""
+    names = {"event_id": "long", "ledger_key": "long", "evidence_id": "string", "sha256": "string", "status": "string", "latitude": "double", "longitude": "double", "start_time": "timestamp",
+             "end_time": "timestamp", "anchored_at": "timestamp", "leaves": "long", "root": "string", "active_days": "long", "persistence_score": "double", "trend": "string", "average_intensity": "double",
+             "intensity_variance": "double", "spatial_stability": "double", "features": f"struct<{','.join(n + ':double' for n in ledger.PACKAGE_FEATURES)}>", "risk_score": "double", "severity": "string",
+             "explanation": "string", "factors": "array<struct<factor:string,score:double,weight:double>>", "classification": "string", "class_confidence": "double", "probabilities": "map<string,double>",
+             "model_status": "string", "model_version": "string", "weak_prediction": "string", "weak_score": "double"}
+    packages = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in names.items()))
+    receipts = ledger.ledger_append(packages)
+    refused = ledger.refusals(packages, receipts, ledger.ledger_heads(receipts)).filter("reason = 'CONTENT_DIGEST_MISMATCH'")
+    plan = refused._jdf.queryExecution().analyzed().toString()
+    assert sum(line.count(ledger.SCHEMA_VERSION) for line in plan.splitlines()) == 1
