@@ -1,8 +1,11 @@
 """The learning queries hold little in one task and share their passes."""
 
+import random
 import re
 
-from emberline.learning import dataset
+from pyspark.ml import Pipeline
+
+from emberline.learning import dataset, recurrence
 from emberline.operators import cluster
 from emberline.queries import workspace as ws
 
@@ -23,3 +26,18 @@ def test_only_groups_of_several_cubes_are_paired(spark, monkeypatch):
     monkeypatch.setattr(cluster.Linker, "labels", lambda self: (paired.extend(r[0] for r in self.cubes.select("group_key").distinct().collect()), labels(self))[1])
     assert sorted(r.event_id for r in cluster.single_cluster_groups(df, "event_id").collect()) == [1, 2]
     assert sorted(paired) == [2, 3]
+
+
+def test_a_fit_runs_on_all_cores_and_not_on_the_files_order(spark, monkeypatch):
+    """Small files would be packed into few tasks, and the bags of a forest would follow them."""
+    pick = random.Random(5)
+    rows = [(k, f"g{k % 30}", recurrence.POSITIVE if pick.random() < 0.5 else recurrence.NEGATIVE, *(pick.random() for _ in recurrence.FIRST_DAY_FEATURES)) for k in range(300)]
+    table = spark.createDataFrame(rows, "event_id long, spatial_group string, label string, " + ", ".join(f"{n} double" for n in recurrence.FIRST_DAY_FEATURES))
+    seen = []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    every = recurrence.candidate_pipelines
+    monkeypatch.setattr(recurrence, "candidate_pipelines", lambda **k: {"RandomForest": every(trees=2, seed=1)["RandomForest"]})
+    kept = [recurrence.train_recurrence(t).comparison for t in (table.coalesce(1), table.orderBy("label").repartition(7))]
+    assert kept[0] == kept[1]
+    assert set(seen) == {2 * spark.sparkContext.defaultParallelism}
