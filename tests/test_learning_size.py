@@ -3,7 +3,9 @@
 import random
 import re
 
+import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from emberline.learning import dataset, recurrence
 from emberline.operators import cluster
@@ -41,3 +43,33 @@ def test_a_fit_runs_on_all_cores_and_not_on_the_files_order(spark, monkeypatch):
     kept = [recurrence.train_recurrence(t).comparison for t in (table.coalesce(1), table.orderBy("label").repartition(7))]
     assert kept[0] == kept[1]
     assert set(seen) == {2 * spark.sparkContext.defaultParallelism}
+
+
+def test_only_rows_that_a_shuffle_changes_are_scored(spark):
+    """b has few values, c one value; importances are those of scoring every row."""
+    pick = random.Random(2)
+    rows = [(k, pick.random(), None if k % 11 == 0 else float(k % 2), 1.0) for k in range(60)]
+    rows = [(k, recurrence.POSITIVE if a + (b or 0.0) > 1.0 else recurrence.NEGATIVE, a, b, c) for k, a, b, c in rows]
+    table = spark.createDataFrame(rows, "event_id long, label string, a double, b double, c double")
+    scored = []
+
+    class Rule:
+        names, medians = ("a", "b", "c"), {"a": 0.5, "b": 0.0, "c": 1.0}
+
+        def score(self, df):
+            scored.append(df)
+            return df.withColumn("prediction_label", F.when(F.col("a") + F.col("b") > 1.0, recurrence.POSITIVE).otherwise(recurrence.NEGATIVE))
+
+    got = {r["feature"]: r["importance"] for r in recurrence.permutation_importance(Rule(), table, repeats=3, seed=3).collect()}
+    order = {(r["f"], r["r"]): [x["event_id"] for x in r["ids"]] for r in table.select("event_id", F.explode(F.array(*map(F.lit, Rule.names))).alias("f")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(3)))).groupBy("f", "r").agg(
+        F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(3), "f", "r", "event_id"), "event_id"))).alias("ids")).collect()}
+    plain = [{"a": a, "b": b or 0.0, "c": c} for _, _, a, b, c in rows]
+    hits = lambda values: sum((v["a"] + v["b"] > 1.0) == (r[1] == recurrence.POSITIVE) for v, r in zip(values, rows)) / len(rows)
+    raw, changed = {}, 0
+    for n in Rule.names:
+        mixes = [[{**v, n: plain[k][n]} for v, k in zip(plain, order[n, r])] for r in (1, 2, 3)]
+        changed += sum(v != w for mix in mixes for v, w in zip(mix, plain))
+        raw[n] = max(sum(hits(plain) - hits(mix) for mix in mixes) / 3, 0.0)
+    assert sum(raw.values()) > 0
+    assert got == pytest.approx({n: v / sum(raw.values()) for n, v in raw.items()}, abs=1e-12)
+    assert sum(df.count() for df in scored) == len(rows) + changed
