@@ -175,7 +175,7 @@ def nearest_rows(points: DataFrame, catalog: DataFrame, k: int = 1, key: str = "
         above, frontier = frontier, materialize(_pruned(frontier.filter("NOT divided").unionAll(below), k, tree.west, tree.east), "nearest-frontier")
         discard(above)
     rows = tree.leaf_rows_of(frontier, ["first"])
-    candidates = (boxed.join(frontier.select("box", "level", "x", "y"), "box").join(broadcast_if_small(rows), ["level", "x", "y"])
+    candidates = (boxed.join(broadcast_if_small(frontier.select("box", "level", "x", "y")), "box").join(broadcast_if_small(rows), ["level", "x", "y"])
                   .withColumn("distance_km", search_km(F.col("c_lat"), F.col("c_lon"), F.col("latitude"), F.col("longitude"))))
     # the limits on the ranks are applied in the tasks, before the points' rows meet
     nearest = candidates.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("distance_km", "first"))).filter(F.col("place") <= k)

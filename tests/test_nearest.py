@@ -1,5 +1,6 @@
 """The k nearest rows against all distances."""
 
+import functools
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import nearest
 from emberline.operators.nearest import nearest_rows
+from emberline.session import broadcast_if_small, materialize
 
 
 def km(a, b):
@@ -78,3 +80,20 @@ def test_copies_of_a_place_and_far_points_bring_few_candidates(spark, monkeypatc
         assert [f for _, f in sorted(got[i])] == [f for _, f in sorted((km((a, o), (lat, lon)), f) for f, a, o in catalog)[:3]]
     rows, boxes = measured[0]
     assert rows < 15 * boxes
+
+
+def test_the_points_meet_their_leaves_by_shuffle(spark, monkeypatch):
+    """Written boxes and leaves are a few compressed bytes, by which Spark would build all their rows on the driver."""
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(nearest, "materialize", spy)
+    monkeypatch.setattr(nearest, "broadcast_if_small", functools.partial(broadcast_if_small, max_rows=2))
+    points = spark.range(50).selectExpr("id AS event_id", "10.0D + id % 9 AS latitude", "70.0D + id % 7 AS longitude")
+    catalog = spark.range(40).selectExpr("id AS facility_id", "10.0D + id % 8 AS latitude", "70.0D + id % 5 AS longitude")
+    assert nearest_rows(points, catalog, 3, leaf_rows=4).count() == 150
+    joins = [line for line in plans["nearest-rows"].splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and all("strategy=merge" in line for line in joins)
