@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberline.functions.geo import floor_long
 from emberline.operators.merge import OBSERVATION_KEY, upsert_observations
 from emberline.operators.validate import accepted_observations, duplicate_key, quarantined_rows, validate_rows
-from emberline.session import scratch_path
+from emberline.session import broadcast_if_small, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "5 days"
@@ -198,7 +198,7 @@ def stream_recent_rate(rows: DataFrame, baseline: DataFrame, lateness: str = LAT
     counts = with_block(cells.withWatermark("until", f"{lateness} 24 hours")).groupBy("block_lat", "block_lon").applyInPandasWithState(
         sliding_counts(24), "cell_lat LONG, cell_lon LONG, ends ARRAY<LONG>, counts ARRAY<LONG>",
         "cell_lat ARRAY<LONG>, cell_lon ARRAY<LONG>, hours ARRAY<LONG>, counts ARRAY<LONG>, done LONG", "append", GroupStateTimeout.EventTimeTimeout)
-    windows = counts.join(baseline, ["cell_lat", "cell_lon"]).select(
+    windows = counts.join(broadcast_if_small(baseline), ["cell_lat", "cell_lon"]).select(
         "cell_lat", "cell_lon", "expected_per_day", F.inline(F.arrays_zip("ends", "counts")).alias("end", "n"))
     elevated = F.col("n") > F.col("expected_per_day") * F.lit(1.5)
     return windows.select(F.timestamp_seconds(F.col("end") * 3600).alias("window_end"), "cell_lat", "cell_lon", "n", "expected_per_day", elevated.alias("elevated"))

@@ -1,12 +1,13 @@
 """Streams of cells keep one row of state per block of cells and give the rows of any batching."""
 
 import datetime as dt
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.session import scratch_path
+from emberline.session import broadcast_if_small, materialize, scratch_path
 from emberline.streaming import jobs
 from emberline.streaming.lifecycle import stream_lifecycle
 
@@ -46,3 +47,11 @@ def test_state_is_one_row_a_block(spark, job):
     query = out.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
+
+
+def test_rates_of_many_cells_are_not_built_on_the_driver(spark, monkeypatch):
+    """A written table of cells is few compressed bytes, by which Spark would broadcast it."""
+    monkeypatch.setattr(jobs, "broadcast_if_small", functools.partial(broadcast_if_small, max_rows=2), raising=False)
+    baseline = materialize(spark.range(8).selectExpr("250 + id AS cell_lat", "750L AS cell_lon", "2.0D AS expected_per_day"), "rates")
+    plan = jobs.stream_recent_rate(landed(spark, [("2024-01-01 00:00:00", 25.0, 75.0)], 1), baseline)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=merge)" in plan
