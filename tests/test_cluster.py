@@ -1,6 +1,8 @@
 """Clustering against brute force, and its invariants."""
 
+import functools
 import math
+import operator
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -148,3 +150,14 @@ def test_longitudes_of_any_size_link_through_few_blocks(spark):
     home, halo = linker._blocks()
     assert halo.count() <= 12 * home.count()
     assert {r["obs_id"]: r["event_id"] for r in linker.assignments().collect()} == brute(points)
+
+
+def test_a_mean_on_a_bound_is_the_bound_in_any_order(spark):
+    """Plain sums of these latitudes give 25 or a little more or less, by their order."""
+    steps = [-0.006] * 3 + [-0.003] * 4 + [0.0] + [0.003] * 4 + [0.006] * 3
+    orders = [random.Random(k).sample(steps, len(steps)) for k in range(40)]
+    rows = [(event, i, 25.0 + s) for event, order in enumerate(orders) for i, s in enumerate(order)]
+    assert len({functools.reduce(operator.add, (lat for e, _, lat in rows if e == event)) / len(steps) for event in range(40)}) > 1
+    linked = spark.createDataFrame(rows, "event_id long, obs_id long, latitude double").selectExpr("*", "70.1D AS longitude", "timestamp_seconds(obs_id) AS timestamp").coalesce(1)
+    means = cluster.summarize_events(linked).select("latitude", "longitude").distinct().collect()
+    assert [tuple(r) for r in means] == [(25.0, 70.1)]
