@@ -117,18 +117,19 @@ def ingest_batch(store: EventStore, raw: DataFrame, order: str = "line_no",
 
     The batch meets only the stored partitions within its reach. Every event that won or
     lost a row or a value is computed anew from all its rows, so none keeps an old end,
-    size or risk; an event that lasts longer than any batch keeps its id.
+    size or risk; an event that lasts longer than any batch keeps its id. Rows of one time
+    come by ``order``, as in a run over the whole feed: ids are hashes and say nothing of it.
     """
     validated = materialize(validate.validate_rows(raw, order), "validated")
     accepted = validate.accepted_observations(validated).drop("metadata")
     inside = _inside(accepted, region).withColumn("obs_id", stable_observation_id())
     # a key comes once: later rows with it were rejected as duplicates
-    batch = require_unique_ids(materialize(inside.drop(order), "ingested_batch"))
+    batch = require_unique_ids(materialize(inside, "ingested_batch"))
     run = store.link(batch)
     ahead = store.seen_with(run)
     touched = materialize(ahead.touched(run), "touched_events")
     linked = materialize(ahead.members(touched), "touched_rows")
-    metrics = materialize(persistence_metrics(linked), "touched_metrics")
+    metrics = materialize(persistence_metrics(linked, order=[c for c in ("timestamp", order, "obs_id") if c in linked.columns]), "touched_metrics")
     # whether an event has ended depends on the newest row of all; see stored_events
     store.put(run, "events", event_table(metrics, summarize_events(linked)).drop("status"))
     store.put(run, "risk", scoring.assess_risk(metrics))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.learning import labeled
-from emberline.plans.ingestion import run_ingestion
+from emberline.operators.incremental import EventStore
+from emberline.plans.ingestion import ingest_batch, run_ingestion, stored_events
 from emberline.session import scratch_path
 from emberline.streaming import jobs
 from emberline.streaming.lifecycle import stream_lifecycle
@@ -33,6 +34,16 @@ def test_second_and_third_run(spark):
     assert [r["intensity"] for r in second.stored.filter("latitude = 25").collect()] == [340.0]
 
 
+def test_rows_of_one_time_come_by_their_line(spark):
+    """Six events of four rows at one time, the later lines hotter; half of the lines come in a second batch."""
+    places = [(25.0 + k % 6 + 0.001 * (k // 6), 75.0, "2024-01-01", "0100") for k in range(24)]
+    rows = raw(spark, places).withColumn("bright_ti4", F.when(F.col("line_no") < 12, "300").otherwise("400"))
+    store = EventStore(spark, scratch_path(spark, "store"))
+    for part in ("line_no % 2 = 1", "line_no % 2 = 0"):
+        ingest_batch(store, rows.filter(part).coalesce(1))
+    assert [(r["observation_count"], r["trend"]) for r in stored_events(store).collect()] == [(4, "INCREASING")] * 6
+
+
 @pytest.mark.parametrize("files", [1, 2, 4])
 def test_ingest_over_batches(spark, files):
     folder = scratch_path(spark, "landed")
